@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,7 +60,7 @@ def partitions(spark: SparkSession) -> int:
 def slices(batch: pa.RecordBatch | pa.Table, column: str) -> Iterator[pa.RecordBatch | pa.Table]:
     """Row slices of ``batch`` with about CHUNK_BYTES in the binary or string ``column``; a longer value stands alone."""
     data = batch.column(column)
-    sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(data).to_pylist()], dtype=np.int64)
+    sizes = np.array([0 if x is None else x for x in pc.binary_length(data).to_pylist()], dtype=np.int64)
     part = np.cumsum(sizes) // CHUNK_BYTES
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
     for a, b in zip(edges, edges[1:], strict=False):

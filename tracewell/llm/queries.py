@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import substring_dedup
+from tracewell.llm import mixing, near_dup, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,28 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: The target mix: twice the share for one domain, more for the rarer languages.
+MIX = {"budget_share": 0.6, "domain_weights": {"d0": 2.0}, "lang_weights": {"en": 1.0, "de": 1.5, "es": 2.0, "fr": 1.5}}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"), max_epochs=2, **MIX)
+
+
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign_shards(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_near_dup": op5_near_dup,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLES: dict[str, str] = {}
