@@ -6,18 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewell.llm import decontam, mixing, near_dup, sharding, substring_dedup, toxicity
+import corpus_pipeline
+from tracewell.llm import chat, decontam, html_extract, licenses, mixing, near_dup, quality, sharding, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_scan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.repeated_words(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract_text(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 #: The target mix: twice the share for one domain, more for the rarer languages.
 MIX = {"budget_share": 0.6, "domain_weights": {"d0": 2.0}, "lang_weights": {"en": 1.0, "de": 1.5, "es": 2.0, "fr": 1.5}}
 
@@ -38,6 +49,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("clauses").cast("long").alias("n_clauses"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.line_first(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost")
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -47,13 +63,26 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+#: What a user's turn must look like as a call.
+REPLY = {"reply": {"properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer"}}, "required": ["text", "turn"], "additionalProperties": False}}
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(chat.exchanges_as_calls(_table(spark, sf_dir, "conversations")), REPLY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_near_dup": op5_near_dup,
     "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op8_decontam": op8_decontam,
     "op9_sharding": op9_sharding,
+    "op10_chat": op10_chat,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
