@@ -120,7 +120,7 @@ def repeated_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    groups = buckets = 3 * parts
+    groups, buckets = 2 * parts, parts  # a message for each pair of them
     block = window // 2
     bits = min(60, 35 + math.ceil(math.log2(parts + 1)))
     shift = np.uint64(64 - bits)
