@@ -1,0 +1 @@
+"""Incident reconstruction from security telemetry as DataFrame operators."""
