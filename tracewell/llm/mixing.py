@@ -31,8 +31,9 @@ def word_tokens(text: Column) -> Column:
 
 
 def source_domain(source: Column, domains: int = 4) -> Column:
-    """A domain for sources that come without: one of d0, d1, ... by the source's CRC-32."""
-    return F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(source, F.lit("")).cast("binary")), F.lit(domains)).cast("string"))
+    """A domain for sources that come without: one of d0, d1, ... by the first 32 bits of the source's MD5."""
+    number = F.conv(F.substring(F.md5(F.coalesce(source, F.lit(""))), 1, 8), 16, 10).cast("long")
+    return F.concat(F.lit("d"), (number % domains).cast("string"))
 
 
 def _weight(key: Column, weights: Mapping[str, float] | None) -> Column:
