@@ -73,7 +73,7 @@ def task_command(c: Column) -> Column:
 def path_key(c: Column) -> Column:
     r"""One spelling for a file whatever the slashes, \\?\ prefix, volume or case."""
     s = F.regexp_replace(F.trim(c), r"^\\\\\?\\", "")
-    s = F.lower(F.regexp_replace(s, "/", r"\\\\"))
+    s = F.lower(F.translate(s, "/", "\\"))
     s = F.regexp_replace(s, r"^\\device\\harddiskvolume\d+(?=\\)", "")
     return F.regexp_replace(s, r"^[a-z]:(?=\\)", "")
 
