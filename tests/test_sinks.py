@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import golden
 from tracewell.sources import sinks
-from tracewell.streaming.ingest import stream_events, stream_records, write_events
+from tracewell.streaming.ingest import stream_records, write_events
 
 ROW = "time string, host string, process string, entity string, member string, kind string, detail string, event_id string, count long, until string, every_s double"
 
@@ -40,7 +40,7 @@ def test_chain_truth_and_answers(spark):
 def test_streaming_ingest_is_the_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.ndjson").write_text(golden.as_ndjson() + "{torn\n")
-    q = write_events(stream_events(stream_records(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
+    q = write_events(stream_records(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination(300)
     events = spark.read.parquet(str(tmp_path / "out"))
     assert events.count() == len(golden.ndjson()) and events.where("kind = 'process_start'").select(F.min("proc.name")).first()[0] == "chrome.exe"

@@ -63,6 +63,11 @@ def request_body(model: str, context: str, seed: dict, incident: dict, candidate
     return json.dumps({"model": model, "state": {"analyst_context": context, "seed": seed, "incident": incident, "candidates": candidates}, "questions": {k: question(k) for k in candidates}}, ensure_ascii=False, separators=(",", ":"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 @dataclass
 class AnswerCache:
     """Answers by their request's SHA-256, as JSON lines in a folder that Spark reads and writes; torn lines are skipped."""
@@ -75,7 +80,7 @@ class AnswerCache:
     def load(self, digests: Iterable[str]) -> None:
         """Fetch what the stored answers hold of ``digests``, which are no more than a round's questions."""
         digests = [d for d in digests if d not in self.known]
-        if not self.path or not digests:
+        if not self.path or not digests or not _exists(self.spark, self.path):
             return
         rows = self.spark.read.schema("sha256 string, response string").option("mode", "DROPMALFORMED").json(self.path)
         for r in rows.where(F.col("sha256").isin(digests) & F.col("response").isNotNull()).dropDuplicates(["sha256"]).collect():

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracewell.functions.text import present
 from tracewell.operators.normalize import classify, to_events
+from tracewell.operators.tables import stored
 
 
 def stream_records(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -28,16 +29,15 @@ def stream_records(spark: SparkSession, folder: str, files_per_trigger: int = 10
     return lines.select(F.lit(0).alias("file"), F.lit(0).cast("long").alias("line"), F.coalesce(own, F.concat(F.lit("sha-"), F.substring(F.sha2("value", 256), 1, 16))).alias("id"), own.isNull().alias("line_id"), nested.alias("nested"), null.alias("flat"), null.alias("names"))
 
 
-def stream_events(records: DataFrame, late: str | None = None) -> DataFrame:
-    """Canonical events of a stream of raw records, with ``time`` as TIMESTAMP.
+def write_events(records: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Write canonical events of a stream of raw records as Parquet, in folders by batch and kind; later reads prune by kind.
 
-    With ``late``, a watermark such as "10 minutes", a record that comes again within it is dropped.
+    A batch is classified, stored and normalised like any other input, as one plan over all fields would be too large. A
+    batch that is run again after a failure replaces what it had written.
     """
-    events = to_events(classify(records)).withColumn("time", F.timestamp_micros("t"))
-    return events.withWatermark("time", late).dropDuplicatesWithinWatermark(["id"]) if late else events
 
+    def batch(rows: DataFrame, number: int) -> None:
+        to_events(stored(classify(rows))).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/batch={number}")
 
-def write_events(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append events to Parquet in folders by kind, which later reads prune by."""
-    out = events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("kind").outputMode("append")
+    out = records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append")
     return (out.trigger(availableNow=True) if once else out).start()
