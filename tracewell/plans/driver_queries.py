@@ -1,4 +1,4 @@
-"""The reference's operators as queries over the driver's tables, each with DuckDB SQL for the same rows.
+"""The incident operators as queries over the driver's tables, each with DuckDB SQL for the same rows.
 
 ``events`` stands for telemetry: a user acts (``event_type``) on a key (``props.k``) at a time; a day is an input file.
 ``orders`` and ``lineitem`` make a bipartite graph, ``pages`` give domains, ``documents`` details that vary.
