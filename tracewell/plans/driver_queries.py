@@ -118,7 +118,7 @@ def follow_up_window(spark, sf_dir):
 
 
 def _links(spark, sf_dir) -> DataFrame:
-    ev = events(spark, sf_dir).where("file = 0")
+    ev = events(spark, sf_dir)
     return ev.select(F.lit("contacted").alias("type"), F.concat(F.lit("user:"), "u").alias("from"), F.concat(F.lit("k:"), "k").alias("to"), "t", F.col("t").alias("act"), "seq", F.col("kind").alias("detail"), F.lit(1).alias("phase"))
 
 
@@ -128,7 +128,7 @@ links AS (SELECT f, g, min(t) AS t, max(t) AS last, count(*) AS n, max(CASE WHEN
 
 @_query(_LINKS + " SELECT f AS src, g AS dst, t, t AS act, last, n, detail, evidence FROM links")
 def link_merge(spark, sf_dir):
-    """Links of the first day's users and keys."""
+    """Links of users and keys."""
     out = merged(_links(spark, sf_dir))
     return out.select(F.col("from").alias("src"), F.col("to").alias("dst"), "t", "act", "last", F.col("count").alias("n"), "detail", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ",").alias("evidence"))
 
