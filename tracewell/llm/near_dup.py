@@ -5,12 +5,12 @@ length, in text order; a k-mer that occurs again carries its occurrence number.
 words in equal order all over the text, which follows edit similarity; texts that only share a passage, however
 common, differ in the other stretches. Documents with an equal sketch and nearly equal length share a bucket.
 
-Buckets are never paired out. In each round a bucket's open members, those without a class in common with a former
-leader, are aligned with leaders: some open ones, one in the first round and eight times as many in each further
-one, and from the second round as many of the members that are no longer open. A group of thousands of copies
-takes one round and one alignment for each member; rounds end when no member is open, so no bucket is capped.
-The first few sketches have a round of their own before: most copies share a class from then on, and are not met
-again in the buckets of all the other sketches. Identical texts are aligned once.
+Two rounds with one leader a bucket join most copies: first over a few sketches, then over some more, so that a group of
+thousands of copies takes about one alignment for each member. Then comes an exact pass: within every bucket that
+still holds several classes all texts of different classes are compared, large buckets in tiles spread over tasks.
+How often the words of either text fall into each of some bins gives a lower bound of their distance; all pairs that it
+does not rule out are aligned. So no bucket is capped, and no link between two texts that share a bucket is
+lost. Identical texts are aligned once.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.llm._common import WordHashes, mix, rolling, slices, starts_of, stored
 
-#: Sketches that have a round of their own first.
-EARLY = 4
+#: Sketches in the two rounds of leaders.
+EARLY, LATER = 4, 12
+#: Bins of words for the lower bound of a distance.
+BINS = 128
+#: Texts of a class that one task compares with as many others of a large bucket.
+TILE = 1000
 
 
 def _sketches(km: np.ndarray, counts: np.ndarray, sample: int, seeds: np.ndarray, odds: np.ndarray) -> np.ndarray:
@@ -46,11 +50,9 @@ def _sketches(km: np.ndarray, counts: np.ndarray, sample: int, seeds: np.ndarray
     return out
 
 
-def _kmers(words: list[list[bytes]], hashes: WordHashes, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrence-labelled k-mer hashes of each document, joined, and their counts; a shorter text is one k-mer."""
-    n = np.array([len(w) for w in words])
+def _kmers(h: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence-labelled k-mer hashes of each document of ``n`` words, joined, and their counts; a shorter text is one k-mer."""
     counts = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
-    h = hashes.of([x for w in words for x in w])
     starts, to = starts_of(n), starts_of(counts)
     km = np.empty(to[-1], dtype=np.uint64)
     ends = np.repeat(starts[1:], n)
@@ -58,7 +60,7 @@ def _kmers(words: list[list[bytes]], hashes: WordHashes, k: int) -> tuple[np.nda
     km[np.repeat(n >= k, counts)] = run[np.arange(len(run)) + k <= ends[: len(run)]] if len(run) else run
     for i in np.flatnonzero((n > 0) & (n < k)):
         km[to[i]] = rolling(h[starts[i] : starts[i + 1]], int(n[i]))[0]
-    owner = np.repeat(np.arange(len(words)), counts)
+    owner = np.repeat(np.arange(len(n)), counts)
     order = np.lexsort((km, owner))
     new = np.ones(len(km), dtype=bool)
     new[1:] = (km[order][1:] != km[order][:-1]) | (owner[order][1:] != owner[order][:-1])
@@ -113,6 +115,57 @@ def banded_distance(a: list, b: list, limit: int) -> int | None:
     return dist if dist <= limit else None
 
 
+def _bins(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many words of each document fall into each bin; counts stop at 65535, which only lowers the bound."""
+    owner = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(owner * BINS + (h % np.uint64(BINS)).astype(np.int64), minlength=len(n) * BINS)
+    return np.minimum(counts, 65535).astype("<u2").reshape(len(n), BINS)
+
+
+def _possible(comps: np.ndarray, n: np.ndarray, bins: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
+    """Pairs of texts of different classes that may be within the limit, with the lower bound of their distance; none that is gets lost."""
+    found = []
+    for i in range(len(n) - 1):
+        limit = np.floor((1 - threshold) * np.maximum(n[i], n[i + 1 :]) + 1e-9)
+        js = np.flatnonzero((comps[i + 1 :] != comps[i]) & (np.abs(n[i + 1 :] - n[i]) <= limit))
+        if len(js):
+            over = bins[i] - bins[i + 1 + js]
+            bound = np.maximum(np.maximum(over, 0).sum(axis=1), np.maximum(-over, 0).sum(axis=1))
+            for j in np.flatnonzero(bound <= limit[js]):
+                found.append((i, int(i + 1 + js[j]), int(bound[j])))
+    return found
+
+
+def _nearest(found: list[tuple[int, int, int]], comps: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of ``found`` the pairs in which one text is nearest to the other among those of its class."""
+    seen, out = set(), []
+    for i, j, bound in sorted(found, key=lambda x: x[2]):
+        ways = {(i, comps[j]), (j, comps[i])}
+        if not ways <= seen:
+            seen |= ways
+            out.append((i, j, bound))
+    return out
+
+
+def _tiles(state: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several classes, with the ``tile`` where they are compared.
+
+    A bucket of up to TILE members is one tile. In a larger one the members of the largest class (m) and the others (o) are dealt
+    into parts; a tile holds two parts, m and o or o and o, so that each two members of different classes meet in one.
+    """
+    classes = state.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = classes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+    gm = F.when(F.col("size") <= TILE, 1).otherwise(F.ceil(F.col("top.n") / TILE))
+    go = F.when(F.col("size") <= TILE, 1).otherwise(F.ceil((F.col("size") - F.col("top.n")) / TILE))
+    rows = state.join(mixed.select("bucket", F.col("top.comp").alias("top"), gm.cast("long").alias("gm"), go.cast("long").alias("go")), "bucket")
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("comp") == F.col("top"), F.col("gm")).otherwise(F.col("go")))
+    of_m = F.transform(F.sequence(F.lit(0).cast("long"), F.col("go") - 1), lambda j: F.col("part") * F.col("go") + j)
+    with_m = F.transform(F.sequence(F.lit(0).cast("long"), F.col("gm") - 1), lambda i: i * F.col("go") + F.col("part"))
+    with_o = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("go") - 1), lambda j: j != F.col("part")), lambda j: (F.col("gm") + F.least(j, F.col("part"))) * F.col("go") + F.greatest(j, F.col("part")))
+    tile = F.explode(F.when(F.col("comp") == F.col("top"), of_m).otherwise(F.concat(with_m, with_o))).alias("t")
+    return rows.withColumn("part", part).select("bucket", "node", "comp", "n_words", tile).select(F.xxhash64("bucket", "t").alias("tile"), "node", "comp", "n_words")
+
+
 def _length_classes(n: Column, threshold: float) -> Column:
     """Two classes for a length; lengths with a ratio of at least ``threshold`` have one in common."""
     c = F.floor(F.log(n) / F.lit(-math.log(threshold)) + F.lit(1e-9))
@@ -156,7 +209,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5,
     Returns one row per input row: the id, ``class_id`` (least id of the class), ``n_words``.
 
     Sketches find a pair whose stretches share the part J of their k-mers with probability 1 - (1 - J**sample)**sketches:
-    over 0.999999 for J = 0.8, 0.999 for 0.6, 0.98 for 0.5. In large buckets two texts are also compared through leaders.
+    over 0.999999 for J = 0.8, 0.999 for 0.6, 0.98 for 0.5. Two texts that share a bucket are always
+    compared, unless they have a class in common already.
 
     Null text: no words, a class of its own. Texts without words are linked only if identical. Null id: class null, not
     compared. Rows that share an id are one document: a link of any of its texts counts for all of them.
@@ -164,7 +218,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5,
     rng = np.random.default_rng(20240601)
     seeds = rng.integers(1, 2**63, sketches, dtype=np.uint64)
     odds = rng.integers(1, 2**63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("n_words", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    out = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("n_words", pa.int64()), ("bins", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -172,12 +226,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5,
             for part in slices(batch, "text"):
                 words = [(t or b"").lower().split() for t in part.column("text").to_pylist()]
                 n = np.array([len(w) for w in words])
-                km, counts = _kmers(words, hashes, k)
+                h = hashes.of([x for w in words for x in w])
+                km, counts = _kmers(h, n, k)
                 made = [[]] * len(words)
                 if len(km):
                     for i, s in zip(np.flatnonzero(counts), _sketches(km, counts[counts > 0], sample, seeds, odds).astype(np.int64), strict=True):
                         made[i] = s
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("same"), pa.array(n), pa.array(made, type=pa.list_(pa.int64()))], schema=out)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("same"), pa.array(n), pa.array([b.tobytes() for b in _bins(h, n)], type=pa.binary()), pa.array(made, type=pa.list_(pa.int64()))], schema=out)
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,50 +244,82 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5,
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array([d for d in far if d is not None], type=pa.int64())], names=["a", "b", "distance"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).withColumn("same", F.unhex(F.md5("text")))
-    base = stored(rows.mapInArrow(sketch, "id long, same binary, n_words long, sketch array<long>"))
+    base = stored(rows.mapInArrow(sketch, "id long, same binary, n_words long, bins binary, sketch array<long>"))
     named = base.where("id is not null and same is not null")
     first = named.groupBy("same").agg(F.min("id").alias("node"))
-    texts = named.join(first, (named.same == first.same) & (named.id == first.node)).select("node", "n_words", "sketch").where("n_words > 0")
+    texts = named.join(first, (named.same == first.same) & (named.id == first.node)).select("node", "n_words", "bins", "sketch").where("n_words > 0")
     placed = texts.select("node", "n_words", F.posexplode("sketch").alias("j", "s"), _length_classes(F.col("n_words"), threshold).alias("classes"))
-    placed = placed.select(F.explode("classes").alias("c"), "node", "n_words", "j", "s").select(F.xxhash64("j", "s", "c").alias("bucket"), "node", "n_words", (F.col("j") < EARLY).alias("early"))
+    placed = placed.select(F.explode("classes").alias("c"), "node", "n_words", "j", "s").select(F.xxhash64("j", "s", "c").alias("bucket"), "node", "n_words", "j")
     full = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = stored(placed.join(full, "bucket"))
     wanted = members.select("node").distinct()
     source = rows.where("text is not null").select(F.col("id").alias("node"), "text")
     kept = stored(source.join(wanted, "node", "left_semi"))
 
-    def compared(left: DataFrame, leaders: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """Links between members of ``left`` and leaders of their buckets in other classes, and the pairs that were aligned."""
+    def possible(every: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+            def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+                tile, node, comp, n = (rows.column(c).to_numpy() for c in ("tile", "node", "comp", "n_words"))
+                edges = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+                raw, pairs = rows.column("bins").to_pylist(), set()
+                for x, y in zip(edges, edges[1:], strict=False):
+                    bins = np.frombuffer(b"".join(raw[x:y]), dtype="<u2").reshape(y - x, BINS).astype(np.int32)
+                    found = _possible(comp[x:y], n[x:y], bins, threshold)
+                    for i, j, _ in found if every else _nearest(found, comp[x:y]):
+                        pairs.add((min(node[x + i], node[x + j]), max(node[x + i], node[x + j])))
+                    if len(pairs) > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*pairs, strict=True)], schema=schema)
+                        pairs = set()
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*pairs, strict=True)], schema=schema)
+
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if held and held[-1].column("tile")[-1] == batch.column("tile")[-1]:
+                    held.append(batch)  # the same tile goes on
+                    continue
+                tile = batch.column("tile").to_numpy()
+                last = int(np.flatnonzero(tile != tile[-1])[-1] + 1) if tile[0] != tile[-1] else 0
+                if held or last:
+                    yield from of(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = [batch.slice(last)]
+            if held:
+                yield from of(pa.Table.from_batches(held))
+
+        return run
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` whose texts are within the limit."""
+        near = pairs.join(kept.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(kept.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        return stored(near.select("a", "b", "text_a", "text_b").mapInArrow(aligned, "a long, b long, distance long"))
+
+    def placed_now() -> DataFrame:
+        return stored(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+
+    tested, comps = None, docs.sparkSession.createDataFrame([], "node long, comp long")
+    for upto in (EARLY, LATER):
+        left = (members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))).where(F.col("j") < upto)
+        leaders = _first(left, 1, F.col("node"))
         pairs = (
-            left.alias("m").join(leaders.alias("l"), F.col("m.bucket") == F.col("l.bucket")).where("m.comp <> l.comp and m.node <> l.node")
+            left.alias("m").join(leaders.alias("l"), F.col("m.bucket") == F.col("l.bucket")).where("m.comp <> l.comp")
             .where(F.abs(F.col("m.n_words") - F.col("l.n_words")) <= (1 - threshold) * F.greatest("m.n_words", "l.n_words") + 1e-9)
             .select(F.least("m.node", "l.node").alias("a"), F.greatest("m.node", "l.node").alias("b")).distinct()
         )
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        near = pairs.join(kept.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(kept.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        near = stored(near.select("a", "b", "text_a", "text_b").mapInArrow(aligned, "a long, b long, distance long"))
-        return near, pairs if tested is None else tested.union(pairs)
-
-    state = members.withColumn("done", F.lit(False)).withColumn("comp", F.col("node"))
-    early = state.where("early")
-    near, tested = compared(early, _first(early, 1, F.col("node")), None)
-    comps = _merged(docs.sparkSession.createDataFrame([], "node long, comp long"), near)
-    state = stored(state.drop("comp").join(comps, "node", "left").select("bucket", "node", "n_words", "done", F.coalesce("comp", "node").alias("comp")))
-    leaders_each = 1
-    while True:
-        left = state.where("not done")
-        ahead = _first(left, leaders_each, F.col("node"))
-        beside = ahead if leaders_each == 1 else ahead.unionByName(_first(state.where("done").join(left.select("bucket").distinct(), "bucket"), leaders_each, F.xxhash64("node", F.lit(leaders_each))))
-        near, tested = compared(left, beside, tested)
-        if not near.isEmpty():
-            comps = _merged(comps, near)
-        state = state.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        led = ahead.select("bucket", F.col("node").alias("lead")).join(comps.select(F.col("node").alias("lead"), F.col("comp").alias("led")), "lead", "left")
-        led = led.select("bucket", F.coalesce("led", "lead").alias("comp")).distinct().withColumn("now", F.lit(True))
-        state = stored(state.join(led, ["bucket", "comp"], "left").select("bucket", "node", "n_words", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"), "comp"))
-        if state.where("not done").isEmpty():
-            break
-        leaders_each *= 8
+        tested = pairs if tested is None else stored(tested.union(pairs))
+        comps = _merged(comps, linked(pairs))
+    bins = texts.select("node", "bins")
+    for every in (False, True):
+        tiles = _tiles(placed_now()).join(bins, "node").repartition("tile").sortWithinPartitions("tile")
+        pairs = stored(tiles.mapInArrow(possible(every), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tested = stored(tested.union(pairs))
+        comps = _merged(comps, linked(pairs))
 
     classed = base.join(first, "same", "left").join(comps, "node", "left")
     own = classed.where("id is not null").groupBy("id").agg(F.min(F.coalesce("comp", "node", "id")).alias("class_id"))
