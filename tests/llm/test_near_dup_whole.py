@@ -54,3 +54,37 @@ def test_bound_rules_out_no_link():
     found = {(i, j) for i, j, _ in near_dup._possible(np.arange(len(texts)), n, near_dup._bins(h, n).astype(np.int32), 0.8)}
     links = {(i, j) for i, j in combinations(range(len(texts)), 2) if near_dup.banded_distance(texts[i], texts[j], int(0.2 * max(n[i], n[j]) + 1e-9)) is not None}
     assert links and links <= found and len(found) < 80 * 79 // 2
+
+
+def test_classes_are_brute_force_for_all_kinds_of_edits(spark):
+    rng = random.Random(4)
+    new = lambda: f"x{rng.randrange(10**9)}"
+    texts = []
+    for n in (5, 8, 15, 30, 60, 120):
+        for kind in range(6):
+            t = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            d, u = n // 5, list(t)
+            if kind == 0:
+                u = u[d:]
+            elif kind == 1:
+                u = u[: n // 2 - d // 2] + u[n // 2 - d // 2 + d :]
+            elif kind == 2:
+                u[n // 2] = new()
+            elif kind == 3:
+                for _ in range(n // 4):
+                    u.insert(rng.randrange(len(u) + 1), new())
+            else:
+                for i in rng.sample(range(n), d):
+                    u[i] = new()
+            texts += [" ".join(t), " ".join(u)]
+    # variants that are mostly linked through few others
+    base = [f"b{i}" for i in range(60)]
+    for _ in range(150):
+        v = list(base)
+        for i in rng.sample(range(60), 8):
+            v[i] = new()
+        texts.append(" ".join(v))
+    expected = brute_force(texts)
+    out = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
+    assert [out[i] for i in range(len(texts))] == expected
+    assert sum(expected[2 * i] == expected[2 * i + 1] for i in range(36)) == 36 and 1 < len(set(expected[72:])) < 150

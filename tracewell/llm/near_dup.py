@@ -1,9 +1,10 @@
-"""Near-duplicate documents by order MinHash, verified by banded alignment.
+"""Near-duplicate documents by MinHash of labelled k-mers, verified by banded alignment.
 
-A sketch samples, with one seed, the k-mer of words with the least hash from each of a few stretches of equal
-length, in text order; a k-mer that occurs again carries its occurrence number. Equal sketches thus ask for equal
-words in equal order all over the text, which follows edit similarity; texts that only share a passage, however
-common, differ in the other stretches. Documents with an equal sketch and nearly equal length share a bucket.
+A sketch samples the few least k-mers of words of all of a text, each by a hash of its own; a k-mer that occurs again
+carries its occurrence number. Where in a text its words are changed, inserted or cut does not matter, only how many
+k-mers are left. Texts of up to SHORT words are sketched by single words: of these at least two thirds of those
+of both texts are shared by any pair within the limit. Longer texts are sketched by pairs of words, which far fewer
+unrelated texts share. Documents with an equal sketch share a bucket.
 
 Two rounds with one leader a bucket join most copies: first over a few sketches, then over some more, so that a group of
 thousands of copies takes about one alignment for each member. Then comes an exact pass: within every bucket that
@@ -15,7 +16,6 @@ lost. Identical texts are aligned once.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,25 +27,22 @@ from tracewell.llm._common import WordHashes, mix, rolling, slices, starts_of, s
 
 #: Sketches in the two rounds of leaders.
 EARLY, LATER = 4, 12
+#: Words of a text up to which single words are sampled, and how many a sketch.
+SHORT, SHORT_SAMPLE = 50, 5
 #: Bins of words for the lower bound of a distance.
 BINS = 128
 #: Texts of a class that one task compares with as many others of a large bucket.
 TILE = 1000
 
 
-def _sketches(km: np.ndarray, counts: np.ndarray, sample: int, seeds: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """A row of sketches for each run of ``counts`` (none empty) k-mer hashes: per seed the least hash of each stretch, in order."""
-    starts, parts = starts_of(counts)[:-1], np.minimum(counts, sample)
-    first = starts_of(parts)
-    nth = np.arange(first[-1]) - np.repeat(first[:-1], parts)
-    edges = np.repeat(starts, parts) + np.repeat(counts, parts) * nth // np.repeat(parts, parts)
+def _sketches(km: np.ndarray, counts: np.ndarray, seeds: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """A row of sketches for each run of ``counts`` (none empty) k-mer hashes: of each row of seeds the least hash by each seed."""
+    starts = starts_of(counts)[:-1]
     out = np.empty((len(counts), len(seeds)), dtype=np.uint64)
-    for j, (seed, odd) in enumerate(zip(seeds, odds, strict=True)):
-        least = np.minimum.reduceat((km ^ seed) * odd, edges)
-        sketch = np.full(len(counts), seed, dtype=np.uint64)
-        for r in range(sample):
-            have = parts > r
-            sketch[have] = mix(sketch[have] * np.uint64(0x9E3779B97F4A7C15) + least[first[:-1][have] + r])
+    for j, (own, odd) in enumerate(zip(seeds, odds, strict=True)):
+        sketch = np.full(len(counts), own[0], dtype=np.uint64)
+        for seed, o in zip(own, odd, strict=True):
+            sketch = mix(sketch * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((km ^ seed) * o, starts))
         out[:, j] = sketch
     return out
 
@@ -166,12 +163,6 @@ def _tiles(state: DataFrame) -> DataFrame:
     return rows.withColumn("part", part).select("bucket", "node", "comp", "n_words", tile).select(F.xxhash64("bucket", "t").alias("tile"), "node", "comp", "n_words")
 
 
-def _length_classes(n: Column, threshold: float) -> Column:
-    """Two classes for a length; lengths with a ratio of at least ``threshold`` have one in common."""
-    c = F.floor(F.log(n) / F.lit(-math.log(threshold)) + F.lit(1e-9))
-    return F.array(c, c + 1)
-
-
 def _components(links: DataFrame) -> DataFrame:
     """Columns node, comp (its least node) of the undirected links a, b: least labels spread and jump until none changes."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -201,23 +192,22 @@ def _first(members: DataFrame, count: int, order: Column) -> DataFrame:
     return members.withColumn("nth", nth).where(F.col("nth") <= count).drop("nth")
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5, sample: int = 3, sketches: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2, sample: int = 3, sketches: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of near-duplicates that each document belongs to.
 
     Two texts are linked if their word edit distance is at most (1 - threshold) of the longer one's words
     (words: split at ASCII white space, A-Z lower-cased); a class is what links join, and identical texts.
     Returns one row per input row: the id, ``class_id`` (least id of the class), ``n_words``.
 
-    Sketches find a pair whose stretches share the part J of their k-mers with probability 1 - (1 - J**sample)**sketches:
-    over 0.999999 for J = 0.8, 0.999 for 0.6, 0.98 for 0.5. Two texts that share a bucket are always
+    Sketches find a pair that shares the part J of its k-mers with probability 1 - (1 - J**sample)**sketches. At the limit of
+    20 % edits J is 3/7 if each edit stands alone (0.994), more for edits side by side, and 2/3 for short texts (0.9999). Two texts that share a bucket are always
     compared, unless they have a class in common already.
 
     Null text: no words, a class of its own. Texts without words are linked only if identical. Null id: class null, not
     compared. Rows that share an id are one document: a link of any of its texts counts for all of them.
     """
     rng = np.random.default_rng(20240601)
-    seeds = rng.integers(1, 2**63, sketches, dtype=np.uint64)
-    odds = rng.integers(1, 2**63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    draws = [(rng.integers(1, 2**63, (sketches, n), dtype=np.uint64), rng.integers(1, 2**63, (sketches, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)) for n in (sample, SHORT_SAMPLE)]
     out = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("n_words", pa.int64()), ("bins", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +217,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5,
                 words = [(t or b"").lower().split() for t in part.column("text").to_pylist()]
                 n = np.array([len(w) for w in words])
                 h = hashes.of([x for w in words for x in w])
-                km, counts = _kmers(h, n, k)
-                made = [[]] * len(words)
-                if len(km):
-                    for i, s in zip(np.flatnonzero(counts), _sketches(km, counts[counts > 0], sample, seeds, odds).astype(np.int64), strict=True):
-                        made[i] = s
+                made: list[list[np.ndarray]] = [[] for _ in words]
+                # a short text and a longer one within the limit are both sketched as either
+                for chosen, width, (seeds, odds) in ((n > threshold * SHORT, k, draws[0]), ((n > 0) & (n <= SHORT), 1, draws[1])):
+                    if chosen.any():
+                        km, counts = _kmers(h[np.repeat(chosen, n)], n[chosen], width)
+                        for i, s in zip(np.flatnonzero(chosen), _sketches(km, counts, seeds, odds).astype(np.int64), strict=True):
+                            made[i].append(s)
+                made = [np.concatenate(m) if m else [] for m in made]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("same"), pa.array(n), pa.array([b.tobytes() for b in _bins(h, n)], type=pa.binary()), pa.array(made, type=pa.list_(pa.int64()))], schema=out)
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +241,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 5,
     named = base.where("id is not null and same is not null")
     first = named.groupBy("same").agg(F.min("id").alias("node"))
     texts = named.join(first, (named.same == first.same) & (named.id == first.node)).select("node", "n_words", "bins", "sketch").where("n_words > 0")
-    placed = texts.select("node", "n_words", F.posexplode("sketch").alias("j", "s"), _length_classes(F.col("n_words"), threshold).alias("classes"))
-    placed = placed.select(F.explode("classes").alias("c"), "node", "n_words", "j", "s").select(F.xxhash64("j", "s", "c").alias("bucket"), "node", "n_words", "j")
+    placed = texts.select("node", "n_words", F.posexplode("sketch").alias("j", "bucket")).withColumn("j", F.col("j") % sketches)
     full = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = stored(placed.join(full, "bucket"))
     wanted = members.select("node").distinct()
