@@ -4,7 +4,8 @@ Benchmark items are partitioned by their number of shingles, in powers of two. F
 shingles a document is covered by overlapping windows of 2u shingles that begin every u: any passage of an item's
 length lies whole in one of them, and against a window of that size the item's containment implies a Jaccard
 similarity that MinHash finds, however long the document. A window and an item with any equal minimum become a
-candidate; a candidate document is then verified by exact containment of the item's shingles in all of it.
+candidate. Items of less than LEAST / 2 shingles are looked up by each of their shingles instead, as a window would
+dwarf them. A candidate document is then verified by exact containment of the item's shingles in all of it.
 
 The benchmark is searched in blocks of bounded size, each in one pass over the documents, so what executors
 hold of it is bounded whatever its size.
@@ -34,6 +35,7 @@ class _Index:
         self.k, self.seeds, self.odds = k, seeds, odds
         hashes = WordHashes()
         self.shingles: dict[int, list[set[tuple[bytes, ...]]]] = defaultdict(list)
+        short: list[tuple[int, int]] = []
         minima: dict[int, list[list[tuple[int, int]]]] = {}
         for item, text in items:
             words = text.encode().lower().split()
@@ -41,6 +43,10 @@ class _Index:
                 continue
             h = rolling(hashes.of(words), k)
             distinct = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+            if len(h) < LEAST // 2:
+                self.shingles[item].append(distinct)
+                short += [(x, item) for x in set(h.tolist())]
+                continue
             u = LEAST
             while u < len(h):
                 u *= 2
@@ -48,24 +54,35 @@ class _Index:
             own = minima.setdefault(u, [[] for _ in seeds])
             for j, (s, o) in enumerate(zip(seeds, odds, strict=True)):
                 own[j].append((int(((h ^ s) * o).min()), item))
-        self.parts = {}
-        for u, by_seed in sorted(minima.items()):
-            self.parts[u] = []
-            for pairs in by_seed:
-                pairs.sort()
-                values = np.array([p[0] for p in pairs], dtype=np.uint64)
-                bits = np.zeros(1 << 16, dtype=bool)
-                bits[(values >> np.uint64(48)).astype(np.int64)] = True
-                self.parts[u].append((values, [p[1] for p in pairs], bits))
+        self.short = self._sorted(short) if short else None
+        self.parts = {u: [self._sorted(pairs) for pairs in by_seed] for u, by_seed in sorted(minima.items())}
+
+    @staticmethod
+    def _sorted(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """Hashes in order, their items, and which leading 16 bits there are."""
+        pairs.sort()
+        values = np.array([p[0] for p in pairs], dtype=np.uint64)
+        bits = np.zeros(1 << 16, dtype=bool)
+        bits[(values >> np.uint64(48)).astype(np.int64)] = True
+        return values, [p[1] for p in pairs], bits
 
     def candidates(self, h: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
-        """(Document, item) whose windows have an equal minimum; ``h``: joined shingle hashes of documents with ``counts``."""
+        """(Document, item) whose windows have an equal minimum, or that share a shingle if the item is short; ``h``: joined shingle hashes of documents with ``counts``."""
         docs = np.repeat(np.arange(len(counts)), -(-counts // LEAST))
         starts = starts_of(counts)
         first = starts_of(-(-counts // LEAST))
         inside = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
         blocks = np.repeat(starts[:-1], np.diff(first)) + inside * LEAST
         found: set[tuple[int, int]] = set()
+        if self.short:
+            values, items, bits = self.short
+            at = np.flatnonzero(bits[(h >> np.uint64(48)).astype(np.int64)])
+            lo, hi = np.searchsorted(values, h[at], "left"), np.searchsorted(values, h[at], "right")
+            owner = np.searchsorted(starts, at, "right") - 1
+            for i in np.flatnonzero(hi > lo):
+                found.update((int(owner[i]), items[x]) for x in range(lo[i], hi[i]))
+        if not self.parts:
+            return found
         for j, (s, o) in enumerate(zip(self.seeds, self.odds, strict=True)):
             least = np.minimum.reduceat((h ^ s) * o, blocks)
             width, whole = 1, least
@@ -88,9 +105,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
     A shingle is ``k`` consecutive words (split at ASCII white space, A-Z lower-cased). Returns the id, the item's id,
     ``n_shared`` and ``n_shingles`` (distinct shingles of the item, in the document and in all), ``containment``. A
-    passage that is whole has a Jaccard similarity of at least 1/4 to a window unless its partition's smallest; 48
-    seeds miss such a one with a probability under 0.000002. Items of less than LEAST / 2 shingles are found
-    less surely: those of one shingle in 4 of 5 cases.
+    passage that is whole has a Jaccard similarity of at least 1/4 to a window; 48 seeds miss such a one with a
+    probability under 0.000002. Items of less than LEAST / 2 shingles are always found.
 
     Null text or id on either side: no pair. An item of fewer than k words has no shingle and meets nothing. Of rows that
     share an id each is searched as a text of its own; the best pair counts.
@@ -116,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                     ends = np.repeat(starts_of(words_n)[1:], words_n)
                     r = rolling(h, k)
                     r = r[np.arange(len(r)) + k <= ends[: len(r)]]
-                    if not len(r) or not index.parts:
+                    if not len(r) or not index.shingles:
                         continue
                     real = np.flatnonzero(counts)
                     ids, out = part.column("id").to_pylist(), []
