@@ -81,10 +81,10 @@ def test_classes_are_brute_force_for_all_kinds_of_edits(spark):
     base = [f"b{i}" for i in range(60)]
     for _ in range(150):
         v = list(base)
-        for i in rng.sample(range(60), 8):
+        for i in rng.sample(range(60), 7):
             v[i] = new()
         texts.append(" ".join(v))
     expected = brute_force(texts)
     out = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), DOC)).collect()}
     assert [out[i] for i in range(len(texts))] == expected
-    assert sum(expected[2 * i] == expected[2 * i + 1] for i in range(36)) == 36 and 1 < len(set(expected[72:])) < 150
+    assert sum(expected[2 * i] == expected[2 * i + 1] for i in range(36)) == 36 and set(expected[72:]) == {72}
