@@ -122,7 +122,7 @@ def _links(spark, sf_dir) -> DataFrame:
     return ev.select(F.lit("contacted").alias("type"), F.concat(F.lit("user:"), "u").alias("from"), F.concat(F.lit("k:"), "k").alias("to"), "t", F.col("t").alias("act"), "seq", F.col("kind").alias("detail"), F.lit(1).alias("phase"))
 
 
-_LINKS = EV + """, o AS (SELECT 'user:' || u AS f, 'k:' || k AS g, t, seq, kind FROM ev WHERE file = 0), e AS (SELECT *, row_number() OVER (PARTITION BY f, g ORDER BY t, seq) AS n FROM o),
+_LINKS = EV + """, o AS (SELECT 'user:' || u AS f, 'k:' || k AS g, t, seq, kind FROM ev), e AS (SELECT *, row_number() OVER (PARTITION BY f, g ORDER BY t, seq) AS n FROM o),
 links AS (SELECT f, g, min(t) AS t, max(t) AS last, count(*) AS n, max(CASE WHEN n = 1 THEN kind END) AS detail, string_agg(CASE WHEN n <= 3 THEN CAST(seq AS VARCHAR) END, ',' ORDER BY n) AS evidence FROM e GROUP BY f, g)"""
 
 
