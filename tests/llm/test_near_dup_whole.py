@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -45,15 +45,29 @@ def test_members_of_different_classes_meet(spark, monkeypatch):
     assert max(map(len, tiles.values())) < 50
 
 
+def near_dup_roots(n, pairs):
+    head = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            head[i] = head[j] = min(head[i], head[j])
+    return head
+
+
 def test_bound_rules_out_no_link():
     rng = random.Random(8)
     texts = [[rng.randrange(12) for _ in range(rng.randrange(1, 40))] for _ in range(40)]
     texts += [[rng.randrange(12) if rng.random() < 0.15 else w for w in t] for t in texts]
     n = np.array([len(t) for t in texts])
     h = near_dup.WordHashes().of([str(w).encode() for t in texts for w in t])
-    found = {(i, j) for i, j, _ in near_dup._possible(np.arange(len(texts)), n, near_dup._bins(h, n).astype(np.int32), 0.8)}
+    made = list(near_dup._possible(np.arange(len(texts)), n, near_dup._bags(h, n), 0.8))
+    found = {(i, j) for i, js, _ in made for j in js.tolist()}
     links = {(i, j) for i, j in combinations(range(len(texts)), 2) if near_dup.banded_distance(texts[i], texts[j], int(0.2 * max(n[i], n[j]) + 1e-9)) is not None}
     assert links and links <= found and len(found) < 80 * 79 // 2
+    bags = [Counter(t) for t in texts]
+    assert {(i, int(j)): int(b) for i, js, bounds in made for j, b in zip(js, bounds, strict=True)} == {(i, j): max((bags[i] - bags[j]).total(), (bags[j] - bags[i]).total()) for i, j in found}
+    forest = near_dup._forest(iter(made), np.arange(len(texts)))
+    joined = lambda pairs: near_dup_roots(len(texts), pairs)
+    assert len(forest) < len(texts) and set(forest) <= found and joined(forest) == joined(found)
 
 
 def test_classes_are_brute_force_for_all_kinds_of_edits(spark):

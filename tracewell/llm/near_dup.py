@@ -1,17 +1,18 @@
-"""Near-duplicate documents by MinHash of labelled k-mers, verified by banded alignment.
-
-A sketch samples the few least k-mers of words of all of a text, each by a hash of its own; a k-mer that occurs again
-carries its occurrence number. Where in a text its words are changed, inserted or cut does not matter, only how many
-k-mers are left. Texts of up to SHORT words are sketched by single words: of these at least two thirds of those
-of both texts are shared by any pair within the limit. Longer texts are sketched by pairs of words, which far fewer
-unrelated texts share. Documents with an equal sketch share a bucket.
-
-Two rounds with one leader a bucket join most copies: first over a few sketches, then over some more, so that a group of
-thousands of copies takes about one alignment for each member. Then comes an exact pass: within every bucket that
-still holds several classes all texts of different classes are compared, large buckets in tiles spread over tasks.
-How often the words of either text fall into each of some bins gives a lower bound of their distance; all pairs that it
-does not rule out are aligned. So no bucket is capped, and no link between two texts that share a bucket is
-lost. Identical texts are aligned once.
+"""Near-duplicate documents by Order MinHash, verified by banded alignment.
+
+A sketch samples the few least k-mers of words of a whole text under one hash and keeps them in text order; a k-mer that
+occurs again carries its occurrence number. So texts share a sketch if they share k-mers in the same order, wherever
+words were changed, inserted or cut. Texts of up to 50 words are sketched by single words, of which any pair within
+the limit shares two thirds; longer texts by pairs of words, which far fewer unrelated texts share. Documents with an
+equal sketch share a bucket.
+
+Each text is first aligned with the one leader (least id of a bucket) that it shares most buckets with; this
+joins most copies at one alignment a text, however large their group. Then comes an exact pass: within every bucket
+that still holds several classes all texts of different classes are compared, large buckets in tiles spread over
+tasks. How many words one text has in excess of the other is a lower bound of their distance. Of the pairs that it
+leaves a spanning forest of each tile is aligned first, which joins what can be joined by few alignments; then all
+pairs that still stand in different classes. So no bucket is capped, and no link between two texts that share a bucket
+is lost. Identical texts are aligned once.
 """
 
 from __future__ import annotations
@@ -21,28 +22,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tracewell.llm._common import WordHashes, mix, rolling, slices, starts_of, stored
 
-#: Sketches in the two rounds of leaders.
-EARLY, LATER = 4, 12
-#: Words of a text up to which single words are sampled, and how many a sketch.
-SHORT, SHORT_SAMPLE = 50, 5
-#: Bins of words for the lower bound of a distance.
+#: Texts of up to so many words are sketched by so many single words; longer ones by k-mers.
+SHORT = ((15, 3), (50, 5))
+#: Bins of words for the first lower bound of a distance.
 BINS = 128
 #: Texts of a class that one task compares with as many others of a large bucket.
 TILE = 1000
 
 
-def _sketches(km: np.ndarray, counts: np.ndarray, seeds: np.ndarray, odds: np.ndarray) -> np.ndarray:
-    """A row of sketches for each run of ``counts`` (none empty) k-mer hashes: of each row of seeds the least hash by each seed."""
-    starts = starts_of(counts)[:-1]
-    out = np.empty((len(counts), len(seeds)), dtype=np.uint64)
-    for j, (own, odd) in enumerate(zip(seeds, odds, strict=True)):
-        sketch = np.full(len(counts), own[0], dtype=np.uint64)
-        for seed, o in zip(own, odd, strict=True):
-            sketch = mix(sketch * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((km ^ seed) * o, starts))
+def _sketches(km: np.ndarray, counts: np.ndarray, seeds: np.ndarray, odds: np.ndarray, size: int) -> np.ndarray:
+    """A row of sketches for each run of ``counts`` (none empty) k-mer hashes: of each seed the ``size`` least k-mers, in text order.
+
+    Only hashes under a bound that some 3 * size + 6 are expected under are sorted; a run with too few of them is sorted whole.
+    """
+    n, starts = len(counts), starts_of(counts)
+    out = np.zeros((n, len(seeds)), dtype=np.uint64)
+    owner = np.repeat(np.arange(n), counts)
+    share = np.minimum((3 * size + 6) / counts, 1.0)
+    bound = np.repeat(np.where(share < 1, share * 2.0**64, 0).astype(np.uint64) - np.uint64(1), counts)
+    least = np.minimum(counts, size)
+    for j, (seed, odd) in enumerate(zip(seeds, odds, strict=True)):
+        v = (km ^ seed) * odd
+        at = np.flatnonzero(v <= bound)
+        few = np.flatnonzero(np.bincount(owner[at], minlength=n) < least)
+        if len(few):
+            whole = np.zeros(n, dtype=bool)
+            whole[few] = True
+            at = np.flatnonzero((v <= bound) | whole[owner])
+        order = at[np.lexsort((v[at], owner[at]))]
+        sizes = np.bincount(owner[order], minlength=n)
+        rank = np.arange(len(order)) - np.repeat(starts_of(sizes)[:-1], sizes)
+        chosen = np.sort(order[rank < size])  # places in the joined texts: each run's k-mers in text order
+        row = owner[chosen]
+        place = np.arange(len(chosen)) - starts_of(least)[row]
+        told = np.zeros((n, size), dtype=np.uint64)
+        told[row, place] = km[chosen]
+        sketch = np.full(n, seed, dtype=np.uint64)
+        for c in range(size):
+            sketch = mix(sketch * np.uint64(0x9E3779B97F4A7C15) + told[:, c])
         out[:, j] = sketch
     return out
 
@@ -112,35 +133,65 @@ def banded_distance(a: list, b: list, limit: int) -> int | None:
     return dist if dist <= limit else None
 
 
-def _bins(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """How many words of each document fall into each bin; counts stop at 65535, which only lowers the bound."""
+def _bags(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Each document's words as pairs of 16 bits of the hash and how often it occurs; counts stop at 65535, which only lowers the bound."""
     owner = np.repeat(np.arange(len(n)), n)
-    counts = np.bincount(owner * BINS + (h % np.uint64(BINS)).astype(np.int64), minlength=len(n) * BINS)
-    return np.minimum(counts, 65535).astype("<u2").reshape(len(n), BINS)
+    told, counts = np.unique((owner.astype(np.uint64) << np.uint64(16)) | (h & np.uint64(0xFFFF)), return_counts=True)
+    pairs = np.stack([told & np.uint64(0xFFFF), np.minimum(counts, 65535)], axis=1).astype("<u2")
+    cut = np.searchsorted(told >> np.uint64(16), np.arange(len(n) + 1))
+    return [pairs[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
 
 
-def _possible(comps: np.ndarray, n: np.ndarray, bins: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-    """Pairs of texts of different classes that may be within the limit, with the lower bound of their distance; none that is gets lost."""
-    found = []
+def _possible(comps: np.ndarray, n: np.ndarray, bags: list[bytes], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pairs of texts of different classes that may be within the limit, as i, all its j > i, and lower bounds of their distances.
+
+    The bound is the number of words that one text has in excess of the other: first by bins, then for what is left by words.
+    """
+    sizes = np.array([len(x) // 4 for x in bags])
+    starts = starts_of(sizes)
+    words, times = np.frombuffer(b"".join(bags), dtype="<u2").reshape(-1, 2).T.astype(np.int64)
+    owner = np.repeat(np.arange(len(n)), sizes)
+    bins = np.bincount(owner * BINS + words % BINS, weights=times, minlength=len(n) * BINS).astype(np.int32).reshape(len(n), BINS)
+    have = np.zeros(1 << 16, dtype=np.int64)
     for i in range(len(n) - 1):
         limit = np.floor((1 - threshold) * np.maximum(n[i], n[i + 1 :]) + 1e-9)
         js = np.flatnonzero((comps[i + 1 :] != comps[i]) & (np.abs(n[i + 1 :] - n[i]) <= limit))
+        # what the longer text has in excess is the larger part
+        excess = lambda js, common: np.maximum(n[i], n[i + 1 + js]) - common  # noqa: E731, B023
         if len(js):
-            over = bins[i] - bins[i + 1 + js]
-            bound = np.maximum(np.maximum(over, 0).sum(axis=1), np.maximum(-over, 0).sum(axis=1))
-            for j in np.flatnonzero(bound <= limit[js]):
-                found.append((i, int(i + 1 + js[j]), int(bound[j])))
-    return found
-
-
-def _nearest(found: list[tuple[int, int, int]], comps: np.ndarray) -> list[tuple[int, int, int]]:
-    """Of ``found`` the pairs in which one text is nearest to the other among those of its class."""
-    seen, out = set(), []
-    for i, j, bound in sorted(found, key=lambda x: x[2]):
-        ways = {(i, comps[j]), (j, comps[i])}
-        if not ways <= seen:
-            seen |= ways
-            out.append((i, j, bound))
+            js = js[excess(js, np.minimum(bins[i], bins[i + 1 + js]).sum(axis=1)) <= limit[js]]
+        if len(js):
+            own = slice(starts[i], starts[i + 1])
+            have[words[own]] = times[own]
+            at = i + 1 + js
+            each = np.repeat(starts[at] - starts_of(sizes[at])[:-1], sizes[at]) + np.arange(sizes[at].sum())
+            common = np.add.reduceat(np.minimum(have[words[each]], times[each]), starts_of(sizes[at])[:-1])
+            have[words[own]] = 0
+            bound = excess(js, common)
+            ok = bound <= limit[js]
+            if ok.any():
+                yield i, at[ok], bound[ok]
+
+
+def _forest(found: Iterator[tuple[int, np.ndarray, np.ndarray]], comps: np.ndarray) -> list[tuple[int, int]]:
+    """Of ``found`` the pairs, those with the lowest bounds first, that would join all its classes if all were links."""
+    each = [(np.full(len(js), i), js, bounds) for i, js, bounds in found]
+    if not each:
+        return []
+    one, two, bounds = (np.concatenate(c) for c in zip(*each, strict=True))
+    head: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := head.get(x, x)) != x:
+            head[x] = x = head.get(up, up)
+        return x
+
+    out = []
+    for k in np.argsort(bounds, kind="stable").tolist():
+        x, y = root(int(comps[one[k]])), root(int(comps[two[k]]))
+        if x != y:
+            head[x] = y
+            out.append((int(one[k]), int(two[k])))
     return out
 
 
@@ -186,12 +237,6 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(found.join(comps, "node", "left_anti")))
 
 
-def _first(members: DataFrame, count: int, order: Column) -> DataFrame:
-    """The first ``count`` members of each bucket; Spark limits them before it deals them out."""
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(order, "node"))
-    return members.withColumn("nth", nth).where(F.col("nth") <= count).drop("nth")
-
-
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2, sample: int = 3, sketches: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of near-duplicates that each document belongs to.
 
@@ -199,16 +244,19 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2,
     (words: split at ASCII white space, A-Z lower-cased); a class is what links join, and identical texts.
     Returns one row per input row: the id, ``class_id`` (least id of the class), ``n_words``.
 
-    Sketches find a pair that shares the part J of its k-mers with probability 1 - (1 - J**sample)**sketches. At the limit of
-    20 % edits J is 3/7 if each edit stands alone (0.994), more for edits side by side, and 2/3 for short texts (0.9999). Two texts that share a bucket are always
-    compared, unless they have a class in common already.
+    Sketches find a pair that shares the part J of its k-mers with a probability of about 1 - (1 - J**sample)**sketches. At the
+    limit of 20 % edits J is 3/7 if each edit stands alone (0.994), more for edits side by side. Two texts that share
+    a bucket are always compared, unless they have a class in common already.
 
     Null text: no words, a class of its own. Texts without words are linked only if identical. Null id: class null, not
     compared. Rows that share an id are one document: a link of any of its texts counts for all of them.
     """
     rng = np.random.default_rng(20240601)
-    draws = [(rng.integers(1, 2**63, (sketches, n), dtype=np.uint64), rng.integers(1, 2**63, (sketches, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)) for n in (sample, SHORT_SAMPLE)]
-    out = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("n_words", pa.int64()), ("bins", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+    tiers, low = [], 0.0  # a text near the border of two tiers is sketched in both, as its copies may stand beyond it
+    for high, width, size in (*((high, 1, size) for high, size in SHORT), (2**62, k, sample)):
+        tiers.append((low, high, width, size, rng.integers(1, 2**63, sketches, dtype=np.uint64), rng.integers(1, 2**63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
+        low = threshold * high
+    out = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("n_words", pa.int64()), ("bag", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -218,14 +266,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2,
                 n = np.array([len(w) for w in words])
                 h = hashes.of([x for w in words for x in w])
                 made: list[list[np.ndarray]] = [[] for _ in words]
-                # a short text and a longer one within the limit are both sketched as either
-                for chosen, width, (seeds, odds) in ((n > threshold * SHORT, k, draws[0]), ((n > 0) & (n <= SHORT), 1, draws[1])):
+                for low, high, width, size, seeds, odds in tiers:
+                    chosen = (n > low) & (n <= high)
                     if chosen.any():
                         km, counts = _kmers(h[np.repeat(chosen, n)], n[chosen], width)
-                        for i, s in zip(np.flatnonzero(chosen), _sketches(km, counts, seeds, odds).astype(np.int64), strict=True):
+                        for i, s in zip(np.flatnonzero(chosen), _sketches(km, counts, seeds, odds, size).astype(np.int64), strict=True):
                             made[i].append(s)
                 made = [np.concatenate(m) if m else [] for m in made]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("same"), pa.array(n), pa.array([b.tobytes() for b in _bins(h, n)], type=pa.binary()), pa.array(made, type=pa.list_(pa.int64()))], schema=out)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("same"), pa.array(n), pa.array(_bags(h, n), type=pa.binary()), pa.array(made, type=pa.list_(pa.int64()))], schema=out)
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,16 +285,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2,
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array([d for d in far if d is not None], type=pa.int64())], names=["a", "b", "distance"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).withColumn("same", F.unhex(F.md5("text")))
-    base = stored(rows.mapInArrow(sketch, "id long, same binary, n_words long, bins binary, sketch array<long>"))
+    base = stored(rows.mapInArrow(sketch, "id long, same binary, n_words long, bag binary, sketch array<long>"))
     named = base.where("id is not null and same is not null")
-    first = named.groupBy("same").agg(F.min("id").alias("node"))
-    texts = named.join(first, (named.same == first.same) & (named.id == first.node)).select("node", "n_words", "bins", "sketch").where("n_words > 0")
-    placed = texts.select("node", "n_words", F.posexplode("sketch").alias("j", "bucket")).withColumn("j", F.col("j") % sketches)
-    full = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = stored(placed.join(full, "bucket"))
-    wanted = members.select("node").distinct()
-    source = rows.where("text is not null").select(F.col("id").alias("node"), "text")
-    kept = stored(source.join(wanted, "node", "left_semi"))
+    first = stored(named.groupBy("same").agg(F.min("id").alias("node")))
+    texts = named.join(first, (named.same == first.same) & (named.id == first.node), "left_semi").where("n_words > 0").select(F.col("id").alias("node"), "n_words", "bag", "sketch")
+    placed = texts.select("node", "n_words", F.explode("sketch").alias("bucket"))
+    heads = stored(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1"))
+    members = stored(placed.join(heads.select("bucket", "leader"), "bucket"))
+    kept = stored(rows.where("text is not null").select(F.col("id").alias("node"), "text").join(members.select("node").distinct(), "node", "left_semi"))
 
     def possible(every: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,15 +301,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2,
             def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
                 tile, node, comp, n = (rows.column(c).to_numpy() for c in ("tile", "node", "comp", "n_words"))
                 edges = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
-                raw, pairs = rows.column("bins").to_pylist(), set()
+                bags, pairs = rows.column("bag").to_pylist(), set()
                 for x, y in zip(edges, edges[1:], strict=False):
-                    bins = np.frombuffer(b"".join(raw[x:y]), dtype="<u2").reshape(y - x, BINS).astype(np.int32)
-                    found = _possible(comp[x:y], n[x:y], bins, threshold)
-                    for i, j, _ in found if every else _nearest(found, comp[x:y]):
-                        pairs.add((min(node[x + i], node[x + j]), max(node[x + i], node[x + j])))
-                    if len(pairs) > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*pairs, strict=True)], schema=schema)
-                        pairs = set()
+                    found = _possible(comp[x:y], n[x:y], bags[x:y], threshold)
+                    for i, j in ((i, j) for i, js, _ in found for j in js.tolist()) if every else _forest(found, comp[x:y]):
+                        pairs.add((int(min(node[x + i], node[x + j])), int(max(node[x + i], node[x + j]))))
+                        if len(pairs) > 100_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*pairs, strict=True)], schema=schema)
+                            pairs = set()
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*pairs, strict=True)], schema=schema)
 
@@ -289,32 +334,22 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2,
         near = pairs.join(kept.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(kept.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         return stored(near.select("a", "b", "text_a", "text_b").mapInArrow(aligned, "a long, b long, distance long"))
 
-    def placed_now() -> DataFrame:
-        return stored(members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-
-    tested, comps = None, docs.sparkSession.createDataFrame([], "node long, comp long")
-    for upto in (EARLY, LATER):
-        left = (members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))).where(F.col("j") < upto)
-        leaders = _first(left, 1, F.col("node"))
-        pairs = (
-            left.alias("m").join(leaders.alias("l"), F.col("m.bucket") == F.col("l.bucket")).where("m.comp <> l.comp")
-            .where(F.abs(F.col("m.n_words") - F.col("l.n_words")) <= (1 - threshold) * F.greatest("m.n_words", "l.n_words") + 1e-9)
-            .select(F.least("m.node", "l.node").alias("a"), F.greatest("m.node", "l.node").alias("b")).distinct()
-        )
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else stored(tested.union(pairs))
-        comps = _merged(comps, linked(pairs))
-    bins = texts.select("node", "bins")
+    # first round: each text against the leader that it shares most buckets with
+    shared = members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
+    nearest = shared.groupBy(F.col("node").alias("b")).agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a"))
+    comps = _components(linked(nearest))
+    bags = texts.select("node", "bag")
     for every in (False, True):
-        tiles = _tiles(placed_now()).join(bins, "node").repartition("tile").sortWithinPartitions("tile")
-        pairs = stored(tiles.mapInArrow(possible(every), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti"))
+        now = stored(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), "n_words"))
+        tiles = _tiles(now).join(bags, "node").repartition("tile").sortWithinPartitions("tile")
+        pairs = stored(tiles.mapInArrow(possible(every), "a long, b long").distinct())
         if pairs.isEmpty():
-            continue
-        tested = stored(tested.union(pairs))
-        comps = _merged(comps, linked(pairs))
+            break
+        found = linked(pairs)
+        comps = _merged(comps, found)
 
-    classed = base.join(first, "same", "left").join(comps, "node", "left")
-    own = classed.where("id is not null").groupBy("id").agg(F.min(F.coalesce("comp", "node", "id")).alias("class_id"))
+    classes = first.join(comps, "node", "left").select("same", F.coalesce("comp", "node").alias("class"))
+    own = base.where("id is not null").join(classes, "same", "left").groupBy("id").agg(F.min(F.coalesce("class", "id")).alias("class_id"))
     return base.select("id", "n_words").join(own, "id", "left").select(F.col("id").alias(id_col), "class_id", "n_words")
 
 
