@@ -11,7 +11,7 @@ joins most copies at one alignment a text, however large their group. Then comes
 that still holds several classes all texts of different classes are compared, large buckets in tiles spread over
 tasks. How many words one text has in excess of the other is a lower bound of their distance. Of the pairs that it
 leaves a spanning forest of each tile is aligned first, which joins what can be joined by few alignments; then all
-pairs that still stand in different classes. So no bucket is capped, and no link between two texts that share a bucket
+pairs that still stand in different classes, each in the least bucket that it shares. So no bucket is capped, and no link between two texts that share a bucket
 is lost. Identical texts are aligned once.
 """
 
@@ -31,7 +31,7 @@ SHORT = ((15, 3), (50, 5))
 #: Bins of words for the first lower bound of a distance.
 BINS = 128
 #: Texts of a class that one task compares with as many others of a large bucket.
-TILE = 1000
+TILE = 300
 
 
 def _sketches(km: np.ndarray, counts: np.ndarray, seeds: np.ndarray, odds: np.ndarray, size: int) -> np.ndarray:
@@ -211,7 +211,7 @@ def _tiles(state: DataFrame) -> DataFrame:
     with_m = F.transform(F.sequence(F.lit(0).cast("long"), F.col("gm") - 1), lambda i: i * F.col("go") + F.col("part"))
     with_o = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("go") - 1), lambda j: j != F.col("part")), lambda j: (F.col("gm") + F.least(j, F.col("part"))) * F.col("go") + F.greatest(j, F.col("part")))
     tile = F.explode(F.when(F.col("comp") == F.col("top"), of_m).otherwise(F.concat(with_m, with_o))).alias("t")
-    return rows.withColumn("part", part).select("bucket", "node", "comp", "n_words", tile).select(F.xxhash64("bucket", "t").alias("tile"), "node", "comp", "n_words")
+    return rows.withColumn("part", part).select("bucket", "node", "comp", "n_words", tile).select(F.xxhash64("bucket", "t").alias("tile"), "bucket", "node", "comp", "n_words")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -301,10 +301,18 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2,
             def of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
                 tile, node, comp, n = (rows.column(c).to_numpy() for c in ("tile", "node", "comp", "n_words"))
                 edges = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
-                bags, pairs = rows.column("bag").to_pylist(), set()
+                bags, pairs, sketches_of = rows.column("bag").to_pylist(), set(), {}
+
+                def first_met(at: int, i: int, j: int) -> bool:
+                    """Is the tile's bucket the least that both share? In all others the pair is left out."""
+                    for row in (i, j):
+                        if row not in sketches_of:
+                            sketches_of[row] = frozenset(rows.column("sketch")[row].as_py())
+                    return rows.column("bucket")[at].as_py() == min(sketches_of[i] & sketches_of[j])
+
                 for x, y in zip(edges, edges[1:], strict=False):
                     found = _possible(comp[x:y], n[x:y], bags[x:y], threshold)
-                    for i, j in ((i, j) for i, js, _ in found for j in js.tolist()) if every else _forest(found, comp[x:y]):
+                    for i, j in ((i, j) for i, js, _ in found for j in js.tolist() if first_met(x, x + i, x + j)) if every else _forest(found, comp[x:y]):
                         pairs.add((int(min(node[x + i], node[x + j])), int(max(node[x + i], node[x + j]))))
                         if len(pairs) > 100_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*pairs, strict=True)], schema=schema)
@@ -338,10 +346,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2,
     shared = members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("n"))
     nearest = shared.groupBy(F.col("node").alias("b")).agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("a"))
     comps = _components(linked(nearest))
-    bags = texts.select("node", "bag")
     for every in (False, True):
         now = stored(members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), "n_words"))
-        tiles = _tiles(now).join(bags, "node").repartition("tile").sortWithinPartitions("tile")
+        tiles = _tiles(now).join(texts.select("node", "bag", *(["sketch"] if every else [])), "node").repartition("tile").sortWithinPartitions("tile")
         pairs = stored(tiles.mapInArrow(possible(every), "a long, b long").distinct())
         if pairs.isEmpty():
             break
