@@ -58,7 +58,7 @@ def test_bound_rules_out_no_link():
     texts = [[rng.randrange(12) for _ in range(rng.randrange(1, 40))] for _ in range(40)]
     texts += [[rng.randrange(12) if rng.random() < 0.15 else w for w in t] for t in texts]
     n = np.array([len(t) for t in texts])
-    h = near_dup.WordHashes().of([str(w).encode() for t in texts for w in t])
+    h = near_dup.hashed_words([" ".join(map(str, t)).encode() for t in texts])[1]
     made = list(near_dup._possible(np.arange(len(texts)), n, near_dup._bags(h, n), 0.8))
     found = {(i, j) for i, js, _ in made for j in js.tolist()}
     links = {(i, j) for i, j in combinations(range(len(texts)), 2) if near_dup.banded_distance(texts[i], texts[j], int(0.2 * max(n[i], n[j]) + 1e-9)) is not None}

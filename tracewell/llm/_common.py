@@ -10,13 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes handled at once in a Python worker; keeps its word lists to some tens of MB.
 CHUNK_BYTES = 2_000_000
-#: Distinct words whose hashes a worker remembers.
-WORD_CACHE = 200_000
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -68,17 +65,56 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str) -> Iterator[pa.RecordB
             yield batch.slice(a, b - a)
 
 
-class WordHashes(dict):
-    """Word (bytes) to a 64-bit hash, remembered for the most part."""
+_DRAW = np.random.default_rng(20240600)
+_BYTE = _DRAW.integers(0, 2**64, 256, dtype=np.uint64)
+_BASE = np.uint64(int(_DRAW.integers(2**62, 2**63, dtype=np.uint64)) | 1)
+_SOLID = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def _powers(n: int) -> np.ndarray:
+    out = np.full(max(n, 1), _BASE, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_SHORT_POWERS = _powers(256)
+
+
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte of every word between ASCII white space, and its 64-bit hash."""
+    solid = _SOLID[data]
+    edge = np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return starts, ends, np.empty(0, dtype=np.uint64)
+    sizes, inside = ends - starts, data[solid]
+    first = starts_of(sizes)
+    longest = int(sizes.max())
+    powers = _SHORT_POWERS if longest <= len(_SHORT_POWERS) else _powers(longest)
+    told = _BYTE[inside] * powers[np.arange(len(inside)) - np.repeat(first[:-1], sizes)]
+    return starts, ends, mix(np.add.reduceat(told, first[:-1]) + sizes.astype(np.uint64) * _GOLD)
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words of each text; then of all words in order: 64-bit hash, first and end byte within its text.
+
+    Words stand between ASCII white space. A polynomial over random numbers for bytes, finished by mix(): no word is made
+    into an object. Long input is read in parts of about CHUNK_BYTES, cut at white space.
+    """
+    data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
+    each, at = [], 0
+    while at < len(data):
+        end = at + CHUNK_BYTES
+        while end < len(data) and _SOLID[data[end]]:
+            end += 1
+        starts, ends, h = _hashed(data[at:end])
+        each.append((starts + at, ends + at, h))
+        at = end
+    starts, ends, h = (np.concatenate(c) for c in zip(*each, strict=True)) if each else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))
+    begins = starts_of(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)[:-1]
+    counts = np.diff(np.searchsorted(starts, begins), append=len(starts)) if texts else np.empty(0, dtype=np.int64)
+    shift = np.repeat(begins, counts)
+    return counts, h, starts - shift, ends - shift
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.llm._common import WordHashes, rolling, slices, starts_of
+from tracewell.llm._common import hashed_words, rolling, slices, starts_of
 
 #: Text bytes of the benchmark that are searched for in one pass.
 BLOCK_BYTES = 16_000_000
@@ -33,7 +33,6 @@ class _Index:
 
     def __init__(self, items: list[tuple[int, str]], k: int, seeds: np.ndarray, odds: np.ndarray):
         self.k, self.seeds, self.odds = k, seeds, odds
-        hashes = WordHashes()
         self.shingles: dict[int, list[set[tuple[bytes, ...]]]] = defaultdict(list)
         short: list[tuple[int, int]] = []
         minima: dict[int, list[list[tuple[int, int]]]] = {}
@@ -41,7 +40,7 @@ class _Index:
             words = text.encode().lower().split()
             if len(words) < k:
                 continue
-            h = rolling(hashes.of(words), k)
+            h = rolling(hashed_words([b" ".join(words)])[1], k)
             distinct = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
             if len(h) < LEAST // 2:
                 self.shingles[item].append(distinct)
@@ -122,13 +121,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
     def search(index: _Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
                 for part in slices(batch, "text"):
-                    words = [t.lower().split() for t in part.column("text").to_pylist()]
-                    words_n = np.array([len(w) for w in words])
+                    texts = [t.lower() for t in part.column("text").to_pylist()]
+                    words_n, h, _, _ = hashed_words(texts)
                     counts = np.maximum(words_n - k + 1, 0)
-                    h = hashes.of([x for w in words for x in w])
                     ends = np.repeat(starts_of(words_n)[1:], words_n)
                     r = rolling(h, k)
                     r = r[np.arange(len(r)) + k <= ends[: len(r)]]
@@ -140,7 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                     for d, item in index.candidates(r, counts[real]):
                         by_doc[int(real[d])].append(item)
                     for d, near in by_doc.items():
-                        w = words[d]
+                        w = texts[d].split()
                         has = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
                         for item in near:
                             for own in index.shingles[item]:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.llm._common import WordHashes, mix, rolling, slices, starts_of, stored
+from tracewell.llm._common import hashed_words, mix, rolling, slices, starts_of, stored
 
 #: Texts of up to so many words are sketched by so many single words; longer ones by k-mers.
 SHORT = ((15, 3), (50, 5))
@@ -259,13 +259,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2,
     out = pa.schema([("id", pa.int64()), ("same", pa.binary()), ("n_words", pa.int64()), ("bag", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, "text"):
-                words = [(t or b"").lower().split() for t in part.column("text").to_pylist()]
-                n = np.array([len(w) for w in words])
-                h = hashes.of([x for w in words for x in w])
-                made: list[list[np.ndarray]] = [[] for _ in words]
+                n, h, _, _ = hashed_words([(t or b"").lower() for t in part.column("text").to_pylist()])
+                made: list[list[np.ndarray]] = [[] for _ in n]
                 for low, high, width, size, seeds, odds in tiers:
                     chosen = (n > low) & (n <= high)
                     if chosen.any():
