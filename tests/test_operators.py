@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import random
 
-import pandas as pd
 
 from tracewell.operators.dedup import numbered, without_duplicates
 from tracewell.operators.fold import folded_runs, identical_members
-from tracewell.operators.identity import _resolve_pid
+from tracewell.operators.identity import resolve_references, start_keys
 from tracewell.operators.links import handle_starts, last_writer, merged, next_start
 
 S = 1_000_000
@@ -75,27 +74,41 @@ def test_identical_members_fold_through_their_parents(spark):
     assert {r["key"]: r["rep"] for r in identical_members(members, via).collect()} == {"a1": "a1", "a2": "a1", "b1": "b1", "b2": "b1", "root": "root"}
 
 
-def refs(*rows):
-    return pd.DataFrame([dict(zip(("seq", "role", "guid", "base", "t", "space", "kind"), r, strict=True)) | {"host": "h", "pid": 5, "image": r[3]} for r in rows])
+REFS = "seq long, role int, guid string, base string, t long, space string, kind string, host string, pid long, image string"
 
 
-def resolve(*rows):
-    return {(seq, role): key for seq, role, key in _resolve_pid(refs(*rows))}
+def resolve(spark, *rows):
+    refs = spark.createDataFrame([(*r, "h", 5, r[3]) for r in rows], REFS)
+    return {(r["seq"], r["role"]): r["key"] for r in resolve_references(refs, start_keys(refs)).collect()}
 
 
-def test_pid_reuse_and_twins():
-    got = resolve((1, 0, None, "a.exe", 0, "0|security", "process_start"), (2, 0, None, "b.exe", 3600 * S, "0|security", "process_start"), (3, 0, "G2", "b.exe", 3600 * S + 1000, "0|sysmon", "process_start"), (4, 0, None, "a.exe", 10 * S, "0|security", "network"), (5, 0, None, None, 4000 * S, "0|security", "network"))
+def test_pid_reuse_and_twins(spark):
+    got = resolve(spark, (1, 0, None, "a.exe", 0, "0|security", "process_start"), (2, 0, None, "b.exe", 3600 * S, "0|security", "process_start"), (3, 0, "G2", "b.exe", 3600 * S + 1000, "0|sysmon", "process_start"), (4, 0, None, "a.exe", 10 * S, "0|security", "network"), (5, 0, None, None, 4000 * S, "0|security", "network"))
     assert got == {(1, 0): "p:h:5:0", (2, 0): "g:h:G2", (3, 0): "g:h:G2", (4, 0): "p:h:5:0", (5, 0): "g:h:G2"}
 
 
-def test_late_guid_joins_if_the_image_agrees():
+def test_late_guid_joins_if_the_image_agrees(spark):
     start = (1, 0, None, "a.exe", 0, "0|security", "process_start")
-    assert resolve(start, (2, 0, "G", "a.exe", 5 * S, "0|sysmon", "image_load"))[2, 0] == "p:h:5:0"
-    assert resolve(start, (2, 0, "G", "z.exe", 5 * S, "0|sysmon", "image_load"))[2, 0] == "g:h:G"
+    assert resolve(spark, start, (2, 0, "G", "a.exe", 5 * S, "0|sysmon", "image_load"))[2, 0] == "p:h:5:0"
+    assert resolve(spark, start, (2, 0, "G", "z.exe", 5 * S, "0|sysmon", "image_load"))[2, 0] == "g:h:G"
 
 
-def test_lives_end_and_begin_unseen():
-    got = resolve((1, 0, None, None, 10 * S, "0|e", "network"), (2, 0, None, None, 20 * S, "0|e", "process_end"), (3, 0, None, None, 60 * S, "0|e", "network"), (4, 0, None, None, 61 * S, "0|e", "network"))
+def test_lives_end_and_begin_unseen(spark):
+    got = resolve(spark, (1, 0, None, None, 10 * S, "0|e", "network"), (2, 0, None, None, 20 * S, "0|e", "process_end"), (3, 0, None, None, 60 * S, "0|e", "network"), (4, 0, None, None, 61 * S, "0|e", "network"))
     assert got[1, 0] == got[2, 0] == "p:h:5:10000000" and got[3, 0] == got[4, 0] == "p:h:5:60000000"
 
 
+def test_guids_of_two_sources_are_one_process(spark):
+    got = resolve(
+        spark, (1, 0, "G1", "a.exe", 0, "0|sysmon", "process_start"), (2, 0, "E1", "a.exe", S, "1|edr", "process_start"), (3, 0, "E1", None, 9 * S, "1|edr", "network"), (4, 0, "G9", "a.exe", S, "0|sysmon", "process_start"),
+        (5, 0, "E2", "b.exe", 100 * S, "1|edr", "network"), (6, 0, "E3", "b.exe", 101 * S, "1|edr", "network"), (7, 0, "G5", "b.exe", 102 * S, "0|sysmon", "network"), (8, 0, None, None, None, "2|x", "network"),
+    )
+    assert got[2, 0] == got[3, 0] == got[1, 0] == "g:h:G1" and got[4, 0] == "g:h:G9"
+    # without a start: another GUID of the same source is another process, one of another source is the same
+    assert got[5, 0] == "g:h:E2" and got[6, 0] == "g:h:E3" and got[7, 0] == "g:h:E3"
+    assert got[8, 0] == "g:h:E3"
+
+
+def test_a_pid_alone_takes_the_life_that_begins_unseen(spark):
+    got = resolve(spark, (1, 0, None, None, 0, "0|a", "network"), (2, 0, "G", "a.exe", 50 * S, "1|b", "network"), (3, 0, "G", "a.exe", 60 * S, "1|b", "process_end"), (4, 0, None, None, 90 * S, "0|a", "network"), (5, 2, "P", None, 90 * S, "1|b", "parent"))
+    assert got[1, 0] == got[2, 0] == got[3, 0] == "g:h:G" and got[4, 0] == got[5, 2] == "g:h:P"

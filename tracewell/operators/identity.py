@@ -1,18 +1,17 @@
 """Which process each event is about.
 
 A process is a host and a GUID where a source has one, else a host, a PID and a start. What one source calls by a
-GUID and another by a PID, or by another GUID, is one process if times and images agree. First sights depend on
-order, so references to a PID are resolved in time order, one (host, PID) at a time; references by GUID alone and
-by name alone are joins.
+GUID and another by a PID, or by another GUID, is one process if times and images agree.
+
+All of it is joins and windows: starts become the lives of their PIDs, GUIDs without a start join one or add one where
+they are first seen, and what is known by a PID alone is looked up among these lives by time. References by GUID, which
+are most, never go through a window.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions.text import basename
@@ -20,6 +19,8 @@ from tracewell.operators.tables import stored
 
 #: Records of one start are at most this far apart.
 TWIN = 2_000_000
+#: Later than any time.
+FAR = 2**62
 
 
 @dataclass
@@ -47,147 +48,131 @@ def _refs(events: DataFrame, ref: str, role: int, t: Column | None = None) -> Da
     )
 
 
-@dataclass
-class _Life:
-    """One lifetime of a PID; ``known``: its start is in the input."""
-
-    start: int
-    key: str
-    known: bool
-    end: int | None = None
-
-
-class _Pid:
-    """The lifetimes of one PID of one host and what is known of their processes."""
-
-    def __init__(self, host: str, pid: int):
-        self.host, self.pid = host, pid
-        self.lives: list[_Life] = []
-        self.alias: dict[str, str] = {}
-        self.space: dict[str, str] = {}
-        self.started: dict[str, str | None] = {}  # key to the first image its starts name
-        self.named: dict[str, str | None] = {}  # key to the first image its own events name
-        self.nodes: set[str] = set()
-
-    def add(self, start: int | None, key: str, known: bool) -> None:
-        if start is None or any(x.key == key for x in self.lives):
-            return
-        at = bisect_right([x.start for x in self.lives], start)
-        self.lives.insert(at, _Life(start, key, known))
-
-    def running(self, t: int | None) -> _Life | None:
-        if not self.lives:
-            return None
-        if t is None:
-            return self.lives[-1]
-        at = bisect_right([x.start for x in self.lives], t + TWIN)
-        found = self.lives[at - 1] if at else None
-        if found and (found.end is None or found.end >= t - TWIN):
-            return found
-        after = self.lives[at] if at < len(self.lives) else None
-        return after if after and not after.known else None
-
-    def same_image(self, key: str, base: str | None) -> bool:
-        mine = self.started.get(key)
-        return mine is None or base is None or mine == base
-
-    def start(self, row) -> str:
-        if row.guid is not None:
-            own = f"g:{self.host}:{row.guid}"
-            key = own
-            if own not in self.nodes:
-                twin = self.alias.get(own) or next((x.key for x in self.lives if x.known and x.key in self.space and self.space[x.key] != row.space and row.t is not None and abs(x.start - row.t) <= TWIN and self.same_image(x.key, row.base)), None)
-                if twin:
-                    self.alias[own] = key = twin
-                else:
-                    self.space[own] = row.space
-        else:
-            twin = next((x.key for x in self.lives if x.key.startswith("g:") and row.t is not None and abs(x.start - row.t) <= TWIN and self.same_image(x.key, row.base)), None)
-            key = twin or f"p:{self.host}:{self.pid}:{row.seq if row.t is None else row.t}"
-        self.nodes.add(key)
-        if self.started.get(key) is None:
-            self.started[key] = row.base
-        self.add(row.t, key, True)
-        return key
-
-    def resolve(self, row) -> str:
-        if row.guid is not None:
-            own = f"g:{self.host}:{row.guid}"
-            if own in self.alias:
-                return self.alias[own]
-            if own not in self.nodes:
-                live = self.running(row.t)
-                if live and (not live.key.startswith("g:") or self.space.get(live.key) != row.space):
-                    fits = self.same_image(live.key, row.base) if live.key in self.started else row.base is None or self.named.get(live.key) in (None, row.base)
-                    if fits:
-                        self.alias[own] = live.key
-                        return live.key
-                self.add(row.t, own, False)
-                self.space[own] = row.space
-                self.nodes.add(own)
-            return own
-        live = self.running(row.t)
-        if live:
-            return live.key
-        key = f"p:{self.host}:{self.pid}:{f'?{row.seq}' if row.t is None else row.t}"
-        self.nodes.add(key)
-        self.add(row.t, key, False)
-        return key
-
-
-def _resolve_pid(pdf: pd.DataFrame) -> Iterator[tuple[int, int, str]]:
-    """(seq, role, key) of a PID's references: starts with a GUID, other starts, events in time order, then parents."""
-    pdf = pdf.astype(object).where(pdf.notna(), None)
-    rows = list(pdf.itertuples(index=False))
-    late = lambda r: (r.t is None, r.t or 0, r.seq, r.role)
-    pid = _Pid(rows[0].host, rows[0].pid)
-    rows.sort(key=late)
-    own: dict[int, str] = {}
-    for with_guid in (True, False):
-        for r in rows:
-            if r.role == 0 and r.kind == "process_start" and (r.guid is not None) == with_guid:
-                own[r.seq] = pid.start(r)
-    for r in rows:
-        if r.role > 1:
-            continue
-        key = own[r.seq] if r.role == 0 and r.seq in own else pid.resolve(r)
-        if r.role == 0:
-            if pid.named.get(key) is None:
-                pid.named[key] = r.base
-            if r.kind == "process_end":
-                for x in pid.lives:
-                    if x.key == key:
-                        x.end = r.t
-        yield r.seq, r.role, key
-    for r in sorted((r for r in rows if r.role > 1), key=lambda r: (r.seq, r.role)):
-        yield r.seq, r.role, pid.resolve(r)
-
-
-def _by_pid(refs: DataFrame) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_resolve_pid(pdf)), columns=["seq", "role", "key"])
-
-    return refs.where("pid is not null").groupBy("host", "pid").applyInPandas(run, "seq long, role int, key string")
-
-
-def _resolved(refs: DataFrame) -> DataFrame:
-    """host, seq, role, key, guid, t of all references; those without a PID by their GUID's process or their image."""
-    keyed = stored(_by_pid(refs).join(refs, ["seq", "role"]).select("seq", "role", "key", "host", "guid", "t"))
-    known = keyed.where("guid is not null").groupBy("host", "guid").agg(F.min_by("key", F.struct(F.col("role") > 1, F.coalesce("t", F.lit(2**62)), "seq")).alias("known"))
-    rest = refs.where("pid is null").join(known, ["host", "guid"], "left")
-    key = F.when(F.col("guid").isNotNull(), F.coalesce("known", F.concat(F.lit("g:"), "host", F.lit(":"), "guid")))
-    start = F.when(F.col("kind") == "process_start", F.concat(F.lit("p:"), "host", F.lit(":?:"), F.coalesce("t", "seq").cast("string")))
-    named = F.concat(F.lit("u:"), "host", F.lit(":"), F.coalesce("image", F.lit("?")))
-    rest = rest.select("seq", "role", F.coalesce(key, F.when(F.col("role") == 0, start), named).alias("key"), "host", "guid", "t")
-    return keyed.unionByName(rest)
+def _own(guid: str = "guid") -> Column:
+    return F.concat(F.lit("g:"), "host", F.lit(":"), guid)
+
+
+def _at(c: str = "t") -> Column:
+    return F.coalesce(c, F.lit(FAR))
+
+
+def _fits(a: str, b: str) -> Column:
+    """Images agree where both are known."""
+    return F.coalesce(F.col(a) == F.col(b), F.lit(True))
+
+
+def _near(rows: DataFrame, others: DataFrame, back_only: bool) -> DataFrame:
+    """Pairs on one host and PID whose times are at most TWIN apart, as structs x and y; by buckets of time."""
+    width = F.lit(TWIN)
+    steps = [-1, 0] if back_only else [-1, 0, 1]
+    x = rows.where("t is not null").select("host", "pid", F.struct(*rows.columns).alias("x")).withColumn("b", F.explode(F.array(*[F.floor(F.col("x.t") / width) + d for d in steps])))
+    y = others.where("t is not null").select("host", "pid", F.struct(*others.columns).alias("y")).withColumn("b", F.floor(F.col("y.t") / width))
+    return x.join(y, ["host", "pid", "b"]).where((F.abs(F.col("x.t") - F.col("y.t")) <= TWIN) & _fits("x.base", "y.base"))
+
+
+def start_keys(refs: DataFrame) -> DataFrame:
+    """The process of each recorded start: seq, host, pid, guid, t, base, space, key.
+
+    A start with a GUID is its own process, or that of an earlier start which another source calls by another GUID. A start
+    without one is the process of a start with a GUID nearby, else one of its own.
+    """
+    starts = refs.where("role = 0 and kind = 'process_start'").select("seq", "host", "pid", "guid", "t", "base", "space")
+    by_guid = starts.where("guid is not null").withColumn("key", _own())
+    firsts = by_guid.where("pid is not null").groupBy("host", "pid", "key").agg(F.min_by(F.struct("t", "seq", "space", "base"), F.struct(_at(), "seq")).alias("f")).select("host", "pid", "key", "f.*")
+    earlier = (F.col("y.space") != F.col("x.space")) & (F.struct("y.t", "y.seq") < F.struct("x.t", "x.seq"))
+    twins = _near(firsts, firsts, True).where(earlier).groupBy("x.key", "x.space").agg(F.min_by(F.struct("y.key", "y.space"), F.struct("y.t", "y.seq")).alias("to"))
+    again = twins.select(F.col("key").alias("middle"), F.col("to").alias("first"))
+    to = F.coalesce("first", "to")  # what is a twin's twin is one process too, but not for two GUIDs of one source
+    twins = stored(twins.join(again, F.col("to.key") == F.col("middle"), "left").where(to["space"] != F.col("space")).select("key", to["key"].alias("to")))
+    by_guid = by_guid.join(twins, "key", "left").withColumn("key", F.coalesce("to", "key"))
+    plain = starts.where("guid is null")
+    lives = firsts.join(twins, "key", "left_anti")
+    beside = _near(plain, lives, False).groupBy("x.seq").agg(F.min_by("y.key", F.struct("y.t", "y.seq")).alias("to"))
+    alone = F.concat(F.lit("p:"), "host", F.lit(":"), F.coalesce(F.col("pid").cast("string"), F.lit("?")), F.lit(":"), F.coalesce("t", "seq").cast("string"))
+    plain = plain.join(beside, "seq", "left").withColumn("key", F.coalesce("to", alone))
+    columns = ["seq", "host", "pid", "guid", "t", "base", "space", "key"]
+    return by_guid.select(*columns).unionByName(plain.select(*columns))
+
+
+def _running(lives: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` with ``life``: of their host and PID the last to start before (or TWIN after), with the next one in ``life.next``.
+
+    Without any before, key and start of ``life`` are null. Lives: host, pid, start, key, known, base, space, end.
+    """
+    inner = Window.partitionBy("host", "pid").orderBy("start", "key")
+    told = [F.col(c) for c in ("key", "start", "known", "base", "space", "end")]
+    lives = lives.select("host", "pid", F.struct(*told, F.lead(F.struct("key", "known")).over(inner).alias("next")).alias("life"))
+    before = lives.groupBy("host", "pid").agg(F.min(F.struct("life.start", "life.key", "life.known")).alias("f"))
+    kind = lives.schema["life"].dataType
+    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[:-1]], F.struct("f.key", "f.known").alias("next")).cast(kind)
+    lives = lives.unionByName(before.select("host", "pid", empty.alias("life")))
+    marks = lives.select("host", "pid", F.coalesce("life.start", F.lit(-FAR)).alias("at"), F.lit(0).alias("o"), "life", F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("p"))
+    marks = marks.unionByName(points.select("host", "pid", F.coalesce(F.col("t") + TWIN, F.lit(FAR)).alias("at"), F.lit(1).alias("o"), F.lit(None).cast(kind).alias("life"), F.struct(*points.columns).alias("p")))
+    so_far = Window.partitionBy("host", "pid").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.withColumn("life", F.last("life", ignorenulls=True).over(so_far)).where("o = 1").select("p.*", "life")
+
+
+_ALIVE = "life.key is not null and (t is null or life.end is null or life.end >= t - %d)"
+
+
+def _ended(lives: DataFrame, ends: DataFrame, alias: DataFrame) -> DataFrame:
+    """``lives`` with the last recorded end of each: by its GUID, or of the life that a PID had then."""
+    by_guid = ends.where("guid is not null").withColumn("own", _own()).join(alias, "own", "left").select(F.coalesce("to", "own").alias("key"), "t")
+    by_pid = _running(lives.withColumn("end", F.lit(None).cast("long")), ends.where("guid is null and pid is not null")).select("life.key", "t")
+    last = by_guid.unionByName(by_pid).groupBy("key").agg(F.max("t").alias("end"))
+    return lives.drop("end").join(last, "key", "left")
+
+
+def resolve_references(refs: DataFrame, starts: DataFrame) -> DataFrame:
+    """Seq, role, key, host, guid, t of all references; ``starts``: what start_keys() made of them.
+
+    A GUID is its own process, unless it is first seen while another source's or a nameless process runs under its PID with
+    an agreeing image: then it is that one. A PID alone is what runs under it at that time; what runs under none
+    yet, or no longer, is a process first seen there. A name alone is one process a host.
+    """
+    known = starts.where("pid is not null and t is not null").groupBy("host", "pid", "key").agg(F.min("t").alias("start"), F.min_by("base", F.when(F.col("base").isNotNull(), F.struct("t", "seq"))).alias("base"), F.min_by("space", F.struct(F.col("guid").isNull(), "t", "seq")).alias("space"))
+    known = stored(known.withColumn("known", F.lit(True)))
+    moved = starts.where("guid is not null").select(_own().alias("own"), F.col("key").alias("to")).distinct()
+    alias = moved.where("own <> to")
+    ends = refs.where("role = 0 and kind = 'process_end' and t is not null").select("host", "pid", "guid", "t")
+
+    # GUIDs without a recorded start, where they are first seen
+    sights = refs.where("guid is not null and pid is not null").withColumn("own", _own()).join(moved, "own", "left_anti")
+    sights = sights.groupBy("host", "own").agg(F.min_by(F.struct("pid", "t", "seq", "space", "base"), F.struct(F.col("role") > 1, _at(), "seq")).alias("f")).select("host", "own", "f.*")
+    seen = _running(_ended(known, ends, alias), sights)
+    other = F.col("life.key").startswith("p:") | (F.col("life.space") != F.col("space"))
+    seen = stored(seen.withColumn("to", F.when(F.expr(_ALIVE % TWIN) & other & _fits("life.base", "base"), F.col("life.key"))).select("host", "pid", "own", "t", "seq", "space", "base", "to", F.col("life.key").alias("under")))
+    order = Window.partitionBy("host", "pid", "under").orderBy(_at(), "seq")
+    before = lambda c: F.lag(c).over(order)
+    fresh = seen.where("to is null").withColumn("new", (~F.coalesce((before("space") != F.col("space")) & F.coalesce(before("base") == F.col("base"), F.lit(True)), F.lit(False))).cast("int"))
+    fresh = fresh.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    fresh = fresh.withColumn("to", F.first("own").over(Window.partitionBy("host", "pid", "under", "run").orderBy(_at(), "seq")))
+    alias = stored(alias.unionByName(seen.where("to is not null").select("own", "to")).unionByName(fresh.where("own <> to").select("own", "to")))
+    unknown = fresh.where("own = to and t is not null").select("host", "pid", F.col("own").alias("key"), F.col("t").alias("start"), "base", "space", F.lit(False).alias("known"))
+    lives = stored(_ended(stored(known.unionByName(unknown)), ends, alias))
+
+    columns = ["seq", "role", "key", "host", "guid", "t"]
+    rest = refs.join(starts.select("seq", F.lit(0).alias("role")), ["seq", "role"], "left_anti")
+    by_guid = rest.where("guid is not null").withColumn("own", _own()).join(alias, "own", "left").withColumn("key", F.coalesce("to", "own"))
+    by_pid = stored(_running(lives, rest.where("guid is null and pid is not null").select("seq", "role", "host", "pid", "guid", "t", (F.col("kind") == "process_end").alias("ends"))))
+    key = F.when(F.expr(_ALIVE % TWIN), F.col("life.key")).when(~F.col("life.next.known"), F.col("life.next.key"))
+    by_pid = by_pid.withColumn("key", key)
+    ended = F.count_if("ends").over(Window.partitionBy("host", "pid", "life.start").orderBy("t").rangeBetween(Window.unboundedPreceding, -TWIN - 1))
+    gap = Window.partitionBy("host", "pid", "life.start", "gone")
+    first_seen = F.concat(F.lit("p:"), "host", F.lit(":"), F.col("pid").cast("string"), F.lit(":"), F.coalesce(F.min("t").over(gap).cast("string"), F.concat(F.lit("?"), F.min("seq").over(gap).cast("string"))))
+    by_pid = by_pid.where("key is not null").unionByName(by_pid.where("key is null").withColumn("gone", ended).withColumn("key", first_seen).drop("gone"))
+    by_name = rest.where("guid is null and pid is null").withColumn("key", F.concat(F.lit("u:"), "host", F.lit(":"), F.coalesce("image", F.lit("?"))))
+    done = starts.withColumn("role", F.lit(0)).select(*columns)
+    for part in (by_guid, by_pid, by_name):
+        done = done.unionByName(part.select(*columns))
+    return done
 
 
 def resolve_processes(events: DataFrame) -> Processes:
     """Nodes, and each event's actor and target."""
     own = _refs(events.where(is_process("proc")), "proc", 0).unionByName(_refs(events.where(F.col("kind").isin("inject", "process_access") & is_process("target")), "target", 1))
-    first = _resolved(own)
-    actor = first.where("role = 0")
-    starts = actor.join(events.where("kind = 'process_start'").select("seq", "proc", "parent", "real_parent", "effective_parent", "file", "source"), "seq")
+    started = stored(start_keys(own))
+    starts = started.select("seq", "key", "host", "t").join(events.where("kind = 'process_start'").select("seq", "proc", "parent", "real_parent", "effective_parent", "file", "source"), "seq")
     preferred = F.struct(F.col("proc.guid").isNull(), F.coalesce("t", F.lit(2**62)), "seq")
     best = starts.groupBy("key").agg(F.min_by(F.struct("seq", "t", "host", "proc", "parent", "real_parent", "effective_parent", "file", "source"), preferred).alias("s"), F.count("*").alias("n_starts"), F.min_by("seq", preferred).alias("start_seq"), F.min_by("seq", F.struct(F.coalesce("t", F.lit(2**62)), "seq")).alias("first_start"))
     best = stored(best)
@@ -198,7 +183,9 @@ def resolve_processes(events: DataFrame) -> Processes:
         some = _refs(some, ref, role)
         parents = some if parents is None else parents.unionByName(some)
     parents = stored(parents)
-    everything = _resolved(own.unionByName(parents))
+    everything = stored(resolve_references(own.unionByName(parents), started))
+    first = everything.where("role < 2")
+    actor = first.where("role = 0")
     above = everything.where("role > 1").groupBy("seq").pivot("role", [2, 3, 4]).agg(F.first("key")).withColumnsRenamed({"2": "parent", "3": "real_parent", "4": "effective_parent"})
     link = best.select("key", "n_starts", "start_seq", "first_start", F.col("s.t").alias("start"), F.col("s.seq").alias("seq")).join(above, "seq", "left")
     link = link.withColumn("parent", F.when(F.col("parent") != F.col("key"), F.col("parent")))
