@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tracewell.functions.text import present
 
@@ -139,19 +139,23 @@ def _nested(dotted: str, parsed: Column, parts: Column) -> list[Column]:
     return [*out, at]
 
 
-def nested_fields(parsed: Column, parts: Column) -> list[Column]:
-    """A column f_<name> for each canonical field of nested records; ``f_origins`` joins all values of origin."""
-    out = []
+def nested_fields(rows: DataFrame, keep: list[str], parsed: Column, parts: Column) -> DataFrame:
+    """``rows`` with the columns ``keep`` and a column f_<name> for each canonical field of nested records; ``f_origins`` joins all values of origin.
+
+    First the value that counts for each field, then what it says: were both one projection, each value's many names would
+    be looked up once for every use of it, and the code for that grows beyond what the JVM compiles.
+    """
+    found, said = [], []
     for name, dotted in ALIASES.items():
         each = [present(c) for d in dotted for c in _nested(d, parsed, parts)]
-        if name in LISTS:
-            out.append(F.coalesce(*[_values(c) for c in each]).alias(f"f_{name}"))
-        elif name == "origin":
+        if name == "origin":
             own = [F.coalesce(*[present(c) for c in _nested(d, parsed, parts)]) for d in dotted]
-            out.append(F.lower(F.concat_ws(" ", *[F.when(~c.startswith('{"'), c) if d == "source" else c for d, c in zip(dotted, own, strict=True)])).alias("f_origin"))
+            found.append(F.concat_ws(" ", *[F.when(~c.startswith('{"'), c) if d == "source" else c for d, c in zip(dotted, own, strict=True)]).alias("f_origin"))
+            said.append(F.lower("f_origin").alias("f_origin"))
         else:
-            out.append(_value(F.coalesce(*each)).alias(f"f_{name}"))
-    return out
+            found.append(F.coalesce(*each).alias(f"f_{name}"))
+            said.append((_values if name in LISTS else _value)(F.col(f"f_{name}")).alias(f"f_{name}"))
+    return rows.select(*keep, *found).select(*keep, *said)
 
 
 def flat_fields(flat: Column) -> list[Column]:

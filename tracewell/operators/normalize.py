@@ -81,7 +81,7 @@ def classify(records: DataFrame) -> DataFrame:
     """Raw records with the canonical fields f_*, ``family``, ``unknown`` (F2), ``kind`` and ``source``."""
     nested = records.where("nested is not null").withColumn("parsed", A.parse_nested(F.col("nested"))).withColumn("parts", A.parse_parts(F.col("parsed")))
     base = ["file", "line", "id", "line_id", "nested", "flat", "names"]
-    rows = nested.select(*base, F.lit(False).alias("is_flat"), *A.nested_fields(F.col("parsed"), F.col("parts")))
+    rows = A.nested_fields(nested.withColumn("is_flat", F.lit(False)), [*base, "is_flat"], F.col("parsed"), F.col("parts"))
     rows = rows.unionByName(records.where("nested is null").select(*base, F.lit(True).alias("is_flat"), *A.flat_fields(F.col("flat"))))
     code = F.trim("f_code")
     rows = rows.withColumn("family", source_family(F.col("f_origin"))).withColumn("code", code)

@@ -97,6 +97,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(blocks.drop("n"), ["file_path", "block"]).select(line, F.when(F.col("block") == 0, F.regexp_replace(value, "^﻿+", "")).otherwise(value).alias("value"))
 
 
+def _first_lines(spark: SparkSession, path: str, lines: DataFrame) -> list:
+    """The first two lines that aren't blank, with their numbers: from the file's head if its first lines hold two, else from all lines."""
+    head = spark.read.option("lineSep", "\n").text(path).select("value").head(20)
+    head = [(k + 1, re.sub(r"\r+$", "", r["value"]).lstrip("\ufeff") if k == 0 else re.sub(r"\r+$", "", r["value"])) for k, r in enumerate(head)]
+    full = [{"line": k, "value": v} for k, v in head if not re.fullmatch(_BLANK.strip("^$"), v)]
+    return full[:2] if len(full) > 1 else lines.where(~F.col("value").rlike(_BLANK)).orderBy("line").limit(2).collect()
+
+
 def _text_of(v: Column, path: str) -> Column:
     return present(F.try_variant_get(v, path, "string"))
 
@@ -205,7 +213,7 @@ def read_input(spark: SparkSession, source: Input, file: int = 0) -> DataFrame:
         raise ReadError(f"format must be one of {', '.join(FORMATS)}")
     lines = numbered_lines(spark, source.path)
     full = lines.where(~F.col("value").rlike(_BLANK))
-    two = full.orderBy("line").limit(2).collect()
+    two = _first_lines(spark, source.path, lines)
     if not two:
         raise ReadError("input contains no events")
     kind = detect_format(two[0]["value"]) if source.format == "auto" else source.format
