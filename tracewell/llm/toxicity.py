@@ -3,9 +3,11 @@
 Five machines read a clause word by word. The lexicon maps a word to a class: insult, threat, target, negation,
 report or other. One machine each then remembers whether a negation is near, whether speech is being reported,
 whether someone is addressed, and whether a threat is open; composed, they are one automaton over word classes
-that emits a category for each insult or threat, such as "insult, addressed, not negated, not reported". What is
-emitted in a document's clauses, and how far it exceeds what its length makes likely by chance, is weighed to a
-score between 0 and 1; a word alone, outside these patterns, weighs nothing.
+that emits a category for each insult or threat: a plain insult (neither negated nor reported), one addressed to
+someone, a negated one, a reported one, a threat against someone. What is emitted in a document's clauses, insults by
+the log odds of their stems, and how far plain insults exceed what the text's length makes likely by chance, is
+weighed to a score between 0 and 1. Nothing else is: an insult that the grammar calls negated or reported counts as that
+alone, and a threatening word without a target counts nothing.
 
 The grammar's context words are fixed. The insults' stems (word beginnings, as languages inflect and compound)
 and all weights are learned from labelled documents.
@@ -36,14 +38,13 @@ REPORTS = "said says say told wrote called quoted sagte sagt schrieb nannte dit
 #: Insults known without labels.
 SEEDS = ("idiot", "stupid", "moron", "scum", "worthless", "pathetic", "loser", "trash", "disgusting")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 CONTEXT = {**dict.fromkeys(THREATS, THREAT), **dict.fromkeys(TARGETS, TARGET), **dict.fromkeys(NEGATIONS, NEGATION), **dict.fromkeys(REPORTS, REPORT)}
 #: Words for which a negation reaches on.
 REACH = 3
 CATEGORIES = ("plain", "negated", "reported", "addressed", "threat")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"«»„“”]")
 _STOP = re.compile(r"[.!?;\n]")
-_FEATURES = len(CATEGORIES) + 2
 _PREFIX = range(3, 10)
 
 
@@ -55,29 +56,39 @@ def _flag(kind: int):
     return lambda state, c: 1 if c == kind else state
 
 
+def _speech(state: int, c: int) -> int:
+    """0: the writer's own words; 1: reported up to the clause's end; 2: between quotation marks."""
+    return 1 if c == REPORT else {0: 2, 1: 1, 2: 0}[state] if c == QUOTE else state
+
+
 def compose() -> dict[tuple[int, int], tuple[int, tuple[int, ...]]]:
     """The product of the context machines: (state, word class) to (next state, categories emitted)."""
-    machines = (_negation, _flag(REPORT), _flag(TARGET), _flag(THREAT))
-    states = list(product(range(REACH + 1), range(2), range(2), range(2)))
+    machines = (_negation, _speech, _flag(TARGET), _flag(THREAT))
+    states = list(product(range(REACH + 1), range(3), range(2), range(2)))
     number = {s: i for i, s in enumerate(states)}
     arcs = {}
-    for s, c in product(states, range(6)):
+    for s, c in product(states, range(7)):
         n = tuple(m(x, c) for m, x in zip(machines, s, strict=True))
         emitted = []
         if c == INSULT:
-            emitted = [CATEGORIES.index("negated" if s[0] else "reported" if s[1] else "plain"), *([CATEGORIES.index("addressed")] if s[2] else [])]
+            kind = "negated" if s[0] else "reported" if s[1] else "plain"
+            emitted = [CATEGORIES.index(kind), *([CATEGORIES.index("addressed")] if s[2] and kind == "plain" else [])]
         if n[2] and n[3] and not (s[2] and s[3]) and not s[0] and not s[1]:
             emitted.append(CATEGORIES.index("threat"))
         arcs[number[s], c] = number[n], tuple(emitted)
     return arcs
 
 
+#: Weights of the categories and of the excess before anything is learned; what never occurs in training keeps its own.
+PRIOR = (1.0, 0.05, 0.05, 0.4, 2.5, 0.6)
+
+
 @dataclass
 class Model:
     """What is learned: stems with their log odds and chance rates a word, and the weights of the features."""
 
     stems: dict[str, tuple[float, float]] = field(default_factory=lambda: {s: (4.0, 1e-6) for s in SEEDS})
-    weights: list[float] = field(default_factory=lambda: [1.0, 0.3, 0.3, 0.5, 1.0, 0.6, 0.6])
+    weights: list[float] = field(default_factory=lambda: list(PRIOR))
     bias: float = -4.0
 
 
@@ -105,7 +116,7 @@ class _Scorer:
     def read(self, text: str) -> tuple[np.ndarray, list[str]]:
         """Features of a text and the clauses that emitted something."""
         text = text.lower()
-        emitted, hits, odds, clauses, done = [0] * len(CATEGORIES), 0, 0.0, [], -1
+        emitted, plain, clauses, done = [0.0] * len(CATEGORIES), 0, [], -1
         for end, s in self.threats.iter(text):
             at = end - len(s) + 1
             if at <= done or (at and text[at - 1].isalpha()):
@@ -116,20 +127,19 @@ class _Scorer:
             state, matched = 0, False
             for m in _WORD.finditer(text, lo, hi):
                 w = m[0]
-                c = CONTEXT.get(w, REPORT if w[0] in "\"«»„“”" else OTHER)
+                c, odds = CONTEXT.get(w, QUOTE if w[0] in "\"«»„“”" else OTHER), 4.0
                 if c == OTHER and (known := self.stem(w)):
-                    c = INSULT
-                    hits += 1
-                    odds += self.model.stems[known][0]
+                    c, odds = INSULT, self.model.stems[known][0]
                 state, out = self.arcs[state, c]
                 for k in out:
-                    emitted[k] += 1
+                    emitted[k] += odds
+                    plain += k == 0
                     matched = True
             if matched:
                 clauses.append(text[lo:hi].strip())
         words = text.count(" ") + text.count("\n") + 1
-        over = math.log((hits + 0.3) / (words * self.chance + 0.3))
-        return np.array([*(math.log1p(x) for x in emitted), math.log1p(odds), over]), clauses
+        over = math.log((plain + 0.3) / (words * self.chance + 0.3))
+        return np.array([*(math.log1p(x) for x in emitted), over]), clauses
 
     def score(self, features: np.ndarray) -> float:
         z = float(features @ np.array(self.model.weights)) + self.model.bias
@@ -164,18 +174,19 @@ def training_rows(labels: DataFrame, rows_each: int, id_col: str = "doc_id") ->
     return part(1).union(part(0)), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_each: int = 8000, max_stems: int = 200, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows_each: int = 8000, max_stems: int = 200, candidates: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn stems and weights from ``labels`` (id, toxic) of ``docs``.
 
     Trains on at most ``rows_each`` toxic and as many clean documents, those with the least hashes of their ids, out of
     rows whose crc32(id) mod 3 is not 1; so what reaches the driver is bounded whatever the corpus. Of texts with
-    the same least hash of five words, which near copies have, one counts. Without toxic and clean rows the
+    the same least hash of five words, which near copies have, one counts. At most ``max_stems`` stems are chosen out of the
+    ``candidates`` beginnings of words most frequent in toxic texts. Without toxic and clean rows the
     grammar's own seeds and weights hold. Null labels, ids and texts train nothing.
     """
     sample, counts = training_rows(labels, rows_each, id_col)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).where("__text is not null")
     texts = texts.join(F.broadcast(sample), "__id").select("__toxic", "__text")
-    # Bounded: a word's share in 2 * rows_each documents, and 5000 beginnings.
+    # Bounded: a word's share in 2 * rows_each documents, and so many beginnings.
 
     def toxic_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_each: int = 8000, max_stems: in
         return Model()
     one = seen.where("toxic = 1").groupBy("sig").agg(F.min_by(F.struct("prefixes", "times"), "text_hash").alias("m")).select("sig", F.explode(F.arrays_zip("m.prefixes", "m.times")).alias("p"))
     least = max(4, rows[1] // 200)
-    often = one.groupBy("p.prefixes").agg(F.sum("p.times").alias("n"), F.count("*").alias("docs")).where(F.col("docs") >= least).orderBy(F.desc("n"), "prefixes").limit(5000).collect()
+    often = one.groupBy("p.prefixes").agg(F.sum("p.times").alias("n"), F.count("*").alias("docs")).where(F.col("docs") >= least).orderBy(F.desc("n"), "prefixes").limit(candidates).collect()
     seen.unpersist()
     toxic = {r["prefixes"]: r["n"] for r in often}
 
@@ -255,15 +266,20 @@ def choose_stems(toxic: dict[str, int], clean: dict[str, int], words: dict[int,
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[list[float], float]:
-    """Logistic regression by Newton's method; only the bias is not shrunk."""
+    """Logistic regression by Newton's method; weights are drawn towards those of the grammar, the bias is not."""
     a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
+    prior = np.array([*PRIOR, 0.0])
+    w = prior.copy()
     shrink = np.diag([ridge] * x.shape[1] + [1e-3])
-    for _ in range(50):
+    loss = lambda w: np.logaddexp(0, np.where(y > 0.5, -1, 1) * (a @ w)).sum() + (w - prior) @ shrink @ (w - prior) / 2
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + shrink, a.T @ (y - p) - shrink @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + shrink, a.T @ (y - p) - shrink @ (w - prior))
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w += size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return w[:-1].tolist(), float(w[-1])
 
