@@ -123,5 +123,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 
     Rows that share an id are used whenever one of them is.
     """
-    used = mixture(docs, id_col=id_col, **options).select(F.col(id_col).alias("__id"), "epoch").distinct()
-    return docs.join(used, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id", "epoch")
+    used = mixture(docs, id_col=id_col, **options).select(F.col(id_col).alias("__id"), F.col("epoch").alias("__epoch")).distinct()
+    return docs.join(used, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id", "__epoch")
