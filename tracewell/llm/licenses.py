@@ -1,9 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Tokens are ordered by their frequency over all blocks, rarest first. A block meets a template if
-it holds at least the threshold's share of the template's tokens; it must then hold one of the template's few rarest
-tokens (prefix filter), have enough tokens (length filter), and leave enough after a match's position (positional
-filter). What passes is counted exactly, so no block that meets a template is lost.
+A block is a run of consecutive words, wherever lines end, of a template's length and SLACK more, that begins with one of
+the template's tokens. Tokens are ordered by their frequency over all texts, rarest first. A block meets a template if it
+holds at least the threshold's share of the template's tokens; it must then hold one of the template's few rarest tokens
+(prefix filter), have enough tokens (length filter), and leave enough after a match's position (positional filter).
+What passes is counted exactly, so no block that meets a template is lost.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ TEMPLATES = {
     "licensed under cc by nc nd 4 0": "cc-by-nc-nd",
     "this work is dedicated to the public domain under cc0 1 0": "cc0",
 }
-#: Lower-cases A-Z and turns every ASCII byte that is no digit or letter, but the line feed, into a space.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c == 10 else 32 for c in range(256))
+#: Words that a block has more than its template; also how near two matches are that are judged together, beyond the longer one.
+SLACK = 2
+#: Lower-cases A-Z and turns every ASCII byte that is no digit or letter into a space.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 class Templates:
@@ -51,49 +54,61 @@ class Templates:
         self.rank = {w.encode(): r for w, r in rank.items()}
         self.items = [(tuple(sorted({rank[w] for w in t.split()})), label) for t, label in templates.items()]
         self.need = [math.ceil(threshold * len(tokens) - 1e-9) for tokens, _ in self.items]
-        self.prefix: dict[int, list[tuple[int, int]]] = {}
+        self.width = [len(t.split()) + SLACK for t in templates]
+        self.prefix: dict[bytes, list[int]] = {}
+        names = {r: w for w, r in self.rank.items()}
         for k, (tokens, _) in enumerate(self.items):
-            for place, token in enumerate(tokens[: len(tokens) - self.need[k] + 1]):
-                self.prefix.setdefault(token, []).append((k, place))
-
-    def meets(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """Each template that the block of ``words`` meets, with its containment."""
-        mine = sorted({self.rank[w] for w in words if w in self.rank})
-        found = {}
-        for at, token in enumerate(mine):
-            for k, place in self.prefix.get(token, ()):
-                tokens = self.items[k][0]
-                if k in found or len(mine) < self.need[k]:
-                    continue
-                earlier = sum(1 for x in tokens[:place] if x in mine[:at])
-                if earlier + 1 + min(len(tokens) - place - 1, len(mine) - at - 1) < self.need[k]:
-                    continue
+            for token in tokens[: len(tokens) - self.need[k] + 1]:
+                self.prefix.setdefault(names[token], []).append(k)
+
+    def held(self, k: int, block: list[bytes]) -> float | None:
+        """The share of template ``k``'s tokens in ``block``, if it is enough."""
+        tokens, need = self.items[k][0], self.need[k]
+        mine = sorted({self.rank[w] for w in block if w in self.rank})
+        if len(mine) < need:
+            return None
+        for place, token in enumerate(tokens[: len(tokens) - need + 1]):
+            if token in mine:
+                at = mine.index(token)
+                if 1 + min(len(tokens) - place - 1, len(mine) - at - 1) < need:
+                    return None
                 n = len(set(tokens).intersection(mine))
-                if n >= self.need[k]:
-                    found[k] = n / len(tokens)
-        return sorted(found.items())
+                return n / len(tokens) if n >= need else None
+        return None
 
-    def best(self, met: list[tuple[int, float]]) -> list[tuple[int, float]]:
-        """Of the templates that one block meets those with the highest containment, and no template within another."""
-        top = max((c for _, c in met), default=0)
-        met = [(k, c) for k, c in met if c == top]
-        return [(k, c) for k, c in met if not any(set(self.items[k][0]) < set(self.items[o][0]) for o, _ in met)]
+    def meets(self, words: list[bytes]) -> list[tuple[int, int, float]]:
+        """Each template and place where a block of ``words`` begins that meets it, with its containment."""
+        found: dict[tuple[int, int], float | None] = {}
+        for i, w in enumerate(words):
+            for k in self.prefix.get(w, ()):
+                for start in range(max(0, i - self.width[k] + 1), i + 1):
+                    if (start, k) not in found and self.rank.get(words[start], -1) in self.items[k][0]:
+                        found[start, k] = self.held(k, words[start : start + self.width[k]])
+        return [(k, start, c) for (start, k), c in sorted(found.items()) if c is not None]
 
+    def best(self, met: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+        """Of the matches near each other those with the highest containment, and no template within another."""
+        reach = max(self.width)
 
-def _blocks(text: bytes) -> list[list[bytes]]:
-    return [line.split() for line in text.translate(_FOLD).split(b"\n")]
+        def beaten(k: int, start: int, c: float) -> bool:
+            return any(abs(s - start) < reach and (x > c or x == c and set(self.items[k][0]) < set(self.items[o][0])) for o, s, x in met)
+
+        return [m for m in met if not beaten(*m)]
+
+
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(_FOLD).split()
 
 
 def token_frequencies(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, text_col: str = "text") -> dict[str, int]:
-    """In how many blocks of all texts each token of the templates stands; as many entries as templates have tokens."""
+    """In how many texts each token of the templates stands; as many entries as templates have tokens."""
     vocabulary = {w.encode() for t in templates for w in t.split()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
             for t in batch.column("text").to_pylist():
-                for words in _blocks(t or b""):
-                    total.update(vocabulary.intersection(words))
+                total.update(vocabulary.intersection(_words(t or b"")))
         yield pa.RecordBatch.from_pydict({"token": [w.decode() for w in total], "n": list(total.values())}, schema=pa.schema([("token", pa.string()), ("n", pa.int64())]))
 
     rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "token string, n long")
@@ -105,34 +120,32 @@ def license_scan(docs: DataFrame, threshold: float = 0.9, templates: Mapping[str
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. Returns the id, ``n_words``;
     ``n_base``, ``first_word``, ``last_word``: number, smallest and largest start of the places where a phrase's words stand
-    consecutively; ``base_labels``; ``labels``: with those of the templates that a block meets (of a block's templates
-    those with the highest containment); ``score``: the highest containment, 1 if a phrase stands there; ``matches``:
-    every template that a block meets, as (block, label, containment), blocks from 0.
+    consecutively; ``base_labels``; ``labels``: with those of the templates that blocks meet (of matches near each
+    other those with the highest containment); ``score``: the highest containment, 1 if a phrase stands there;
+    ``matches``: every template and block that meet, as (word where it begins, label, containment), words from 0.
 
     Null text: no words, labels "", score 0. Repeated rows are scanned each. Other columns are ignored.
     """
     index = Templates(templates, threshold, token_frequencies(docs, templates, text_col))
     sought = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
-    match = pa.struct([("block", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
+    match = pa.struct([("word", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("matches", pa.list_(match))])
 
     def scan(text: bytes) -> dict:
-        blocks = _blocks(text)
-        places, base, own, matches, score = [], set(), set(), [], 0.0
-        joined = b" " + b" ".join([w for words in blocks for w in words]) + b" "
+        words = _words(text)
+        places, base = [], set()
+        joined = b" " + b" ".join(words) + b" "
         for phrase, label in sought:
             at = joined.find(phrase)
             while at >= 0:
                 places.append(joined.count(b" ", 0, at))
                 base.add(label)
                 at = joined.find(phrase, at + 1)
-        for i, words in enumerate(blocks):
-            met = index.meets(words)
-            if met:
-                matches += [{"block": i, "label": index.items[k][1], "containment": c} for k, c in met]
-                own.update(index.items[k][1] for k, _ in index.best(met))
-                score = max(score, *(c for _, c in met))
-        return {"n_words": sum(map(len, blocks)), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | own)), "score": 1.0 if base else score, "matches": matches}
+        met = index.meets(words)
+        own = {index.items[k][1] for k, _, _ in index.best(met)}
+        score = max((c for _, _, c in met), default=0.0)
+        matches = [{"word": start, "label": index.items[k][1], "containment": c} for k, start, c in met]
+        return {"n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | own)), "score": 1.0 if base else score, "matches": matches}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,5 +153,5 @@ def license_scan(docs: DataFrame, threshold: float = 0.9, templates: Mapping[str
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    out = rows.mapInArrow(run, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<block:long,label:string,containment:double>>")
+    out = rows.mapInArrow(run, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<word:long,label:string,containment:double>>")
     return out.withColumnRenamed("id", id_col)

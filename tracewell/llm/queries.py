@@ -151,19 +151,29 @@ CASE kind WHEN 'call' THEN '{"arguments":{"text":' || to_json(text) || ',"turn":
 FROM c LEFT JOIN a ON a.call_id = c.call_id LEFT JOIN b ON b.call_id = c.call_id"""
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-_TEMPLATES = " UNION ALL ".join(f"SELECT {k} AS k, '{label}' AS label, {sorted(set(t.split()))} AS words" for k, (t, label) in enumerate(licenses.TEMPLATES.items()))
+_TEMPLATES = " UNION ALL ".join(f"SELECT {k} AS k, '{label}' AS label, {len(t.split()) + licenses.SLACK} AS width, {sorted(set(t.split()))} AS words" for k, (t, label) in enumerate(licenses.TEMPLATES.items()))
 _PHRASES = " UNION ALL ".join(f"SELECT {p.split()} AS words, '{label}' AS label" for p, label in licenses.PHRASES.items())
 _OP1 = f"""WITH d AS (SELECT doc_id, text, {_FOLDED} AS w FROM documents), t AS ({_TEMPLATES}), p AS ({_PHRASES}),
 q AS (SELECT doc_id, label, i - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN p ON list_slice(w, i, i + len(words) - 1) = words),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word FROM q GROUP BY doc_id),
-lines AS (SELECT doc_id, n AS line, {_FOLDED.replace('coalesce(text', 'coalesce(x')} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM d)),
-met AS (SELECT doc_id, line, k, label, words, len(list_intersect(list_distinct(w), words)) / len(words) AS c FROM lines JOIN t ON list_has_any(w, words) WHERE len(list_intersect(list_distinct(w), words)) / len(words) >= 0.9),
-top AS (SELECT * FROM met QUALIFY c = max(c) OVER (PARTITION BY doc_id, line)),
-best AS (SELECT * FROM top a WHERE NOT EXISTS (SELECT 1 FROM top b WHERE a.doc_id = b.doc_id AND a.line = b.line AND len(b.words) > len(a.words) AND list_has_all(b.words, a.words))),
+runs AS (SELECT doc_id, p, k, label, words, len(list_intersect(list_distinct(list_slice(w, p, p + width - 1)), words)) / len(words) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) JOIN t ON list_contains(words, w[p])),
+met AS (SELECT * FROM runs WHERE c >= 0.9),
+best AS (SELECT * FROM met a WHERE NOT EXISTS (SELECT 1 FROM met b WHERE a.doc_id = b.doc_id AND abs(a.p - b.p) < {max(len(t.split()) for t in licenses.TEMPLATES) + licenses.SLACK} AND (b.c > a.c OR (b.c = a.c AND len(b.words) > len(a.words) AND list_has_all(b.words, a.words))))),
 own AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM best UNION ALL SELECT doc_id, label FROM q) GROUP BY doc_id),
 named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM q GROUP BY doc_id), score AS (SELECT doc_id, max(c) AS c FROM met GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, first_word, last_word, coalesce(named.labels, '') AS base_labels, coalesce(own.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(score.c, 0.0) END AS score
 FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN score ON score.doc_id = d.doc_id"""
 
-#: Not here: op3, op5, op6 and the pipeline, which SQL can't express, and op9, as DuckDB has no CRC-32; tests hold them to brute force.
-ORACLES: dict[str, str] = {"op1_licenses": _OP1, "op2_substring_dedup": _OP2, "op4_mixing": _OP4, "op7_quality": _OP7, "op8_decontam": _OP8, "op10_chat": _OP10}
+def _wins(n: int) -> str:
+    draws = ", ".join(f"{{'score': -1.0 / ln((CAST('0x' || substr(md5(key || '/{i}'), 1, 13) AS BIGINT) + 0.5) / {2**52}.0), 'shard': {i}}}" for i in range(n))
+    return f"list_max([{draws}]).shard"
+
+
+#: CRC-32 from its rule: each byte's eight steps make a table, which is then walked byte by byte.
+_OP9 = f"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key FROM documents),
+c AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(CAST({0xEDB88320} AS BIGINT), c >> 1) ELSE c >> 1 END)) AS tab),
+s AS (SELECT doc_id, key, octet_length(t) + 1 AS size, xor(list_reduce(list_prepend(CAST({2**32 - 1} AS BIGINT), list_transform(regexp_extract_all(hex(t), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(tab[xor(a & 255, b) + 1], a >> 8)), CAST({2**32 - 1} AS BIGINT)) AS text_crc32, {_wins(8)} AS shard, {_wins(9)} AS grown_shard FROM d, c)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY md5(key), text_crc32, size) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard FROM s"""
+
+#: Not here: op3, op5, op6 and the pipeline, which SQL can't express; tests hold them to brute force or held-out labels.
+ORACLES: dict[str, str] = {"op1_licenses": _OP1, "op2_substring_dedup": _OP2, "op4_mixing": _OP4, "op7_quality": _OP7, "op8_decontam": _OP8, "op9_sharding": _OP9, "op10_chat": _OP10}
