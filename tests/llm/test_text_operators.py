@@ -11,6 +11,8 @@ from itertools import product
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tracewell.llm import chat, decontam, html_extract, licenses, mixing, near_dup, quality, sharding, substring_dedup, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -123,11 +125,18 @@ def test_license_filters_lose_nothing():
     index = licenses.Templates(licenses.TEMPLATES, 0.9, {w: rng.randrange(100) for w in vocabulary})
     for _ in range(3000):
         words = [rng.choice(vocabulary) for _ in range(rng.randrange(25))] + rng.choice(list(licenses.TEMPLATES)).split()[rng.randrange(3) :]
-        met = dict(index.meets([w.encode() for w in words]))
+        met = {(k, at): c for k, at, c in index.meets([w.encode() for w in words])}
         for k, t in enumerate(licenses.TEMPLATES):
             own = set(t.split())
-            share = len(own & set(words)) / len(own)
-            assert met.get(k) == (share if share >= 0.9 else None)
+            for at, w in enumerate(words):
+                share = len(own & set(words[at : at + len(t.split()) + licenses.SLACK])) / len(own)
+                assert met.get((k, at)) == (share if share >= 0.9 and w in own else None)
+
+
+def test_license_notices_run_over_lines(spark):
+    wrapped = ["/* Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0"]
+    rows = licenses.license_scan(docs_of(spark, [*wrapped, "x " * 200_000 + wrapped[0], wrapped[0]], [0, 1, 2, 3, None]).withColumn("labels", F.lit("old")).withColumn("id", F.lit(1))).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["labels"]) for r in rows) == [(-1, "mit"), (0, "mit"), (1, "bsd"), (2, "mpl-2"), (3, "mit")]
 
 
 def test_minimum_cut_is_brute_force():
@@ -156,6 +165,34 @@ def test_html(spark):
     assert html_extract.extract_text(df.limit(0)).count() == 0
 
 
+def alone(page):
+    """What each block would be called without its neighbours."""
+    blocks = html_extract.blocks_of(page)
+    marks = html_extract.marked(blocks)
+    article = any(b.good == 2 and m < html_extract.MARKED for b, m in zip(blocks, marks, strict=True))
+    return [b.text for b, m in zip(blocks, marks, strict=True) if (c := html_extract.costs(b, m, article))[0] > c[1]]
+
+
+LONG = "<p>A paragraph of some length that tells a part of the story and holds no link at all.</p>"
+
+
+def test_html_neighbours_decide():
+    links = '<p><a href="/1">One source of this</a>, <a href="/2">another source</a></p>'
+    page = f"<html><body><div>{LONG}{links}{LONG}</div></body></html>"
+    assert "One source of this, another source" not in alone(page) and "One source of this, another source" in html_extract.main_blocks(page)
+    item = '<li><a href="/x">Some entry</a></li>'
+    page = f"<html><body><ul>{item * 3}<li>New in the list, without a link so far</li>{item * 3}</ul><div>{LONG * 3}</div></body></html>"
+    assert "New in the list, without a link so far" in alone(page) and len(html_extract.main_blocks(page)) == 3 and html_extract.main_blocks(page)[0].startswith("A paragraph")
+
+
+def test_html_frames_heads_and_odd_elements():
+    own = "A paragraph of some length that tells a part of the story and holds no link at all."
+    assert html_extract.main_blocks(f'<div class="layout-with-sidebar"><div id="content">{LONG * 4}</div><div class="sidebar"><p>Read this too</p></div></div>') == [own] * 4
+    assert html_extract.main_blocks(f'<article><header class="entry-header"><h1 class="post-header">Headline</h1></header>{LONG}<p>where <math><mi>x</mi></math> is known <noscript>here</noscript></p><p class="ad">Buy this</p></article>') == ["Headline", own, "where x is known here"]
+    deep = "<div>" * 3000 + own + "</div>" * 3000
+    assert html_extract.main_blocks(deep) == [own] and html_extract.main_blocks("<p>" + "word " * 300_000) == [" ".join(["word"] * 300_000)]
+
+
 def test_water_filling(spark):
     rng = random.Random(6)
     leaves = [(f"d{d}", f"l{x}", f"s{s}", rng.randrange(1, 4000)) for d in range(3) for x in range(3) for s in range(4)] + [(None, None, None, 50)]
@@ -237,9 +274,14 @@ def test_toxicity_grammar_reads_clauses():
     names = toxicity.CATEGORIES
     read = lambda t: dict(zip(names, scorer.read(t)[0] > 0, strict=False))
     assert read("he is an idiot.")["plain"] and read("you are an idiot.")["addressed"]
-    assert read("he is not an idiot.") == dict.fromkeys(names, False) | {"negated": True, "addressed": True}
+    assert read("he is not an idiot.") == dict.fromkeys(names, False) | {"negated": True}
     assert read("she said idiot.")["reported"] and read("i will kill you.")["threat"]
     assert not any(read("a cat sat. on a mat").values()) and scorer.read("fine. you idiot! fine")[1] == ["you idiot"]
+    # a quotation ends; a threat needs someone it is against
+    assert read('the "idiot" was here.') == dict.fromkeys(names, False) | {"reported": True} and read('a "fool" met an idiot.')["plain"]
+    assert not any(read("they say: i will kill you.").values()) and not read("to kill time.")["threat"]
+    score = lambda t: scorer.score(scorer.read(t)[0])
+    assert score("i will kill you.") > 2 * score("to kill time.") and score("you are an idiot.") > 3 * score("he is not an idiot.") and score("you idiot.") > 3 * score('she said "you idiot".')
 
 
 def test_quality(spark):

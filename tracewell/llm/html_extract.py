@@ -1,9 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page's text is cut into blocks at block elements. A small classifier says what it costs to call a block content
-and what to call it boilerplate; these costs are capacities from the source and to the sink. Neighbouring blocks,
-and more so those that share an element, are joined by smoothness edges, the price of labelling them apart. The
-cheapest labelling of the page is a minimum cut, which a maximum flow finds.
+and what to call it boilerplate; these costs are capacities from the source and to the sink. Neighbouring blocks are
+joined by smoothness edges, the price of labelling them apart: the nearer they are in the DOM and the more their elements
+are alike, the higher. The cheapest labelling of the page is a minimum cut, which a maximum flow finds. What an element's
+name or class says weighs less than two like neighbours, so a line of links amid paragraphs stays with them, and a
+sentence amid a menu goes with it.
 """
 
 from __future__ import annotations
@@ -22,18 +24,26 @@ from tracewell.llm._common import slices
 
 # Kinds of HTML elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = ("script", "style", "template", "noscript", "textarea", "iframe", "svg", "math", "object", "title", "select", "option")
+_RAW = ("script", "style", "template", "textarea", "iframe", "svg", "title", "select", "option")
 _BLOCK = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"html", "head", "body"}
 _SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",)}
 _OUTSIDE = frozenset("nav footer aside form dialog button menu label legend".split())
 _INSIDE = frozenset(("article", "main"))
 # Parts of class names, ids and roles that say what an element is for.
-_BAD = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager search complementary contentinfo dialog toc copyright legal".split())
+_BAD = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer topbar toolbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager search complementary contentinfo dialog toc notice notices".split())
+_HINTS = frozenset("alert widget copyright legal".split())
+_HEADS = frozenset("header masthead".split())
 _GOOD = frozenset("article articlebody content main maincontent post entry story body text prose".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+#: What it costs more to call a block content that an element or class marks as something else, or that a class only hints at.
+MARKED, HINTED = 4.0, 1.5
+#: An element that holds more than this part of a page's text is its frame, whatever its class says.
+FRAME = 0.5
+#: Smoothness of consecutive blocks: of one parent, tag and class; of one parent and tag; all others; and of one parent beyond a block between.
+LIKE, KIN, NEXT, SKIP = 2.0, 1.0, 0.3, 0.4
 #: Capacities are whole numbers of this part of a unit.
 _GRAIN = 1000
 
@@ -42,9 +52,10 @@ _GRAIN = 1000
 class Block:
     text: str
     tag: str
+    look: str  # its element's class
     parent: int
     good: int
-    bad: bool
+    marks: tuple[tuple[int, float], ...]  # elements that mark it as no content: number, and what that costs
     links: int
 
 
@@ -52,8 +63,9 @@ class Block:
 class _Open:
     name: str
     number: int
+    look: str
     good: int
-    bad: bool
+    marks: tuple[tuple[int, float], ...]
     inside: bool
 
 
@@ -64,7 +76,7 @@ def _words_of(value: str) -> set[str]:
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in its order, each with what its elements say about it."""
     out: list[Block] = []
-    stack = [_Open("", 0, 0, False, False)]
+    stack = [_Open("", 0, "", 0, (), False)]
     number, piece, links, at, depth_a = 0, [], 0, 0, 0
 
     def flush() -> None:
@@ -73,7 +85,7 @@ def blocks_of(html: str) -> list[Block]:
         if text:
             top = next((x for x in reversed(stack) if x.name in _BLOCK), stack[0])
             under = stack[max(0, stack.index(top) - 1)]
-            out.append(Block(text, top.name, under.number, stack[-1].good, stack[-1].bad, min(links, len(text))))
+            out.append(Block(text, top.name, top.look, under.number, stack[-1].good, stack[-1].marks, min(links, len(text))))
         piece, links = [], 0
 
     def pop_to(k: int) -> None:
@@ -129,28 +141,46 @@ def blocks_of(html: str) -> list[Block]:
         top = stack[-1]
         number += 1
         inside = top.inside or name in _INSIDE
-        bad = top.bad or name in _OUTSIDE or name == "head" or (name == "header" and not top.inside)
-        good = max(top.good, 2 if name in _INSIDE else 0)
+        cost = MARKED if name in _OUTSIDE or name == "head" or (name == "header" and not top.inside) else 0.0
+        good, look = max(top.good, 2 if name in _INSIDE else 0), ""
         if m["attrs"]:
             for k, v in _ATTR.findall(m["attrs"]):
                 k, v = k.lower(), v.strip("\"'")
                 if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v)):
-                    bad = True
+                    cost = MARKED
                 elif k in ("class", "id", "role", "itemprop") and name not in ("html", "body"):
+                    look = v if k == "class" else look
                     names = _words_of(v)
-                    bad = bad or (bool(names & _BAD) and not (inside and name in _INSIDE))
                     good = max(good, 1 if names & _GOOD else 0)
-        stack.append(_Open(name, number, good, bad, inside))
+                    if name in _INSIDE or (name[0] == "h" and name[1:].isdigit()):
+                        continue
+                    if names & _BAD or (names & _HEADS and not inside):
+                        cost = MARKED
+                    elif names & _HINTS:
+                        cost = max(cost, HINTED)
+        stack.append(_Open(name, number, look, good, (*top.marks, (number, cost)) if cost else top.marks, inside))
         depth_a += name == "a"
     flush()
     return out
 
 
-def costs(b: Block, has_article: bool) -> tuple[float, float]:
+def marked(blocks: list[Block]) -> list[float]:
+    """What each block's marks cost: the highest, those of a page's frame left out."""
+    held: dict[int, int] = {}
+    for b in blocks:
+        for number, _ in b.marks:
+            held[number] = held.get(number, 0) + len(b.text)
+    most = FRAME * sum(len(b.text) for b in blocks)
+    alone = len(blocks) == 1
+    return [max((c for number, c in b.marks if alone or held[number] <= most), default=0.0) for b in blocks]
+
+
+def costs(b: Block, mark: float, has_article: bool) -> tuple[float, float]:
     """What it costs to call a block boilerplate, and to call it content."""
     dense = b.links / len(b.text)
-    boilerplate = 0.4 + min(2.0, math.log1p(len(b.text)) / 3) * (1 - dense) + (1.0 if b.tag in ("p", "blockquote", "pre") else 0.6 if b.tag[0:1] == "h" and b.tag[1:].isdigit() else 0.0) + (4.0 if b.good == 2 else 1.5 if b.good else 0.0)
-    content = (12.0 if b.bad else 0.0) + 4.0 * max(0.0, dense - 0.3) + (3.5 if has_article and b.good < 2 else 0.8)
+    good = 0 if mark >= MARKED else b.good
+    boilerplate = 0.4 + min(2.0, math.log1p(len(b.text)) / 3) * (1 - dense) + (1.0 if b.tag in ("p", "blockquote", "pre") else 0.6 if b.tag[0:1] == "h" and b.tag[1:].isdigit() else 0.0) + (4.0 if good == 2 else 1.5 if good else 0.0)
+    content = mark + 4.0 * max(0.0, dense - 0.3) + (3.5 if has_article and good < 2 else 0.8)
     return boilerplate, content
 
 
@@ -227,13 +257,15 @@ def main_blocks(html: str) -> list[str]:
     blocks = blocks_of(html)
     if not blocks:
         return []
-    has_article = any(b.good == 2 and not b.bad for b in blocks)
-    pairs = [costs(b, has_article) for b in blocks]
-    edges = [(i, i + 1, round(_GRAIN * (0.3 + (0.7 if a.parent == b.parent else 0.0)))) for i, (a, b) in enumerate(zip(blocks, blocks[1:], strict=False))]
+    marks = marked(blocks)
+    has_article = any(b.good == 2 and m < MARKED for b, m in zip(blocks, marks, strict=True))
+    pairs = [costs(b, m, has_article) for b, m in zip(blocks, marks, strict=True)]
+    near = lambda a, b: NEXT if a.parent != b.parent or a.tag != b.tag else LIKE if a.look == b.look else KIN
+    edges = [(i, i + 1, round(_GRAIN * near(a, b))) for i, (a, b) in enumerate(zip(blocks, blocks[1:], strict=False))]
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if b.parent in last and last[b.parent] < i - 1:
-            edges.append((last[b.parent], i, round(_GRAIN * 0.4)))
+            edges.append((last[b.parent], i, round(_GRAIN * SKIP)))
         last[b.parent] = i
     side = minimum_cut([round(_GRAIN * x) for x, _ in pairs], [round(_GRAIN * y) for _, y in pairs], edges)
     return [b.text for b, keep in zip(blocks, side, strict=True) if keep]
@@ -246,13 +278,15 @@ def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text"
     without content: "". A column named ``out_col`` is replaced; all others stay. Repeated rows are read each.
     """
     pages = pages.drop(out_col) if out_col != html_col else pages
-    names = pages.columns
+    names, made = pages.columns, "__out"
+    while made in names:
+        made += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, html_col):
                 texts = pa.array(["\n".join(main_blocks(h or "")) for h in part.column(html_col).to_pylist()], type=pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*names, "__out"])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*names, made])
 
-    out = pages.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), "__out string"]))
-    return out.drop(html_col).withColumnRenamed("__out", out_col) if out_col == html_col else out.withColumnRenamed("__out", out_col)
+    out = pages.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields), f"`{made}` string"]))
+    return out.drop(html_col).withColumnRenamed(made, out_col) if out_col == html_col else out.withColumnRenamed(made, out_col)
