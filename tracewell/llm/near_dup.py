@@ -31,7 +31,7 @@ SHORT = ((15, 3), (50, 5))
 #: Bins of words for the first lower bound of a distance.
 BINS = 128
 #: Texts of a class that one task compares with as many others of a large bucket.
-TILE = 300
+TILE = 1000
 
 
 def _sketches(km: np.ndarray, counts: np.ndarray, seeds: np.ndarray, odds: np.ndarray, size: int) -> np.ndarray:
