@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewell.functions import masks, net, text, times
 from tracewell.operators.dedup import numbered, without_duplicates
 from tracewell.operators.fold import folded_runs, with_upper_median
+from tracewell.operators.identity import resolve_references, start_keys
 from tracewell.operators.links import handle_starts, last_writer, merged, next_start
 from tracewell.plans.investigate import frontier, joined, reachable
 from tracewell.plans.judge import phrase_score
+from tracewell.plans.learn import profiles_frame
 
 _Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, _Query] = {}
@@ -215,12 +217,13 @@ def same_activity(spark, sf_dir):
     return _table(spark, sf_dir, "pages").withColumn("folded", folded).select("page_id", "folded", F.count("*").over(Window.partitionBy("folded")).alias("alike"))
 
 
-@_query("""SELECT event_type AS grp, name, count(*) AS n, count(DISTINCT v) AS n_values, min(v) AS low, max(v) AS high FROM (SELECT event_type, unnest(['user_id', 'props', 'event_id']) AS name, unnest([CAST(user_id AS VARCHAR), props, CAST(event_id AS VARCHAR)]) AS v FROM events) GROUP BY 1, 2""")
+@_query(EV + """, e AS (SELECT kind AS grp, file, seq, unnest(['user_id', 'k', 'event_id']) AS name, unnest([CAST(u AS VARCHAR), CAST(k AS VARCHAR), CAST(seq AS VARCHAR)]) AS v FROM ev),
+f AS (SELECT grp, name, v, count(*) AS n, row_number() OVER (PARTITION BY grp, name ORDER BY min(file * 1000000000 + seq), v) AS r FROM e GROUP BY grp, name, v) SELECT grp, name, CAST(sum(n) AS BIGINT) AS n, string_agg(CASE WHEN r <= 3 THEN v END, ',' ORDER BY r) AS samples FROM f GROUP BY grp, name""")
 def schema_profile(spark, sf_dir):
-    """Fields of each type of event, with partial sums that merge."""
-    rows = _table(spark, sf_dir, "events")
-    fields = F.explode(F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("props"), F.col("props"), F.lit("event_id"), F.col("event_id").cast("string"))).alias("name", "v")
-    return rows.select(F.col("event_type").alias("grp"), fields).groupBy("grp", "name").agg(F.count("*").alias("n"), F.count_distinct("v").alias("n_values"), F.min("v").alias("low"), F.max("v").alias("high"))
+    """Fields of each type of event with their first distinct values."""
+    fields = F.create_map(F.lit("user_id"), F.col("u").cast("string"), F.lit("k"), F.col("k").cast("string"), F.lit("event_id"), F.col("seq").cast("string"))
+    rows = events(spark, sf_dir).select(F.col("kind").alias("grp"), "file", F.col("seq").alias("line"), fields.alias("fields"))
+    return profiles_frame(rows).select("grp", "name", F.col("count").alias("n"), F.array_join("samples", ",").alias("samples"))
 
 
 @_query("SELECT event_type AS grp, substr(sha256('[\"' || event_type || '\",[\"event_id\",\"props\",\"user_id\"]]'), 1, 24) AS fingerprint, count(*) AS n FROM events GROUP BY event_type")
@@ -323,3 +326,36 @@ def candidate_groups(spark, sf_dir):
     """What reads the same shares one row with its first member."""
     same = F.md5(F.concat_ws("|", "c_mktsegment", F.col("c_nationkey").cast("string")))
     return _table(spark, sf_dir, "customer").groupBy(same.alias("grp")).agg(F.min("c_custkey").alias("head"), F.count("*").alias("occurrences"))
+
+
+def _references(ev: DataFrame, guid: Column) -> DataFrame:
+    """Events as references to processes: a key is a PID, purchases are starts without a GUID."""
+    kind = F.when(F.col("kind") == "purchase", "process_start").otherwise("network")
+    nothing = F.lit(None).cast("string")
+    return ev.select("seq", F.lit(0).alias("role"), F.lit("h").alias("host"), guid.cast("string").alias("guid"), F.col("k").alias("pid"), nothing.alias("base"), nothing.alias("image"), "t", F.lit("0|a").alias("space"), kind.alias("kind"))
+
+
+@_query(EV + """, s AS (SELECT DISTINCT k, t FROM ev WHERE kind = 'purchase'), r AS (SELECT ev.seq, ev.k, ev.t, s.t AS st FROM ev ASOF LEFT JOIN s ON ev.k = s.k AND ev.t + 2000000 >= s.t WHERE kind <> 'purchase')
+SELECT seq, 'p:h:' || k || ':' || coalesce(st, min(t) OVER (PARTITION BY k, st IS NULL)) AS key FROM r UNION ALL SELECT seq, 'p:h:' || k || ':' || t FROM ev WHERE kind = 'purchase'""")
+def pid_lifetimes(spark, sf_dir):
+    """What runs under a PID at a time, and what is first seen there."""
+    refs = _references(events(spark, sf_dir), F.lit(None))
+    return resolve_references(refs, start_keys(refs)).select("seq", "key")
+
+
+@_query(EV + """, c AS (SELECT seq, k, t, 'u' || u || 'd' || file AS guid FROM ev WHERE kind = 'click'), f AS (SELECT guid, k, t FROM c QUALIFY row_number() OVER (PARTITION BY guid ORDER BY t, seq) = 1), s AS (SELECT DISTINCT k, t FROM ev WHERE kind = 'purchase'),
+l AS (SELECT f.guid, coalesce('p:h:' || f.k || ':' || s.t, 'g:h:' || f.guid) AS key FROM f ASOF LEFT JOIN s ON f.k = s.k AND f.t + 2000000 >= s.t)
+SELECT seq, key FROM c JOIN l USING (guid) UNION ALL SELECT seq, 'p:h:' || k || ':' || t FROM ev WHERE kind = 'purchase'""")
+def late_guids(spark, sf_dir):
+    """A GUID (a user's day) that is first seen while a process without one runs under its PID is that process."""
+    refs = _references(events(spark, sf_dir).where("kind in ('click', 'purchase')"), F.when(F.col("kind") == "click", F.concat(F.lit("u"), "u", F.lit("d"), "file")))
+    return resolve_references(refs, start_keys(refs)).select("seq", "key")
+
+
+@_query(EV + """, x AS (SELECT seq, k, t // 3600 AS t, u, kind FROM ev WHERE kind IN ('click', 'purchase')), g AS (SELECT * FROM x WHERE kind = 'click'), p AS (SELECT * FROM x WHERE kind = 'purchase')
+SELECT seq, 'g:h:' || seq AS key FROM g UNION ALL SELECT p.seq, coalesce((SELECT arg_min('g:h:' || g.seq, CAST(g.t AS HUGEINT) * 100000000 + g.seq) FROM g WHERE g.k = p.k AND abs(g.t - p.t) <= 2000000), 'p:h:' || p.k || ':' || p.t) FROM p""")
+def start_twins(spark, sf_dir):
+    """A start without a GUID is the earliest start with one that is near (an hour of events is a second here)."""
+    ev = events(spark, sf_dir).where("kind in ('click', 'purchase')").withColumn("t", F.floor(F.col("t") / 3600).cast("long"))
+    refs = _references(ev, F.when(F.col("kind") == "click", F.col("seq"))).withColumn("kind", F.lit("process_start"))
+    return start_keys(refs).select("seq", "key")
