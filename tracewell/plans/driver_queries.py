@@ -218,7 +218,7 @@ def same_activity(spark, sf_dir):
 
 
 @_query(EV + """, e AS (SELECT kind AS grp, file, seq, unnest(['user_id', 'k', 'event_id']) AS name, unnest([CAST(u AS VARCHAR), CAST(k AS VARCHAR), CAST(seq AS VARCHAR)]) AS v FROM ev),
-f AS (SELECT grp, name, v, count(*) AS n, row_number() OVER (PARTITION BY grp, name ORDER BY min(file * 1000000000 + seq), v) AS r FROM e GROUP BY grp, name, v) SELECT grp, name, CAST(sum(n) AS BIGINT) AS n, string_agg(CASE WHEN r <= 3 THEN v END, ',' ORDER BY r) AS samples FROM f GROUP BY grp, name""")
+f AS (SELECT grp, name, v, count(*) AS n, row_number() OVER (PARTITION BY grp, name ORDER BY min(CAST(file AS BIGINT) * 1000000000 + seq), v) AS r FROM e GROUP BY grp, name, v) SELECT grp, name, CAST(sum(n) AS BIGINT) AS n, string_agg(CASE WHEN r <= 3 THEN v END, ',' ORDER BY r) AS samples FROM f GROUP BY grp, name""")
 def schema_profile(spark, sf_dir):
     """Fields of each type of event with their first distinct values."""
     fields = F.create_map(F.lit("user_id"), F.col("u").cast("string"), F.lit("k"), F.col("k").cast("string"), F.lit("event_id"), F.col("seq").cast("string"))
