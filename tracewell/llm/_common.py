@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Text bytes handled at once in a Python worker; keeps its word lists to some tens of MB.
 CHUNK_BYTES = 2_000_000
@@ -50,6 +50,11 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row's id; of a row without one a hash of its text, from 2**62 on, beyond all ids in use; null if it has neither."""
+    return F.coalesce(F.col(id_col).cast("long"), F.when(F.col(text_col).isNotNull(), F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(text_col), 3)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.llm._common import hashed_words, rolling, slices, starts_of
+from tracewell.llm._common import hashed_words, rolling, row_key, slices, starts_of
 
 #: Text bytes of the benchmark that are searched for in one pass.
 BLOCK_BYTES = 16_000_000
@@ -157,7 +157,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "m.n_shared", "m.n_shingles", "m.containment")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; columns stay as they are."""
-    bad = contaminated(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item; columns stay as they are.
+
+    Rows without an id are searched like all others; rows that share an id go if one of them does.
+    """
+    key = row_key(id_col, text_col)
+    bad = contaminated(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, id_col="key", text_col="text", **options).select("key").distinct()
+    return docs.join(bad, key == F.col("key"), "left_anti")

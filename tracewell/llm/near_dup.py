@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tracewell.llm._common import hashed_words, mix, rolling, slices, starts_of, stored
+from tracewell.llm._common import hashed_words, mix, rolling, row_key, slices, starts_of, stored
 
 #: Texts of up to so many words are sketched by so many single words; longer ones by k-mers.
 SHORT = ((15, 3), (50, 5))
@@ -360,8 +360,11 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, k: int = 2,
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, that with the least id; all columns stay.
 
-    Rows without an id stay, as they have no class. All rows of a document that stays do.
+    Rows without an id are compared like all others and come after them; those without a text too stay. Of rows that
+    share id and text one stays; rows that share an id alone are one document, of which all texts stay or go.
     """
-    classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **options)
-    gone = classes.where(f"`{id_col}` <> class_id").select(F.col(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    key = row_key(id_col, text_col)
+    classes = near_duplicate_classes(docs.select(key.alias("key"), F.col(text_col).alias("text")), id_col="key", text_col="text", **options)
+    odd = stored(classes.where("key is not null").groupBy("key").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).where("key <> class_id or n > 1"))
+    again = docs.join(odd.where("key = class_id"), key == F.col("key"), "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(odd, key == F.col("key"), "left_anti").unionByName(again)
