@@ -5,12 +5,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.llm import decontam, mixing, near_dup, sharding, toxicity
-from tracewell.llm._common import shared_dir
+from tracewell.llm._common import stored
 
 #: A document with a score from here on goes.
 TOXIC = 0.7
@@ -59,10 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written as Parquet to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
+            docs = stored(docs)
     return docs
