@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tracewell.llm import chat, decontam, html_extract, licenses, mixing, near_dup, quality, sharding, substring_dedup, toxicity
+import public_tokenizers
+from tracewell.llm import byte_bpe, chat, decontam, html_extract, licenses, merkle, mixing, near_dup, quality, sharding, substring_dedup, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,29 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.linked(chat.exchanges_as_calls(_table(spark, sf_dir, "conversations")), REPLY)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(_table(spark, sf_dir, "embeddings"))
+
+
+#: The rank file that op12 encodes by.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(RANKS))
+    out = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    told = lambda text: merkle.record_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaves = docs.select("doc_id", "source", told(F.col("text")).alias("leaf"), F.when(tampered, told(F.replace(F.col("text"), F.lit("\n"), F.lit("")))).alias("tampered_leaf"))
+    out = merkle.proofs(leaves).withColumn("folded_root", merkle.folded(F.coalesce("tampered_leaf", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_substring_dedup": op2_substring_dedup,
@@ -82,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_sharding": op9_sharding,
     "op10_chat": op10_chat,
+    "op11_whitening": op11_whitening,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -175,5 +202,30 @@ c AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0,
 s AS (SELECT doc_id, key, octet_length(t) + 1 AS size, xor(list_reduce(list_prepend(CAST({2**32 - 1} AS BIGINT), list_transform(regexp_extract_all(hex(t), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(tab[xor(a & 255, b) + 1], a >> 8)), CAST({2**32 - 1} AS BIGINT)) AS text_crc32, {_wins(8)} AS shard, {_wins(9)} AS grown_shard FROM d, c)
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY md5(key), text_crc32, size) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard FROM s"""
 
-#: Not here: op3, op5, op6 and the pipeline, which SQL can't express; tests hold them to brute force or held-out labels.
-ORACLES: dict[str, str] = {"op1_licenses": _OP1, "op2_substring_dedup": _OP2, "op4_mixing": _OP4, "op7_quality": _OP7, "op8_decontam": _OP8, "op9_sharding": _OP9, "op10_chat": _OP10}
+def _record_sql(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f})) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _siblings_sql(nodes: str) -> str:
+    """Of each node the digests of its run's nodes before and after it."""
+    return f"""SELECT a.lvl, a.tree, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') || '|' || coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS step
+FROM {nodes} a JOIN {nodes} b ON a.lvl = b.lvl AND a.tree = b.tree AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL"""
+
+
+#: crc32(doc_id) as in op9.
+_OP13 = f"""WITH RECURSIVE c AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(CAST({0xEDB88320} AS BIGINT), c >> 1) ELSE c >> 1 END)) AS tab),
+l AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS tree, {_record_sql('text')} AS leaf, CASE WHEN xor(list_reduce(list_prepend(CAST({2**32 - 1} AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(tab[xor(a & 255, b) + 1], a >> 8)), CAST({2**32 - 1} AS BIGINT)) % 2 = 0 THEN {_record_sql("replace(text, chr(10), '')")} END AS bent FROM documents, c),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l),
+t AS (SELECT 0 AS lvl, tree, pos, leaf AS digest, n FROM p UNION ALL SELECT lvl + 1, tree, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY lvl, tree, pos // 3, n),
+s AS (SELECT tree AS name, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, '' AS tree, pos, subroot AS digest, n FROM s UNION ALL SELECT lvl + 1, tree, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY lvl, tree, pos // 3, n),
+low AS (SELECT p.tree, p.pos, list(x.step ORDER BY x.lvl) AS steps FROM p JOIN ({_siblings_sql('t')}) x ON x.tree = p.tree AND x.pos = p.pos // CAST(pow(3, x.lvl) AS BIGINT) GROUP BY p.tree, p.pos),
+high AS (SELECT s.name, list(x.step ORDER BY x.lvl) AS steps FROM s JOIN ({_siblings_sql('u')}) x ON x.pos = s.pos // CAST(pow(3, x.lvl) AS BIGINT) GROUP BY s.name),
+j AS (SELECT p.doc_id, p.leaf, coalesce(p.bent, p.leaf) AS shown, s.subroot, (SELECT digest FROM u WHERE n = 1) AS root, list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+FROM p JOIN s ON s.name = p.tree LEFT JOIN low ON low.tree = p.tree AND low.pos = p.pos LEFT JOIN high ON high.name = p.tree),
+f AS (SELECT *, list_reduce(list_prepend(shown, steps), lambda node, x: sha256(split_part(x, '|', 1) || node || split_part(x, '|', 2))) AS folded_root FROM j)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f"""
+
+#: Not here: op3, op5, op6, op11 (eigenvectors), op12 (merges by rank) and the pipeline, which SQL can't express; tests hold them to brute force or held-out labels.
+ORACLES: dict[str, str] = {"op1_licenses": _OP1, "op2_substring_dedup": _OP2, "op4_mixing": _OP4, "op7_quality": _OP7, "op8_decontam": _OP8, "op9_sharding": _OP9, "op10_chat": _OP10, "op13_merkle": _OP13}
