@@ -1,9 +1,9 @@
 """Byte-level BPE over a global shuffle of distinct words, and its inverse.
 
 Texts are cut into pre-tokens. A block of texts lists its distinct pre-tokens once and keeps the places as numbers into
-that list, so a place costs a few bits. The lists are exploded and shuffled by word: all blocks' entries of a word meet in
-one task, which encodes it once. The ids go back to their blocks, where they are put together in the order of the places.
-The blocks' places are a table bucketed by block, so they are written once and never shuffled.
+that list, so a place costs a few bits. The lists are dealt out by a hash of the word and shuffled: all blocks' entries of
+a word meet in one task, which encodes it once. The ids go back to their blocks, where they are put together in the order of
+the places. The blocks' places are a table bucketed by block, so they are written once and never shuffled.
 
 Decoding looks each id up in the table of token bytes, whose size is that of the vocabulary.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import atexit
 import base64
 import uuid
+import zlib
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tracewell.llm._common import _remove, partitions, shared_dir, slices, starts_of
 
+#: Parts that words are dealt out to by their hash; a task that encodes holds the distinct words of one part.
+PARTS = 1024
 #: Text bytes of a block; a longer text is a block of its own.
 BLOCK_BYTES = 32_000_000
 #: Characters that are cut into pre-tokens at once, and places that are put together at once.
@@ -102,19 +105,33 @@ class _Block:
         self.counts.append(count)
 
     def row(self, id_type: pa.DataType) -> pa.RecordBatch:
-        places = np.concatenate([np.empty(0, dtype=np.uint32), *self.places]).tobytes()
+        places = np.concatenate([np.empty(0, dtype=np.uint32), *self.places])
+        words = [w.encode() for w in self.words]
+        part = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % PARTS
+        order = np.argsort(part, kind="stable").astype(np.uint32)
+        edges = np.searchsorted(part[order], np.arange(PARTS + 1))
+        lists = [{"part": k, "at": int(a), "n": int(b - a), "words": pa.compress(_END.join(words[i] for i in order[a:b]), codec="zstd", asbytes=True), "size": int(sum(len(words[i]) for i in order[a:b]) + b - a - 1)} for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([self.number], pa.int64()),
-                pa.array([self.ids], pa.list_(id_type)),
-                pa.array([self.counts], pa.list_(pa.int64())),
-                pa.array([pa.compress(places, codec="zstd", asbytes=True)], pa.binary()),
-                pa.array([[w.encode() for w in self.words]], pa.list_(pa.binary())),
-            ],
-            ["block", "ids", "counts", "places", "words"],
+            [pa.array([self.number], pa.int64()), pa.array([self.ids], pa.list_(id_type)), pa.array([self.counts], pa.list_(pa.int64())), pa.array([_packed(places)], pa.binary()), pa.array([_packed(order)], pa.binary()), pa.array([lists], pa.list_(_LIST))],
+            ["block", "ids", "counts", "places", "numbers", "lists"],
         )
 
 
+#: Between words, as no UTF-8 text holds it.
+_END = b"\xff"
+_LIST = pa.struct([("part", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("words", pa.binary()), ("size", pa.int32())])
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers by planes of bytes, as high bytes are alike, and compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
 def _pieces(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
     """A row for each block, written bucketed by block."""
     spark = docs.sparkSession
@@ -138,7 +155,7 @@ def _pieces(docs: DataFrame, pattern: str, block_bytes: int) -> DataFrame:
 
     name = f"tracewell_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    rows = docs.mapInArrow(work, f"block long, ids array<{id_type}>, counts array<long>, places binary, words array<binary>")
+    rows = docs.mapInArrow(work, f"block long, ids array<{id_type}>, counts array<long>, places binary, numbers binary, lists array<struct<part:int,at:int,n:int,words:binary,size:int>>")
     rows.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(partitions(spark), "block").saveAsTable(name)
     atexit.register(_dropped, spark, name, path)
     return spark.table(name)
@@ -158,19 +175,25 @@ def _whole_words(ranks: tuple[tuple[bytes, int], ...]) -> tiktoken.Encoding:
 
 
 def _encoder(ranks: Mapping[bytes, int]):
-    """Ids of words that come sorted, each distinct one encoded once."""
+    """Ids of lists of words that come sorted by part; each distinct word of a part is encoded once."""
     listed = tuple(ranks.items())
 
     def work(batches):
-        encoding, last, last_ids = _whole_words(listed), None, b""
+        encoding, part, known = _whole_words(listed), None, {}
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            ids = []
-            for word in coded.dictionary.to_pylist():
-                if word != last:
-                    last, last_ids = word, np.array(encoding.encode_ordinary(word.decode()), dtype="<u4").tobytes()
-                ids.append(last_ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("nth"), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "nth", "ids"])
+            packed, counts = [], []
+            for k, size, words in zip(*(batch.column(c).to_pylist() for c in ("part", "size", "words")), strict=True):
+                if k != part:
+                    part, known = k, {}
+                ids = []
+                for word in pa.decompress(words, decompressed_size=size, codec="zstd", asbytes=True).split(_END):
+                    if word not in known:
+                        known[word] = encoding.encode_ordinary(word.decode())
+                    ids.append(known[word])
+                flat = [len(x) for x in ids] + [i for x in ids for i in x]
+                packed.append(_packed(np.array(flat, dtype=np.uint32)))
+                counts.append(len(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), batch.column("n"), pa.array(packed, pa.binary()), pa.array(counts, pa.int32())], ["block", "at", "n", "ids", "size"])
 
     return work
 
@@ -188,15 +211,16 @@ def _binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def _texts(block: pa.Table, coded: pa.Table, id_col: str) -> pa.Table:
     """The ids of a block's texts, in the order of their places."""
-    coded = coded.sort_by("nth")
-    words = coded["ids"].combine_chunks()
-    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) and words.num_chunks else words
-    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) // 4 if len(coded) else np.empty(0, dtype=np.int64)
-    flat = np.frombuffer(b"".join(words.to_pylist()), dtype="<u4")
-    starts = starts_of(lengths)[:-1]
+    coded = coded.sort_by("at")
+    lists = [(n, _unpacked(data, size)) for n, data, size in zip(*(coded[c].to_pylist() for c in ("n", "ids", "size")), strict=True)]
+    flat = np.concatenate([np.empty(0, dtype="<u4"), *(x[n:] for n, x in lists)])
+    dealt = np.concatenate([np.empty(0, dtype=np.int64), *(x[:n].astype(np.int64) for n, x in lists)])
+    numbers = _unpacked(block["numbers"][0].as_py(), len(dealt))
+    lengths, starts = np.empty(len(dealt), dtype=np.int64), np.empty(len(dealt), dtype=np.int64)
+    lengths[numbers], starts[numbers] = dealt, starts_of(dealt)[:-1]
     ids, kind, parts = block["ids"].combine_chunks().flatten(), block.schema.field("ids").type.value_type, []
     counts = np.array(block["counts"][0].as_py(), dtype=np.int64)
-    places = np.frombuffer(pa.decompress(block["places"][0].as_buffer(), decompressed_size=4 * int(counts.sum()), codec="zstd"), dtype=np.uint32) if counts.sum() else np.empty(0, dtype=np.uint32)
+    places = _unpacked(block["places"][0].as_py(), int(counts.sum()))
     first = starts_of(counts)
     edges = [0, *(np.flatnonzero(np.diff(first[:-1] // PLACES)) + 1).tolist(), len(counts)]
     for a, b in zip(edges, edges[1:], strict=False):
@@ -216,11 +240,10 @@ def encode(docs: DataFrame, ranks: Mapping[bytes, int], pattern: str, id_col: st
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     pieces = _pieces(rows, pattern, block_bytes)
-    words = pieces.select("block", F.posexplode("words").alias("nth", "word"))
-    words = words.repartition(partitions(spark), "word").sortWithinPartitions("word")
-    coded = words.mapInArrow(_encoder(ranks), "block long, nth int, ids binary")
+    words = pieces.select("block", F.inline("lists")).repartition(partitions(spark), "part").sortWithinPartitions("part")
+    coded = words.mapInArrow(_encoder(ranks), "block long, at int, n int, ids binary, size int")
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    places = pieces.select("block", "ids", "counts", "places")
+    places = pieces.select("block", "ids", "counts", "places", "numbers")
     return places.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(lambda block, of: _texts(block, of, id_col), schema)
 
 
