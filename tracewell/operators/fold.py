@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions.text import variable
+from tracewell.operators.carry import bucket_of, carried
 from tracewell.operators.tables import stored
 
 #: Repeats further apart than this, and than three usual intervals, begin a new run.
@@ -17,11 +18,53 @@ def upper_median(values: Column) -> Column:
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
 
 
+def _same(key: list[str]) -> Column:
+    """Rows and a table whose key columns are __k0, __k1, ... agree, nulls too."""
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return same
+
+
+def _beside(rows: DataFrame, told: DataFrame, key: list[str], *names: str) -> DataFrame:
+    """``rows`` with the columns ``names`` that ``told`` has for their key."""
+    told = told.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], *names)
+    return rows.join(told, _same(key), "left").drop(*[f"__k{i}" for i in range(len(key))])
+
+
+def _size(value: Column) -> Column:
+    """A number that rises with ``value``: its octave and 1024 steps within, so that no bucket is wide for its values."""
+    v = F.greatest(F.abs(value.cast("double")), F.lit(1.0))
+    octave = F.floor(F.log2(v))
+    return (F.signum(value.cast("double")) * (octave * 1024 + F.floor(v / F.pow(F.lit(2.0), octave) * 1024))).cast("long")
+
+
 def with_upper_median(rows: DataFrame, key: list[str], value: str, name: str) -> DataFrame:
-    """Rows of ``key``, n and the upper median of ``value``, by rank: nothing is gathered into one value."""
-    order = Window.partitionBy(*key).orderBy(value)
-    ranked = rows.withColumn("__r", F.row_number().over(order)).withColumn("__n", F.count("*").over(Window.partitionBy(*key)))
-    return ranked.where(F.col("__r") == F.floor(F.col("__n") / 2) + 1).select(*key, F.col("__n").alias("n"), F.col(value).alias(name))
+    """Rows of ``key``, n and the upper median of ``value``, by rank: equal values are counted first, then counts are summed
+    along the values in buckets, so no key is one task and nothing is gathered into one value."""
+    counts = rows.groupBy(*key, value).agg(F.count("*").alias("__c"))
+    counts = carried(counts, key, [F.col(value)], _size(F.col(value)), total={"__upto": F.col("__c")})
+    sizes = counts.groupBy(*key).agg(F.sum("__c").alias("n"))
+    middle = F.floor(F.col("n") / 2)
+    counts = _beside(counts, sizes, key, "n")
+    return counts.where((F.col("__upto") > middle) & (F.col("__upto") - F.col("__c") <= middle)).select(*key, "n", F.col(value).alias(name))
+
+
+def _with_gaps(rows: DataFrame, key: list[str], t: str, order: str) -> DataFrame:
+    """``rows`` with ``__gap``, the time since the key's row before."""
+    rows = carried(rows, key, [F.col(t).asc_nulls_last(), F.col(order)], bucket_of(F.col(t), F.col(order)), last={"__before": F.col(t)}, inclusive=False)
+    return rows.withColumn("__gap", F.col(t) - F.col("__before")).drop("__before")
+
+
+def _with_runs(rows: DataFrame, key: list[str], t: str, order: str, quiet: int) -> DataFrame:
+    """with_runs() with ``__gap``, which is null where a run begins."""
+    rows = _with_gaps(rows, key, t, order)
+    usual = with_upper_median(rows.where("__gap is not null"), key, "__gap", "__usual").where("n >= 4")
+    rows = _beside(rows, usual, key, "__usual")
+    new = F.coalesce(F.col("__gap") > F.greatest(F.lit(quiet), F.coalesce(F.col("__usual") * 3, F.lit(0))), F.lit(False))
+    rows = rows.withColumn("__new", new).withColumn("__gap", F.when(~F.col("__new"), F.col("__gap")))
+    rows = carried(rows, key, [F.col(t).asc_nulls_last(), F.col(order)], bucket_of(F.col(t), F.col(order)), total={"run": F.col("__new").cast("long")})
+    return rows.drop("__usual", "__new")
 
 
 def with_runs(rows: DataFrame, key: list[str], t: str = "t", order: str = "seq", quiet: int = QUIET) -> DataFrame:
@@ -30,15 +73,7 @@ def with_runs(rows: DataFrame, key: list[str], t: str = "t", order: str = "seq",
     Soon enough: within ``quiet``, or within three times the key's upper median gap if it has four gaps or more. Untimed
     rows come last and go on with the last run.
     """
-    path = Window.partitionBy(*key).orderBy(F.col(t).asc_nulls_last(), order)
-    rows = rows.withColumn("__gap", F.col(t) - F.lag(t).over(path))
-    usual = with_upper_median(rows.where("__gap is not null"), key, "__gap", "__usual").where("n >= 4").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], "__usual")
-    same = F.lit(True)
-    for i, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    rows = rows.join(usual, same, "left").drop(*[f"__k{i}" for i in range(len(key))])
-    new = F.col("__gap") > F.greatest(F.lit(quiet), F.coalesce(F.col("__usual") * 3, F.lit(0)))
-    return rows.withColumn("run", F.sum(F.when(new, 1).otherwise(0)).over(path.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap", "__usual")
+    return _with_runs(rows, key, t, order, quiet).drop("__gap")
 
 
 def folded_runs(rows: DataFrame, key: list[str], t: str = "t", order: str = "seq", detail: str | None = None, split: bool = True) -> DataFrame:
@@ -46,19 +81,15 @@ def folded_runs(rows: DataFrame, key: list[str], t: str = "t", order: str = "seq
 
     Without ``split``, ``key`` names the runs already.
     """
-    rows = with_runs(rows, key, t, order) if split else rows
+    rows = _with_runs(rows, key, t, order, QUIET) if split else _with_gaps(rows, key, t, order)
     by = [*key, "run"] if split else key
     place = F.struct(F.coalesce(F.col(t), F.lit(_NEVER)), order)
     what = [F.count("*").alias("count"), F.min(t).alias("first_t"), F.max(t).alias("last_t"), F.min_by(order, place).alias("first_seq"), F.max_by(order, place).alias("last_seq")]
     if detail:
         what.append((F.count_distinct(detail) + F.max(F.when(F.col(detail).isNull(), 1).otherwise(0))).alias("variants"))
     out = rows.groupBy(*by).agg(*what)
-    gaps = rows.withColumn("__g", F.col(t) - F.lag(t).over(Window.partitionBy(*by).orderBy(F.col(t).asc_nulls_last(), order))).where("__g is not null")
-    usual = with_upper_median(gaps, by, "__g", "__u").where("n >= 2").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], (F.floor(F.col("__u") / 100_000 + 0.5) / 10).alias("every_s"))
-    same = F.lit(True)
-    for i, k in enumerate(by):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return out.join(usual, same, "left").drop(*[f"__k{i}" for i in range(len(by))])
+    usual = with_upper_median(rows.where("__gap is not null"), by, "__gap", "__u").where("n >= 2")
+    return _beside(out, usual.withColumn("every_s", F.floor(F.col("__u") / 100_000 + 0.5) / 10), by, "every_s")
 
 
 def identical_members(members: DataFrame, via: DataFrame, passes: int = 5) -> DataFrame:

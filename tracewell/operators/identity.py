@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions.text import basename
+from tracewell.operators.carry import bucket_of, carried
 from tracewell.operators.tables import stored
 
 #: Records of one start are at most this far apart.
@@ -99,17 +100,19 @@ def _running(lives: DataFrame, points: DataFrame) -> DataFrame:
 
     Without any before, key and start of ``life`` are null. Lives: host, pid, start, key, known, base, space, end.
     """
-    inner = Window.partitionBy("host", "pid").orderBy("start", "key")
     told = [F.col(c) for c in ("key", "start", "known", "base", "space", "end")]
-    lives = lives.select("host", "pid", F.struct(*told, F.lead(F.struct("key", "known")).over(inner).alias("next")).alias("life"))
-    before = lives.groupBy("host", "pid").agg(F.min(F.struct("life.start", "life.key", "life.known")).alias("f"))
+    by = ["host", "pid"]
+    lives = carried(lives, by, [F.col("start").desc(), F.col("key").desc()], bucket_of(F.col("start")), last={"next": F.struct("key", "known")}, inclusive=False, descending=True)
+    lives = lives.select(*by, F.struct(*told, "next").alias("life"))
+    before = lives.groupBy(*by).agg(F.min(F.struct("life.start", "life.key", "life.known")).alias("f"))
     kind = lives.schema["life"].dataType
     empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[:-1]], F.struct("f.key", "f.known").alias("next")).cast(kind)
-    lives = lives.unionByName(before.select("host", "pid", empty.alias("life")))
-    marks = lives.select("host", "pid", F.coalesce("life.start", F.lit(-FAR)).alias("at"), F.lit(0).alias("o"), "life", F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("p"))
-    marks = marks.unionByName(points.select("host", "pid", F.coalesce(F.col("t") + TWIN, F.lit(FAR)).alias("at"), F.lit(1).alias("o"), F.lit(None).cast(kind).alias("life"), F.struct(*points.columns).alias("p")))
-    so_far = Window.partitionBy("host", "pid").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.withColumn("life", F.last("life", ignorenulls=True).over(so_far)).where("o = 1").select("p.*", "life")
+    lives = lives.unionByName(before.select(*by, empty.alias("life")))
+    marks = lives.select(*by, F.coalesce("life.start", F.lit(-FAR)).alias("at"), F.lit(0).alias("o"), "life", F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("p"))
+    marks = marks.unionByName(points.select(*by, F.coalesce(F.col("t") + TWIN, F.lit(FAR)).alias("at"), F.lit(1).alias("o"), F.lit(None).cast(kind).alias("life"), F.struct(*points.columns).alias("p")))
+    timed, nth = F.when(F.col("at") < FAR, F.col("at")), F.coalesce("p.seq", F.lit(0)) if "seq" in points.columns else F.lit(0)
+    marks = carried(marks, by, [F.col("at"), F.col("o"), F.col("life.key"), nth], bucket_of(timed, nth), last={"so_far": F.col("life")})
+    return marks.where("o = 1").select("p.*", F.col("so_far").alias("life"))
 
 
 _ALIVE = "life.key is not null and (t is null or life.end is null or life.end >= t - %d)"
@@ -123,6 +126,23 @@ def _ended(lives: DataFrame, ends: DataFrame, alias: DataFrame) -> DataFrame:
     return lives.drop("end").join(last, "key", "left")
 
 
+def _first_seen(rows: DataFrame) -> DataFrame:
+    """``rows``, which no life covers, with the ``key`` of a process that is first seen there: one for each gap between ends."""
+    kept = [c for c in rows.columns if c != "key"]
+    rows = rows.select(*kept, F.col("life.start").alias("__since"))
+    by = ["host", "pid", "__since"]
+    # An end counts for what comes later than TWIN after it; untimed rows come before all ends.
+    marks = rows.select(*by, F.coalesce("t", F.lit(-FAR)).alias("__at"), F.lit(1).alias("__o"), F.lit(0).alias("__one"), F.struct(*kept).alias("__row"))
+    ends = rows.where("ends and t is not null").select(*by, (F.col("t") + TWIN + 1).alias("__at"), F.lit(0).alias("__o"), F.lit(1).alias("__one"), F.lit(None).cast(marks.schema["__row"].dataType).alias("__row"))
+    marks = carried(marks.unionByName(ends), by, [F.col("__at"), F.col("__o"), F.col("__row.seq")], bucket_of(F.col("__at")), total={"gone": F.col("__one")}).where("__o = 1")
+    rows = stored(marks.select("__since", "gone", "__row.*"))
+    gaps = rows.groupBy(*by, "gone").agg(F.min("t").alias("__t"), F.min("seq").alias("__seq"))
+    gaps = gaps.select(F.col("host").alias("__h"), F.col("pid").alias("__p"), F.col("__since").alias("__s"), F.col("gone").alias("__g"), "__t", "__seq")
+    rows = rows.join(gaps, (F.col("host") == F.col("__h")) & (F.col("pid") == F.col("__p")) & F.col("__since").eqNullSafe(F.col("__s")) & (F.col("gone") == F.col("__g")))
+    key = F.concat(F.lit("p:"), "host", F.lit(":"), F.col("pid").cast("string"), F.lit(":"), F.coalesce(F.col("__t").cast("string"), F.concat(F.lit("?"), F.col("__seq").cast("string"))))
+    return rows.withColumn("key", key).select(*kept, "key")
+
+
 def resolve_references(refs: DataFrame, starts: DataFrame) -> DataFrame:
     """Seq, role, key, host, guid, t of all references; ``starts``: what start_keys() made of them.
 
@@ -157,10 +177,7 @@ def resolve_references(refs: DataFrame, starts: DataFrame) -> DataFrame:
     by_pid = stored(_running(lives, rest.where("guid is null and pid is not null").select("seq", "role", "host", "pid", "guid", "t", (F.col("kind") == "process_end").alias("ends"))))
     key = F.when(F.expr(_ALIVE % TWIN), F.col("life.key")).when(~F.col("life.next.known"), F.col("life.next.key"))
     by_pid = by_pid.withColumn("key", key)
-    ended = F.count_if("ends").over(Window.partitionBy("host", "pid", "life.start").orderBy("t").rangeBetween(Window.unboundedPreceding, -TWIN - 1))
-    gap = Window.partitionBy("host", "pid", "life.start", "gone")
-    first_seen = F.concat(F.lit("p:"), "host", F.lit(":"), F.col("pid").cast("string"), F.lit(":"), F.coalesce(F.min("t").over(gap).cast("string"), F.concat(F.lit("?"), F.min("seq").over(gap).cast("string"))))
-    by_pid = by_pid.where("key is not null").unionByName(by_pid.where("key is null").withColumn("gone", ended).withColumn("key", first_seen).drop("gone"))
+    by_pid = by_pid.where("key is not null").unionByName(_first_seen(by_pid.where("key is null")))
     by_name = rest.where("guid is null and pid is null").withColumn("key", F.concat(F.lit("u:"), "host", F.lit(":"), F.coalesce("image", F.lit("?"))))
     done = starts.withColumn("role", F.lit(0)).select(*columns)
     for part in (by_guid, by_pid, by_name):

@@ -1,9 +1,8 @@
 """Typed, time-stamped links between processes, and their merging.
 
 An observation is a row (type, from, to, t, act, seq, detail, phase); observations of one (type, from, to) become one
-link. Last and next writers are found by running windows over writes and reads together, never by pairing
-them: for each row the last writer and the last other writer are carried along, so that a process can be
-excluded as its own writer.
+link. Last and next writers are found by running over writes and reads together, never by pairing them: for each
+row the last writer and the last other writer are carried along, so that a process can be excluded as its own writer.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracewell.functions.masks import CREATE_PROCESS, has, hexadecimal, injection_capable
 from tracewell.functions.text import launched_paths, path_key, persistence_key
 from tracewell.functions.times import SKEW
+from tracewell.operators.carry import bucket_of, nearest_other
 from tracewell.operators.identity import Processes
 
 #: A process started this soon after its parent was opened with the right to create processes was started through that handle.
@@ -55,22 +55,10 @@ def last_writer(writes: DataFrame, reads: DataFrame, path: str = "path", look_ah
     rows = writes.select(F.col(path).alias("path"), "t", "seq", "key", F.lit(0).alias("reads"))
     rows = rows.unionByName(reads.select(F.col(path).alias("path"), "t", "seq", "key", F.lit(1).alias("reads")))
     at = F.coalesce("t", F.lit(_NEVER))
-    write = F.when(F.col("reads") == 0, F.struct("key", "t", "seq"))
-
-    def carried(frame: DataFrame, order: list, name: str) -> DataFrame:
-        """The nearest write in the order's past that isn't by the row's own key."""
-        past = Window.partitionBy("path").orderBy(*order)
-        upto = past.rowsBetween(Window.unboundedPreceding, 0)
-        frame = frame.withColumn("__w", write)
-        frame = frame.withColumn("__last", F.last("__w", ignorenulls=True).over(past.rowsBetween(Window.unboundedPreceding, -1)))
-        changed = F.when(F.col("__w").isNotNull() & (F.col("__last.key") != F.col("__w.key")), F.col("__last"))
-        frame = frame.withColumn("__changed", changed)
-        frame = frame.withColumn("__other", F.last("__changed", ignorenulls=True).over(upto))
-        return frame.withColumn(name, F.when(F.col("__last.key") != F.col("key"), F.col("__last")).otherwise(F.when(F.col("__other.key") != F.col("key"), F.col("__other")))).drop("__w", "__last", "__changed", "__other")
-
-    rows = carried(rows, [at, F.col("reads"), F.col("seq")] if look_ahead else [at, F.col("seq")], "before")
+    write, bucket = F.when(F.col("reads") == 0, F.struct("key", "t", "seq")), bucket_of(F.col("t"), None if look_ahead else F.col("seq"))
+    rows = nearest_other(rows, ["path"], [at, F.col("reads"), F.col("seq")] if look_ahead else [at, F.col("seq")], bucket, write, "key", "before")
     if look_ahead:
-        rows = carried(rows, [at.desc(), F.col("reads").desc(), F.col("seq").desc()], "after")
+        rows = nearest_other(rows, ["path"], [at.desc(), F.col("reads").desc(), F.col("seq").desc()], bucket, write, "key", "after", descending=True)
         soon = (F.col("after.t") > F.col("t")) & (F.col("after.t") <= F.col("t") + look_ahead)
         best = F.coalesce(F.col("before"), F.when(soon, F.col("after")))
     else:
@@ -87,13 +75,9 @@ def next_start(registrations: DataFrame, starts: DataFrame) -> DataFrame:
     rows = registrations.select("path", (F.coalesce("t", F.lit(-_NEVER)) - SKEW).alias("o"), "t", "seq", "key", F.lit(0).alias("starts"))
     rows = rows.unionByName(starts.select("path", F.col("t").alias("o"), "t", F.lit(None).cast("long").alias("seq"), "key", F.lit(1).alias("starts")))
     # Descending, so that a row's past holds what starts at its time or later; starts come after registrations of their time.
-    back = Window.partitionBy("path").orderBy(F.col("o").desc(), F.col("starts").desc(), F.col("key").desc())
-    rows = rows.withColumn("s", F.when(F.col("starts") == 1, F.struct("key", "t")))
-    rows = rows.withColumn("last", F.last("s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("changed", F.when(F.col("s").isNotNull() & (F.col("last.key") != F.col("s.key")), F.col("last")))
-    rows = rows.withColumn("other", F.last("changed", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    best = F.when(F.col("last.key") != F.col("key"), F.col("last")).otherwise(F.when(F.col("other.key") != F.col("key"), F.col("other")))
-    return rows.where("starts = 0").withColumn("b", best).where("b is not null").select("path", "t", "seq", "key", F.col("b.key").alias("s_key"), F.col("b.t").alias("s_t"))
+    back = [F.col("o").desc(), F.col("starts").desc(), F.col("key").desc()]
+    rows = nearest_other(rows, ["path"], back, bucket_of(F.col("o")), F.when(F.col("starts") == 1, F.struct("key", "t")), "key", "b", descending=True)
+    return rows.where("starts = 0 and b is not null").select("path", "t", "seq", "key", F.col("b.key").alias("s_key"), F.col("b.t").alias("s_t"))
 
 
 def handle_starts(handles: DataFrame, started: DataFrame, back: int = THROUGH_HANDLE, ahead: int = SKEW) -> DataFrame:
