@@ -17,6 +17,7 @@ from tracewell.operators.normalize import classify, read_statistics, to_events
 from tracewell.operators.tables import stored
 from tracewell.plans.investigate import Investigation, Options, investigate
 from tracewell.plans.learn import Learner, apply_mappings, check_parents, learn, profiles, schema_summaries
+from tracewell.plans.questions import JudgedLearner, judged_summaries
 from tracewell.plans.report import Report, report
 from tracewell.sources.readers import Input, read_inputs
 
@@ -58,7 +59,7 @@ def assemble(events: DataFrame) -> Loaded:
     return Loaded(rows, acted, nodes, processes.actor, processes.target, stored(entities.events), links, stored(touching(links)))
 
 
-def load(spark: SparkSession, sources: list[Input | str], learner: Learner | None = None) -> Loaded:
+def load(spark: SparkSession, sources: list[Input | str], learner: Learner | JudgedLearner | None = None) -> Loaded:
     """Read all inputs; records of unknown schemas are learned by ``learner``, or left out without one."""
     classified = stored(classify(read_inputs(spark, sources)))
     known = stored(to_events(classified))
@@ -66,10 +67,15 @@ def load(spark: SparkSession, sources: list[Input | str], learner: Learner | Non
     events, schemas = known, []
     unknown = classified.where("unknown").select("file", "line", "id", "line_id", "nested", "flat", "names")
     if statistics["unknown"] and learner is not None:
-        groups = profiles(unknown)
-        mappings = learn(groups, learner)
-        learned = stored(apply_mappings(unknown, mappings))
-        schemas = schema_summaries(groups, mappings, learned)
+        if isinstance(learner, JudgedLearner):
+            mappings = learner.mappings(unknown)
+            learned = stored(apply_mappings(unknown, mappings))
+            schemas = judged_summaries(mappings, learned)
+        else:
+            groups = profiles(unknown)
+            mappings = learn(groups, learner)
+            learned = stored(apply_mappings(unknown, mappings))
+            schemas = schema_summaries(groups, mappings, learned)
         events = known.unionByName(learned)
     loaded = assemble(events)
     loaded.statistics, loaded.schemas = statistics, check_parents(schemas, loaded)
