@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewell.functions.text import present
+from tracewell.operators.tables import stored
 
 FORMATS = ("auto", "json", "ndjson", "csv", "text")
 DELIMITERS = (",", "\t", ";", "|")
@@ -83,7 +84,7 @@ def detect_format(first: str) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line`` (1-based, blanks count) and ``value`` without BOM and carriage returns.
+    """``line`` (1-based, blanks count) and ``value`` without BOM and carriage returns; ``file_path`` and ``block``: where it lies.
 
     Lines are numbered within the file's blocks, and blocks by the lines before them: one count per block, no sort of the
     lines and no single task. A file counts as one input, so ``path`` should name one file.
@@ -94,7 +95,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     line = (F.col("at") - F.col("low") + F.col("before") + 1).alias("line")
     value = F.regexp_replace("value", r"\r+$", "")
-    return rows.join(blocks.drop("n"), ["file_path", "block"]).select(line, F.when(F.col("block") == 0, F.regexp_replace(value, "^﻿+", "")).otherwise(value).alias("value"))
+    return rows.join(blocks.drop("n"), ["file_path", "block"]).select("file_path", "block", line, F.when(F.col("block") == 0, F.regexp_replace(value, "^﻿+", "")).otherwise(value).alias("value"))
 
 
 def _first_lines(spark: SparkSession, path: str, lines: DataFrame) -> list:
@@ -159,39 +160,67 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return _json_records(rows, "event")
 
 
+def _quoting(lines: DataFrame, whole: str) -> DataFrame:
+    """``lines`` with ``inside`` (it begins within quotes) and ``open`` (it ends so).
+
+    A line takes one of two states to one of two states. Such steps compose: a block of lines is again one step, found
+    within the block; a scan over the blocks' steps tells how each block begins, and lines follow from that.
+    """
+    closed = lambda value: value.rlike(whole)
+    rows = lines.withColumns({"from_out": ~closed(F.col("value")), "from_in": ~closed(F.concat(F.lit('"'), F.col("value")))})
+    # A line fixes the state, flips it or leaves it; what holds is the last fixed state and the flips since.
+    rows = rows.withColumns({"fixed": F.when(F.col("from_out") == F.col("from_in"), F.col("from_out").cast("int")), "flip": (F.col("from_out") & ~F.col("from_in")).cast("int")})
+    block = Window.partitionBy("file_path", "block").orderBy("line")
+    upto, before = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("flips", F.sum("flip").over(upto))
+    mark = F.when(F.col("fixed").isNotNull(), F.struct("fixed", "flips"))
+    rows = stored(rows.withColumns({"mark": F.last(mark, ignorenulls=True).over(before), "flipped": F.col("flips") - F.col("flip")}))
+    state = lambda m, flips, entry: (F.coalesce(m["fixed"] + flips - m["flips"], entry + flips) % 2).cast("int")
+    steps = rows.groupBy("file_path", "block").agg(F.max_by(mark, F.when(mark.isNotNull(), F.col("line"))).alias("last"), F.sum("flip").alias("all"))
+    steps = steps.withColumns({"ends": state(F.col("last"), F.col("all"), F.lit(None).cast("long")), "flip": F.when(F.col("last").isNull(), F.col("all")).otherwise(0)})
+    over = Window.partitionBy(F.lit(0)).orderBy("file_path", "block")
+    steps = steps.withColumn("sum", F.sum("flip").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    known = F.last(F.when(F.col("ends").isNotNull(), F.struct(F.col("ends").alias("fixed"), F.col("sum").alias("flips"))), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.select("file_path", "block", state(known, F.col("sum") - F.col("flip"), F.lit(0)).alias("entry"))
+    rows = rows.join(steps, ["file_path", "block"])
+    rows = rows.withColumn("inside", state(F.col("mark"), F.col("flipped"), F.col("entry")) == 1)
+    return rows.select("file_path", "block", "line", "value", "inside", F.when(F.col("inside"), F.col("from_in")).otherwise(F.col("from_out")).alias("open"))
+
+
+def _csv_lines(lines: DataFrame, whole: str) -> DataFrame:
+    """``line`` and ``value`` of each record of lines after the header, of those that span lines the first line and their text.
+
+    Only lines of such records are shuffled, by their record; others stay where they are.
+    """
+    rows = stored(_quoting(lines, whole)).where(F.col("inside") | ~F.col("value").rlike(_BLANK))
+    alone = rows.where("not inside and not open").select("line", "value")
+    spread = rows.where("inside or open")
+    block = Window.partitionBy("file_path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.when(~F.col("inside"), F.col("line"))
+    carried = spread.groupBy("file_path", "block").agg(F.max(begins).alias("last"))
+    carried = carried.select("file_path", "block", F.last("last", ignorenulls=True).over(Window.partitionBy(F.lit(0)).orderBy("file_path", "block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    spread = spread.join(carried, ["file_path", "block"]).withColumn("start", F.coalesce(F.last(begins, ignorenulls=True).over(block), "carried"))
+    joined = spread.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("parts"), F.max_by("open", "line").alias("left"))
+    text = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
+    error = F.raise_error(F.concat(F.lit("line "), F.col("start").cast("string"), F.lit(" opens a quoted CSV field that never closes"))).cast("string")
+    return alone.unionByName(joined.select(F.col("start").alias("line"), F.when(F.col("left"), error).otherwise(text).alias("value")))
+
+
 def _csv(spark: SparkSession, path: str, lines: DataFrame, first: tuple[int, str]) -> DataFrame:
-    """S5. Lines are split where they lie unless a quoted field holds a line break; then one task joins the lines."""
+    """S5, S11. Lines are split where they lie, also where quoted fields hold line breaks."""
     header = csv_header(first[1])
     if not header:
         raise ReadError("first line is not a CSV header of field names")
     delimiter, names = header
     d = re.escape(delimiter)
-    whole = rf'^(?:(?:"(?:[^"]|"")*+"[^{d}]*+|[^"{d}][^{d}]*+|)(?:{d}|$))*+$'
-    body = lines.where(F.col("line") > first[0]).where(~F.col("value").rlike(_BLANK))
-    if not body.where(~F.col("value").rlike(whole)).isEmpty():
-        def join(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                out, start, held = [], None, ""
-                for line, value in sorted(zip(pdf["line"], pdf["value"], strict=True)):
-                    if start is None and re.fullmatch(r"[ \t\r\f\v]*", value):
-                        continue
-                    start, held = (line, value) if start is None else (start, f"{held}\n{value}")
-                    cells, quoted = split_csv(held, delimiter)
-                    if not quoted:
-                        out.append((start, cells))
-                        start = None
-                if start is not None:
-                    raise ReadError(f"line {start} opens a quoted CSV field that never closes")
-                yield pd.DataFrame({"line": [x for x, _ in out], "cells": [c for _, c in out]})
-
-        body = lines.where(F.col("line") > first[0]).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda pdf: next(iter(join([pdf]))), "line long, cells array<string>")
-    else:
-        field = rf'(?:^|{d})(?:"((?:[^"]|"")*+)"([^{d}]*+)|([^{d}]*+))'
-        quoted, rest, bare = (F.regexp_extract_all("value", F.lit(field), k) for k in (1, 2, 3))
-        cells = F.transform(F.arrays_zip(quoted.alias("q"), rest.alias("r"), bare.alias("b")), lambda x: F.concat(F.replace(x["q"], F.lit('""'), F.lit('"')), x["r"], x["b"]))
-        body = body.select("line", cells.alias("cells"))
+    whole = rf'^(?:(?:"(?:[^"]|"")*+"[^{d}]*+|[^"{d}][^{d}]*+|)(?:{d}|\z))*+\z'
+    after = lines.where(F.col("line") > first[0])
+    full = after.where(~F.col("value").rlike(_BLANK))
+    body = full if full.where(~F.col("value").rlike(whole)).isEmpty() else _csv_lines(after, whole)
+    field = rf'(?:^|{d})(?:"((?:[^"]|"")*+)"([^{d}]*+)|([^{d}]*+))'
+    quoted, rest, bare = (F.regexp_extract_all("value", F.lit(field), k) for k in (1, 2, 3))
+    cells = F.transform(F.arrays_zip(quoted.alias("q"), rest.alias("r"), bare.alias("b")), lambda x: F.concat(F.replace(x["q"], F.lit('""'), F.lit('"')), x["r"], x["b"]))
+    body = body.select("line", cells.alias("cells"))
     known = F.array(*[F.lit(n) for n in names])
     pairs = F.zip_with(F.slice("cells", F.lit(1), F.least(F.size("cells"), F.lit(len(names)))), F.slice(known, F.lit(1), F.least(F.size("cells"), F.lit(len(names)))), lambda v, n: F.struct(n.alias("name"), v.alias("value")))
     return _flat_ids(_mapped(body.select("line", F.lit(None).cast("string").alias("id"), F.lit(True).alias("line_id"), F.lit(None).cast("string").alias("nested"), pairs.alias("pairs"))))
