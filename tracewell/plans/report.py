@@ -49,13 +49,14 @@ def detail() -> Column:
 def member_rows(keys: DataFrame, loaded, found: Investigation, keep: DataFrame) -> DataFrame:
     """One row for each distinct member of ``keys`` (key, since), identical ones folded into ``repeats``."""
     nodes = loaded.nodes.join(keys, "key").withColumn("place", F.struct(F.coalesce(F.when(F.col("type") == "process", F.coalesce("start", "first_seen")).otherwise(F.coalesce("since", "first_seen")), F.lit(_NEVER)).alias("at"), F.col("key").alias("k")))
-    via = found.decisions.select("key", F.explode("links").alias("x")).select("key", F.col("x.type").alias("type"), F.when(F.col("x.from") == F.col("key"), F.col("x.to")).otherwise(F.col("x.from")).alias("other"))
+    links = found.via()
+    via = links.select("key", "type", "other")
     kept = nodes.join(keep.withColumn("__keep", F.lit(True)), "key", "left")
     rep = identical_members(kept.select("key", "place", ((F.col("type") != "process") | F.coalesce("__keep", F.lit(False))).alias("keep"), "host", "path", "name", "cmd", "user", "sha256", "parent"), via.join(keys.select("key"), "key", "left_semi"))
-    rows = nodes.join(rep, "key").join(found.decisions.drop("links", "joined_at"), "key", "left")
+    rows = nodes.join(rep, "key").join(found.decisions.drop("joined_at"), "key", "left")
     labels = loaded.nodes.select(F.col("key").alias("other"), F.when(F.col("type") == "process", describe.node_label()).otherwise(F.concat("name", F.lit(" ("), "type", F.lit(")"))).alias("label"))
-    said = found.decisions.select("key", F.posexplode("links").alias("n", "x")).withColumn("other", F.when(F.col("x.from") == F.col("key"), F.col("x.to")).otherwise(F.col("x.from"))).join(labels, "other", "left")
-    said = said.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col("x.type").alias("link"), F.col("label").alias("from"), F.col("other").alias("from_key"), iso(F.col("x.t")).alias("at"), F.col("x.detail").alias("detail")))), lambda v: v.dropFields("n")).alias("via"))
+    said = links.join(keys.select("key"), "key", "left_semi").join(labels, "other", "left")
+    said = said.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.col("type").alias("link"), F.col("label").alias("from"), F.col("other").alias("from_key"), iso(F.col("t")).alias("at"), "detail"))), lambda v: v.dropFields("n")).alias("via"))
     starts = loaded.events.select(F.col("seq").alias("first_start"), F.col("id").alias("start_event"))
     rows = rows.join(said, "key", "left").join(starts, "first_start", "left")
     head = rows.where("key = rep")
