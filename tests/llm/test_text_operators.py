@@ -223,28 +223,55 @@ def test_water_filling(spark):
                 assert abs(got - g) <= 8
 
 
+def by_hand(rows, given, max_epochs, seed=17):
+    """The uses of ``rows`` (id, text, lang, source) of one leaf with so many tokens given: (id, text, epoch)."""
+    size = lambda t: len((t or "").split())
+    out = [(i, t, 0) for i, t, *_ in rows if not size(t)]
+    rows = [r for r in rows if size(r[1])]
+    whole, rest = divmod(given, sum(size(r[1]) for r in rows)) if rows else (0, 0)
+    out += [(i, t, e) for e in range(whole) for i, t, *_ in rows]
+    if whole < max_epochs:
+        order = {}
+        for r in rows:
+            told = hashlib.md5((r[1] or "").encode()).hexdigest()
+            order.setdefault(hashlib.md5(f"{seed}|{whole}|{'null' if r[0] is None else r[0]}|{told}".encode()).hexdigest(), []).append(r)
+        for _, alike in sorted(order.items()):
+            rest -= sum(size(r[1]) for r in alike)
+            if rest < 0:
+                break
+            out += [(r[0], r[1], whole) for r in alike]
+    return out
+
+
 def test_mixture_takes_prefixes_of_epochs(spark):
     rng = random.Random(7)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice(["en", "de"]), rng.choice(["a", "b", "c"]), 0) for i in range(400)] + [(None, "x y", "en", "a", 0), (3, None, None, None, 0), (5, "", "en", "a", 0)]
+    rows += [(7, "same id and text", "en", "a", 0)] * 5 + [(7, "same id", "en", "a", 0), (None, "x y z", "en", "a", 0)]
     df = spark.createDataFrame(rows, DOC)
-    options = {"budget_share": 0.9, "max_epochs": 2, "lang_weights": {"de": 3.0}, "domain": None}
-    used = mixing.mixture(df, **options).collect()
-    assert sorted(map(str, used)) == sorted(map(str, mixing.mixture(df.repartition(7), **options).collect()))
-    n = {(r[0], r[3]): len((r[1] or "").split()) for r in rows}
-    leaves = {}
-    for r in used:
-        leaves.setdefault((r["domain"], r["lang"], r["source"]), []).append(r)
-    for leaf, taken in leaves.items():
-        mine = [(r[0], len((r[1] or "").split())) for r in rows if (r[2], r[3]) == leaf[1:]]
-        last = max(r["epoch"] for r in taken)
-        for e in range(last):
-            assert sum(r["epoch"] == e for r in taken) == len(mine)
-        order = sorted((hashlib.md5(f"17|{last}|{'null' if i is None else i}".encode()).hexdigest(), t, -1 if i is None else i) for i, t in mine)
-        got = sorted((hashlib.md5(f"17|{last}|{'null' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest(), r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]) for r in taken if r["epoch"] == last)
-        assert got == order[: len(got)]
-    assert n and mixing.mixture(df.limit(0)).count() == 0
-    kept = mixing.mixed(df, budget_share=0.5, max_epochs=1)
-    assert kept.columns == df.columns and 0 < kept.count() < df.count()
+    for max_epochs, share in ((2, 0.9), (2, 2.0), (1, 0.4), (1, 1.0), (3, 2.5)):
+        options = {"budget_share": share, "max_epochs": max_epochs, "lang_weights": {"de": 3.0}}
+        used = mixing.mixture(df, **options).collect()
+        assert sorted(map(str, used)) == sorted(map(str, mixing.mixture(df.repartition(7), **options).collect()))
+        leaves = df.select(mixing.source_domain(F.col("source")).alias("domain"), "lang", "source", mixing.word_tokens(F.col("text")).alias("n")).groupBy("domain", "lang", "source").agg(F.sum("n").alias("tokens"))
+        expected = Counter()
+        for leaf in mixing.leaf_budgets(leaves, share, max_epochs, None, {"de": 3.0}).collect():
+            mine = [r for r in rows if (r[2], r[3]) == (leaf["lang"], leaf["source"])]
+            uses = by_hand(mine, leaf["given"], max_epochs)
+            assert sum(len((t or "").split()) for _, t, _ in uses) <= leaf["given"] and all(e < max_epochs for *_, e in uses)
+            expected.update((i, len((t or "").split()), leaf["lang"], leaf["source"], e) for i, t, e in uses)
+        assert Counter((r["doc_id"], r["n_tokens"], r["lang"], r["source"], r["epoch"]) for r in used) == expected
+        kept = mixing.mixed(df, **options)
+        assert kept.columns == df.columns
+        assert Counter((r["doc_id"], len((r["text"] or "").split()), r["lang"], r["source"]) for r in kept.collect()) == Counter({k: n for k, n in Counter(x[:4] for x in expected.elements()).items()})
+    assert mixing.mixture(df.limit(0)).count() == 0
+
+
+def test_mixture_uses_texts_without_words_once(spark):
+    rows = [(i, None if i % 2 else " ", "en", "a", 0) for i in range(57)] + [(100 + i, "one two three", "en", "a", 0) for i in range(3)]
+    for max_epochs, share, n in ((1, 1.0, 60), (2, 2.0, 63), (1, 0.0, 57)):
+        df = spark.createDataFrame(rows, DOC)
+        assert mixing.mixture(df, budget_share=share, max_epochs=max_epochs).count() == n
+        assert mixing.mixed(df, budget_share=share, max_epochs=max_epochs).count() == n
 
 
 def test_toxicity(spark):

@@ -85,43 +85,66 @@ def leaf_budgets(leaves: DataFrame, budget_share: float, max_epochs: int, domain
     return leaves.select("domain", "lang", "source", "tokens", "given")
 
 
-def mixture(docs: DataFrame, budget_share: float = 0.6, max_epochs: int = 2, domain_weights: Mapping[str, float] | None = None, lang_weights: Mapping[str, float] | None = None, source_weights: Mapping[str, float] | None = None, seed: int = 17, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The documents that fill a token budget at target weights: the id, domain, lang, source, n_tokens, epoch.
-
-    A row stands for one use of a document; epochs count from 0. In epoch e a leaf's order is that of MD5("seed|e|id").
-    A document is used in it if the tokens up to and with it don't exceed what the leaf has left for that epoch.
-
-    Null lang, source and domain are values of their own. Null text has no tokens. A null id orders as "null". Rows that
-    share an id are rows of their own, ordered by their tokens.
-    """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    domain = source_domain(F.col(source_col)) if domain is None else domain
-    rows = stored(docs.select(F.col(id_col).alias("id"), key.alias("key"), domain.alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), word_tokens(F.col(text_col)).alias("n_tokens")))
+def _uses(docs: DataFrame, budget_share: float, max_epochs: int, domain_weights: Mapping[str, float] | None, lang_weights: Mapping[str, float] | None, source_weights: Mapping[str, float] | None, seed: int, domain: Column, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """The uses of documents: id, domain, lang, source, n_tokens, epoch, and leaf and told, which with the id mark a row."""
+    rows = stored(docs.select(F.col(id_col).alias("id"), _told(F.col(text_col)).alias("told"), domain.alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), word_tokens(F.col(text_col)).alias("n_tokens")))
+    rows = rows.withColumn("leaf", _leaf(F.col("domain"), F.col("lang"), F.col("source")))
     leaves = rows.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("tokens"))
     leaves = leaf_budgets(leaves, budget_share, max_epochs, domain_weights, lang_weights, source_weights)
     whole = F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(F.lit(0)).cast("int")
-    leaves = stored(leaves.withColumn("whole", whole).withColumn("rest", F.col("given") - F.col("whole") * F.col("tokens")).withColumn("leaf", F.sha1(F.to_json(F.struct("domain", "lang", "source")))).select("leaf", "whole", "rest"))
-    rows = rows.withColumn("leaf", F.sha1(F.to_json(F.struct("domain", "lang", "source")))).join(leaves.select("leaf", "whole"), "leaf")
-    rows = stored(rows.withColumn("order", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), "key"))))
+    leaves = stored(leaves.withColumn("whole", whole).withColumn("rest", F.col("given") - F.col("whole") * F.col("tokens")).withColumn("leaf", _leaf(F.col("domain"), F.col("lang"), F.col("source"))).select("leaf", "whole", "rest"))
+    key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), key, "told"))
+    rows = stored(rows.join(leaves.select("leaf", "whole"), "leaf").withColumn("order", order))
 
+    # What is left of a leaf's budget goes into one more epoch, unless all epochs are used.
+    open_rows = rows.where((F.col("n_tokens") > 0) & (F.col("whole") < max_epochs))
     end = leaves.select("leaf", F.lit("").alias("end"), "rest")
     for r in range(ROUNDS):
-        here = rows.join(end, "leaf").where(F.substring("order", 1, 2 * r) == F.col("end"))
+        here = open_rows.join(end, "leaf").where(F.substring("order", 1, 2 * r) == F.col("end"))
         sums = here.groupBy("leaf", "end", "rest", F.substring("order", 2 * r + 1, 2).alias("digit")).agg(F.sum("n_tokens").alias("n"))
         sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("leaf").orderBy("digit")))
         over = sums.where("upto > rest").groupBy("leaf").agg(F.min(F.struct("digit", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"), "end")).alias("m"))
         end = stored(end.select("leaf").join(over, "leaf", "left").select("leaf", F.coalesce(F.concat("m.end", "m.digit"), F.lit("~")).alias("end"), F.coalesce("m.left", F.lit(0)).alias("rest")))
-    rows = rows.join(end, "leaf").withColumn("start", F.substring("order", 1, 2 * ROUNDS))
-    edge = rows.where("start = end").withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("leaf").orderBy("order", "n_tokens", "id").rowsBetween(Window.unboundedPreceding, 0)))
-    columns = [F.col("id").alias(id_col), "domain", F.col("lang"), F.col("source"), "n_tokens"]
-    last = rows.where("start < end").select(*columns, F.col("whole").alias("epoch")).union(edge.where("upto <= rest").select(*columns, F.col("whole").alias("epoch")))
-    return rows.where("whole > 0").select(*columns, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch")).union(last)
+    open_rows = open_rows.join(end, "leaf").withColumn("start", F.substring("order", 1, 2 * ROUNDS))
+    edge = open_rows.where("start = end")
+    fits = edge.groupBy("leaf", "order", "rest").agg(F.sum("n_tokens").alias("n"))
+    fits = fits.withColumn("upto", F.sum("n").over(Window.partitionBy("leaf").orderBy("order").rowsBetween(Window.unboundedPreceding, 0))).where("upto <= rest")
+    columns = ["id", "told", "leaf", "domain", "lang", "source", "n_tokens"]
+    last = open_rows.where("start < end").select(*columns, F.col("whole").alias("epoch"))
+    last = last.union(edge.join(fits.select("leaf", "order"), ["leaf", "order"]).select(*columns, F.col("whole").alias("epoch")))
+    wordless = rows.where("n_tokens = 0").select(*columns, F.lit(0).alias("epoch"))
+    return rows.where("whole > 0 and n_tokens > 0").select(*columns, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("epoch")).union(last).union(wordless)
+
+
+def _told(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("binary"), F.lit(b"")))
+
 
+def _leaf(*names: Column) -> Column:
+    return F.sha1(F.to_json(F.struct(*[n.alias(f"n{i}") for i, n in enumerate(names)])))
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` as mixture() uses them, one row for each epoch that uses it; columns stay as they are.
 
-    Rows that share an id are used whenever one of them is.
+def mixture(docs: DataFrame, budget_share: float = 0.6, max_epochs: int = 2, domain_weights: Mapping[str, float] | None = None, lang_weights: Mapping[str, float] | None = None, source_weights: Mapping[str, float] | None = None, seed: int = 17, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The documents that fill a token budget at target weights: the id, domain, lang, source, n_tokens, epoch.
+
+    A row stands for one use of a document; epochs count from 0, and none is beyond ``max_epochs``. In epoch e a leaf's
+    order is that of MD5("seed|e|id|MD5 of the text"). A document is used in it if the tokens up to and with it don't exceed
+    what the leaf has left for that epoch.
+
+    Null lang, source and domain are values of their own. Null text has no tokens; a text without words costs nothing and
+    is used once, in epoch 0. A null id orders as "null". Rows that share an id are rows of their own; those of a leaf
+    that share id and text are used together, if all of them fit, or not at all.
     """
-    used = mixture(docs, id_col=id_col, **options).select(F.col(id_col).alias("__id"), F.col("epoch").alias("__epoch")).distinct()
-    return docs.join(used, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id", "__epoch")
+    domain = source_domain(F.col(source_col)) if domain is None else domain
+    uses = _uses(docs, budget_share, max_epochs, domain_weights, lang_weights, source_weights, seed, domain, id_col, text_col, lang_col, source_col)
+    return uses.select(F.col("id").alias(id_col), "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def mixed(docs: DataFrame, budget_share: float = 0.6, max_epochs: int = 2, domain_weights: Mapping[str, float] | None = None, lang_weights: Mapping[str, float] | None = None, source_weights: Mapping[str, float] | None = None, seed: int = 17, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """``docs`` as mixture() uses them, one row for each epoch that uses it; columns stay as they are."""
+    domain = source_domain(F.col(source_col)) if domain is None else domain
+    uses = _uses(docs, budget_share, max_epochs, domain_weights, lang_weights, source_weights, seed, domain, id_col, text_col, lang_col, source_col)
+    used = uses.select(F.col("id").alias("__id"), F.col("told").alias("__told"), F.col("leaf").alias("__leaf"), F.col("epoch").alias("__epoch")).distinct()
+    here = (F.col(id_col).eqNullSafe(F.col("__id"))) & (_told(F.col(text_col)) == F.col("__told")) & (_leaf(domain, F.col(lang_col), F.col(source_col)) == F.col("__leaf"))
+    return docs.join(used, here).drop("__id", "__told", "__leaf", "__epoch")

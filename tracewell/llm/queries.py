@@ -151,14 +151,15 @@ def _weight_sql(name: str, weights: dict[str, float]) -> str:
     return f"CAST(CASE {name} " + " ".join(f"WHEN '{k}' THEN {round(v * mixing.UNIT)}" for k, v in weights.items()) + f" ELSE {mixing.UNIT} END AS BIGINT)"
 
 
-_OP4 = f"""WITH r AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS key, 'd' || (CAST('0x' || substr(md5(coalesce(source, '')), 1, 8) AS BIGINT) % 4) AS domain, lang, source, CAST(len({_words()}) AS BIGINT) AS n_tokens FROM documents),
+_OP4 = f"""WITH r AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) AS key, 'd' || (CAST('0x' || substr(md5(coalesce(source, '')), 1, 8) AS BIGINT) % 4) AS domain, lang, source, CAST(len({_words()}) AS BIGINT) AS n_tokens FROM documents),
 l AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * 2 AS BIGINT) AS capacity FROM r GROUP BY ALL),
 a0 AS (SELECT domain, CAST(sum(capacity) AS BIGINT) AS capacity, {_weight_sql('domain', MIX['domain_weights'])} AS weight, CAST(floor((SELECT sum(tokens) FROM l) * {round(MIX['budget_share'] * mixing.UNIT)} / {mixing.UNIT}.0) AS BIGINT) AS budget FROM l GROUP BY domain), a AS ({_share_sql('a0', '', 'domain')}),
 b0 AS (SELECT l.domain, lang, CAST(sum(l.capacity) AS BIGINT) AS capacity, {_weight_sql('lang', MIX['lang_weights'])} AS weight, any_value(given) AS budget FROM l JOIN a ON l.domain IS NOT DISTINCT FROM a.domain GROUP BY l.domain, lang), b AS ({_share_sql('b0', 'domain', 'lang')}),
 c0 AS (SELECT l.*, CAST({mixing.UNIT} AS BIGINT) AS weight, b.given AS budget FROM l JOIN b ON l.domain IS NOT DISTINCT FROM b.domain AND l.lang IS NOT DISTINCT FROM b.lang), c AS ({_share_sql('c0', 'domain, lang', 'source')}),
 e AS (SELECT *, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS whole FROM c),
-o AS (SELECT r.*, whole, given - whole * tokens AS rest, sum(n_tokens) OVER (PARTITION BY r.domain, r.lang, r.source ORDER BY md5('17|' || whole || '|' || key), n_tokens, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM r JOIN e ON r.domain IS NOT DISTINCT FROM e.domain AND r.lang IS NOT DISTINCT FROM e.lang AND r.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, domain, lang, source, n_tokens, CAST(whole AS INT) AS epoch FROM o WHERE upto <= rest UNION ALL SELECT doc_id, domain, lang, source, n_tokens, CAST(x AS INT) FROM (SELECT *, unnest(range(0, whole)) AS x FROM o WHERE whole > 0)"""
+o AS (SELECT r.*, whole, given - whole * tokens AS rest, sum(n_tokens) OVER (PARTITION BY r.domain, r.lang, r.source ORDER BY md5('17|' || whole || '|' || key)) AS upto FROM r JOIN e ON r.domain IS NOT DISTINCT FROM e.domain AND r.lang IS NOT DISTINCT FROM e.lang AND r.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(whole AS INT) AS epoch FROM o WHERE n_tokens > 0 AND whole < 2 AND upto <= rest
+UNION ALL SELECT doc_id, domain, lang, source, n_tokens, CAST(x AS INT) FROM (SELECT *, unnest(CASE WHEN n_tokens = 0 THEN [0] ELSE range(0, whole) END) AS x FROM o)"""
 
 _SYMBOLS = "'[#*$%&|<>]'"
 _LINE_FAILS = f"""(len(regexp_extract_all(x, {_W})) > 0 AND (len(regexp_extract_all(x, '[#*$%&<>]+|[!?]{{2,}}')) * 3 > len(regexp_extract_all(x, {_W}))
