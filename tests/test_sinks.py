@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from pyspark.sql import functions as F
 
 import golden
@@ -44,3 +48,36 @@ def test_streaming_ingest_is_the_batch(spark, tmp_path):
     q.awaitTermination(300)
     events = spark.read.parquet(str(tmp_path / "out"))
     assert events.count() == len(golden.ndjson()) and events.where("kind = 'process_start'").select(F.min("proc.name")).first()[0] == "chrome.exe"
+
+
+def read_aloud(tree):
+    """(key, depth, nth) of every member, by recursion without the stack."""
+    under = {}
+    for key, place, parent in tree:
+        under.setdefault(parent, []).append((place, key))
+    out, stack = [], [(key, 0) for _, key in sorted(under.get(None, []), reverse=True)]
+    while stack:
+        key, depth = stack.pop()
+        out.append((key, depth, len(out)))
+        stack += [(k, depth + 1) for _, k in sorted(under.get(key, []), reverse=True)]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["random", "star", "roots", "empty"])
+def test_reading_order_is_brute_force(spark, monkeypatch, shape):
+    monkeypatch.setattr(sinks, "SIBLINGS", 7)
+    rng = random.Random(shape)
+    pick = {"random": lambda i: f"k{rng.randrange(i)}" if i and rng.random() < 0.95 else None, "star": lambda i: "k0" if i else None, "roots": lambda i: None, "empty": lambda i: None}[shape]
+    tree = [(f"k{i}", rng.randrange(50) if shape != "random" else i, pick(i)) for i in range(0 if shape == "empty" else 80)]
+    out = sinks.reading_order(spark.createDataFrame(tree, "key string, place long, parent string")).collect()
+    assert sorted((r["key"], r["depth"], r["nth"]) for r in out) == sorted(read_aloud(tree))
+
+
+def test_a_chain_of_a_thousand_takes_few_rounds(spark, monkeypatch):
+    tables = []
+    keep = sinks.stored
+    monkeypatch.setattr(sinks, "stored", lambda df: tables.append(1) or keep(df))
+    tree = [(f"k{i}", i, f"k{i - 1}" if i else None) for i in range(1000)]
+    out = sinks.reading_order(spark.createDataFrame(tree, "key string, place long, parent string")).collect()
+    assert {(r["key"], r["depth"], r["nth"]) for r in out} == {(f"k{i}", i, i) for i in range(1000)}
+    assert len(tables) - 2 <= 12

@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewell.functions import masks, net, text, times
 from tracewell.operators.dedup import numbered, without_duplicates
-from tracewell.operators.fold import folded_runs, with_upper_median
+from tracewell.operators.describe import Picture
+from tracewell.operators.fold import folded_runs, identical_members, with_upper_median
 from tracewell.operators.identity import resolve_references, start_keys
-from tracewell.operators.links import handle_starts, last_writer, merged, next_start
-from tracewell.plans.investigate import frontier, joined, reachable
+from tracewell.operators.links import handle_starts, last_writer, merged, next_start, touching
+from tracewell.operators.tables import stored
+from tracewell.plans.investigate import Options, frontier, investigate, joined, pruned, reachable
 from tracewell.plans.judge import phrase_score
 from tracewell.plans.learn import profiles_frame
+from tracewell.sources.sinks import chain
 
 _Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, _Query] = {}
@@ -359,3 +362,104 @@ def start_twins(spark, sf_dir):
     ev = events(spark, sf_dir).where("kind in ('click', 'purchase')").withColumn("t", F.floor(F.col("t") / 3600).cast("long"))
     refs = _references(ev, F.when(F.col("kind") == "click", F.col("seq"))).withColumn("kind", F.lit("process_start"))
     return start_keys(refs).select("seq", "key")
+
+
+def _by_day(ev: DataFrame) -> Picture:
+    """Users as processes that contact keys of a day, or fail to log on to them (errors), as a whole picture.
+
+    A key of a day is an entity, so few users share one. Columns that the events don't have are null.
+    """
+    user, key = F.concat(F.lit("user:"), "u"), F.concat_ws("/", F.concat(F.lit("k:"), "k"), "file")
+    kind = F.when(F.col("kind") == "error", "failed_logon").otherwise("contacted")
+    seen = stored(ev.select(kind.alias("type"), user.alias("from"), key.alias("to"), "t", F.col("t").alias("act"), "seq", F.lit(None).cast("string").alias("detail"), F.lit(1).alias("phase")))
+    found = stored(touching(merged(seen).withColumns({"steps": F.array().cast("array<string>"), "techniques": F.array().cast("array<string>")})))
+    null = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    of = lambda c, kind: seen.groupBy(F.col(c).alias("key")).agg(F.min("t").alias("first_seen")).select("key", F.lit(kind).alias("type"), F.lit("h").alias("host"), F.col("key").alias("name"), "first_seen")
+    nodes = of("from", "process").unionByName(of("to", "domain"))
+    nodes = stored(nodes.select("*", *null("string", "guid", "path", "cmd", "user", "sha256", "parent", "real_parent", "effective_parent"), *null("long", "pid", "start", "end", "first_start"), F.lit(0).alias("n_starts")))
+    acted = seen.select("seq", "t", F.lit("network").alias("kind"), F.col("from").alias("actor"), *null("string", "file_path", "pipe"), *null("long", "access"), *null("struct<key:string,value:string>", "reg"), *null("struct<ip:string,port:long,domain:string>", "net"), *null("struct<name:string,path:string>", "target"))
+    return Picture(acted, nodes, found, seen.select(F.col("to").alias("key"), "seq"), 0, "h")
+
+
+_SIX = EV + """, o AS (SELECT CASE WHEN kind = 'error' THEN 'failed_logon' ELSE 'contacted' END AS type, 'user:' || u AS f, 'k:' || k || '/' || file AS g, t FROM ev),
+links AS (SELECT type, f, g, min(t) AS t, max(t) AS last FROM o GROUP BY ALL), b AS (SELECT type, f AS node, g AS other, t, last FROM links UNION ALL SELECT type, g, f, t, last FROM links),
+rare AS (SELECT node, count(DISTINCT other) <= 5 AS rare FROM b WHERE node LIKE 'k:%' GROUP BY node),
+m0 AS (SELECT 'user:8' AS key, min(t) AS since, 0 AS round FROM o WHERE f = 'user:8'), d0 AS (SELECT NULL AS key, 0 AS round, 0 AS n, 0::DOUBLE AS probability, FALSE AS related, 0::DOUBLE AS threshold, 0::BIGINT AS joined_at WHERE FALSE)""" + "".join(
+    f""", f{r} AS (SELECT b.*, m.since FROM m{r - 1} m JOIN b ON b.node = m.key WHERE b.last >= m.since - 2000000 AND b.other NOT IN (SELECT key FROM m{r - 1})),
+c{r} AS (SELECT other AS key, count(*) AS n, min(greatest(t, since)) AS joined_at, CAST(max(CASE WHEN type = 'failed_logon' THEN 0.6 WHEN coalesce(rare, TRUE) THEN 0.85 ELSE 0.2 END) AS DOUBLE) AS probability FROM f{r} LEFT JOIN rare ON rare.node = other GROUP BY other),
+p{r} AS (SELECT c.*, CASE WHEN c.key LIKE 'k:%' AND NOT EXISTS (SELECT 1 FROM b WHERE b.node = c.key AND b.other NOT IN (SELECT key FROM m{r - 1})) THEN 0.5::DOUBLE ELSE 0.8 END AS threshold FROM c{r} c WHERE NOT EXISTS (SELECT 1 FROM d{r - 1} d WHERE d.key = c.key AND d.n = c.n)),
+d{r} AS (SELECT * FROM d{r - 1} WHERE key NOT IN (SELECT key FROM p{r}) UNION ALL SELECT key, {r}, n, probability, probability >= threshold, threshold, joined_at FROM p{r}),
+m{r} AS (SELECT * FROM m{r - 1} UNION ALL SELECT key, joined_at, {r} FROM d{r} WHERE round = {r} AND related)"""
+    for r in range(1, 7)
+)
+
+
+@_query(_SIX + " SELECT key, round, n, probability, related, threshold, joined_at FROM d6")
+def investigation(spark, sf_dir):
+    """Six rounds from user 8 with the offline rule; what a candidate was last asked with decides."""
+    found = investigate(_by_day(events(spark, sf_dir)), "user:8", Options(max_rounds=6, group=False))
+    n = found.via().groupBy("key").agg(F.count("*").alias("n"))
+    return found.decisions.join(n, "key").select("key", "round", "n", "probability", "related", "threshold", "joined_at")
+
+
+@_query(_SIX + """, via AS (SELECT d.key, f.node AS other FROM d6 d JOIN (""" + " UNION ALL ".join(f"SELECT {r} AS round, other, node FROM f{r}" for r in range(1, 7)) + """) f ON f.round = d.round AND f.other = d.key WHERE d.related),
+no AS (SELECT key FROM m6 WHERE round > 0 AND substr(md5(key), 1, 1) IN ('0', '1', '2', '3', '4')), kept0 AS (SELECT * FROM m6 WHERE key NOT IN (SELECT key FROM no))""" + "".join(f", kept{i} AS (SELECT * FROM kept{i - 1} WHERE round = 0 OR key IN (SELECT v.key FROM via v JOIN kept{i - 1} k ON k.key = v.other))" for i in range(1, 8)) + " SELECT key, round FROM kept7")
+def verify_and_prune(spark, sf_dir):
+    """Members of the six rounds less those that are refused (by a hash of their key) and whoever came through them alone."""
+    found = investigate(_by_day(events(spark, sf_dir)), "user:8", Options(max_rounds=6, group=False))
+    refused = found.members.where((F.col("round") > 0) & F.substring(F.md5("key"), 1, 1).isin("0", "1", "2", "3", "4")).select("key")
+    return pruned(found.members, found.via(), refused).select("key", "round")
+
+
+@_query(EV.replace("WITH ev", "WITH RECURSIVE ev", 1) + """, p AS (SELECT seq, least(lag(seq) OVER (PARTITION BY u ORDER BY seq), lag(seq) OVER (PARTITION BY k, kind ORDER BY seq)) AS up FROM ev),
+r AS (SELECT seq, up, 0 AS depth, [seq] AS path FROM p WHERE up IS NULL UNION ALL SELECT p.seq, p.up, r.depth + 1, list_append(r.path, p.seq) FROM p JOIN r ON p.up = r.seq)
+SELECT 'e' || seq AS key, 'e' || up AS parent, CAST(depth AS BIGINT) AS depth, row_number() OVER (ORDER BY path) - 1 AS nth FROM r""")
+def chain_tree(spark, sf_dir):
+    """Each event under the first of the events before it by its user, and of its type on its key."""
+    ev = events(spark, sf_dir).select("seq", "u", "k", "kind")
+    before = lambda *by: F.lag("seq").over(Window.partitionBy(*by).orderBy("seq"))
+    near = ev.select("seq", before("u").alias("a"), before("k", "kind").alias("b"))
+    near = near.select("seq", F.explode(F.array_compact(F.array("a", "b"))).alias("other"))
+    key = lambda c: F.concat(F.lit("e"), c)
+    return chain(ev.select(key("seq").alias("key"), F.col("seq").alias("place")), near.select(key("seq").alias("key"), key("other").alias("other")))
+
+
+@_query(EV + """, m AS (SELECT 'e' || seq AS key, seq, kind, k % 2 AS odd, 'e' || lag(seq) OVER (PARTITION BY u ORDER BY seq) AS up FROM ev), r0 AS (SELECT key, key AS rep FROM m)""" + "".join(
+    f", r{i} AS (SELECT key, 'e' || min(seq) OVER (PARTITION BY kind, odd, coalesce(r{i - 1}.rep, '')) AS rep FROM (SELECT m.key, seq, kind, odd, p.rep FROM m LEFT JOIN r{i - 1} p ON p.key = m.up) r{i - 1})" for i in range(1, 6)
+) + " SELECT key, rep FROM r5")
+def identical_fold(spark, sf_dir):
+    """Events as members that are the same again if type, parity of key and what their parent stands for agree; five passes."""
+    ev = events(spark, sf_dir).select("seq", "kind", (F.col("k") % 2).alias("odd"), F.lag("seq").over(Window.partitionBy("u").orderBy("seq")).alias("up"))
+    key, nothing = (lambda c: F.concat(F.lit("e"), c)), F.lit(None).cast("string")
+    members = ev.select(key("seq").alias("key"), F.col("seq").alias("place"), F.lit(False).alias("keep"), F.lit("h").alias("host"), nothing.alias("path"), F.col("kind").alias("name"), nothing.alias("cmd"), F.col("odd").cast("string").alias("user"), nothing.alias("sha256"), key("up").alias("parent"))
+    members = stored(members)
+    return identical_members(members, members.where("parent is not null").select("key", F.lit("spawned").alias("type"), F.col("parent").alias("other")))
+
+
+_TWO_SOURCES = EV + """, x AS (SELECT seq, k, t // 3600 AS t, kind, CASE WHEN u % 5 > 0 THEN 'i' || (u % 2) END AS base, CASE kind WHEN 'click' THEN '0|a' WHEN 'view' THEN '1|b' END AS space FROM ev WHERE kind IN ('click', 'view', 'purchase')),
+g AS (SELECT *, 'g:h:' || seq AS key FROM x WHERE kind <> 'purchase'),
+w AS (SELECT x.key, x.space, arg_min({'key': y.key, 'space': y.space}, CAST(y.t AS HUGEINT) * 100000000 + y.seq) AS up FROM g x JOIN g y ON x.k = y.k AND x.space <> y.space AND (y.t < x.t OR (y.t = x.t AND y.seq < x.seq)) AND x.t - y.t <= 2000000 AND coalesce(x.base = y.base, TRUE) GROUP BY x.key, x.space),
+z AS (SELECT w.key, CASE WHEN a.key IS NULL THEN w.up ELSE a.up END AS up, w.space FROM w LEFT JOIN w a ON a.key = w.up.key), tw AS (SELECT key, up.key AS up FROM z WHERE up.space <> space),
+l AS (SELECT * FROM g WHERE key NOT IN (SELECT key FROM tw))"""
+
+
+@_query(_TWO_SOURCES + """ SELECT g.seq, coalesce(tw.up, g.key) AS key FROM g LEFT JOIN tw ON tw.key = g.key UNION ALL
+SELECT p.seq, coalesce((SELECT arg_min(l.key, CAST(l.t AS HUGEINT) * 100000000 + l.seq) FROM l WHERE l.k = p.k AND abs(l.t - p.t) <= 2000000 AND coalesce(l.base = p.base, TRUE)), 'p:h:' || p.k || ':' || p.t) FROM x p WHERE kind = 'purchase'""")
+def two_source_starts(spark, sf_dir):
+    """Clicks of one source and views of another have GUIDs, purchases have none; images disagree for odd and even users."""
+    ev = events(spark, sf_dir).where("kind in ('click', 'view', 'purchase')").withColumn("t", F.floor(F.col("t") / 3600).cast("long"))
+    base = F.when(F.col("u") % 5 > 0, F.concat(F.lit("i"), F.col("u") % 2))
+    refs = ev.select("seq", F.lit(0).alias("role"), F.lit("h").alias("host"), F.when(F.col("kind") != "purchase", F.col("seq")).cast("string").alias("guid"), F.col("k").alias("pid"), base.alias("base"), base.alias("image"), "t", F.when(F.col("kind") == "view", "1|b").otherwise("0|a").alias("space"), F.lit("process_start").alias("kind"))
+    return start_keys(refs).select("seq", "key")
+
+
+@_query(EV + """, s AS (SELECT DISTINCT k, t FROM ev WHERE kind = 'purchase'), r AS (SELECT ev.*, s.t AS st FROM ev ASOF LEFT JOIN s ON ev.k = s.k AND ev.t + 2000000 >= s.t WHERE kind <> 'purchase'),
+e AS (SELECT k, st, max(t) AS over_at FROM r WHERE kind = 'signup' AND st IS NOT NULL GROUP BY k, st), a AS (SELECT r.*, r.st IS NOT NULL AND (e.over_at IS NULL OR e.over_at >= r.t - 2000000) AS alive FROM r LEFT JOIN e ON e.k = r.k AND e.st = r.st),
+d AS (SELECT *, (SELECT count(*) FROM a b WHERE NOT b.alive AND b.kind = 'signup' AND b.k = a.k AND b.st IS NOT DISTINCT FROM a.st AND b.t < a.t - 2000000) AS gone FROM a WHERE NOT alive)
+SELECT seq, 'p:h:' || k || ':' || st AS key FROM a WHERE alive UNION ALL SELECT seq, 'p:h:' || k || ':' || min(t) OVER (PARTITION BY k, st, gone) FROM d UNION ALL SELECT seq, 'p:h:' || k || ':' || t FROM ev WHERE kind = 'purchase'""")
+def ended_lives(spark, sf_dir):
+    """Signups end what runs under a PID; what comes later is first seen there, anew after each further end."""
+    ev = events(spark, sf_dir)
+    ends = F.when(F.col("kind") == "signup", "process_end").when(F.col("kind") == "purchase", "process_start").otherwise("network")
+    refs = _references(ev, F.lit(None)).drop("kind").join(ev.select("seq", ends.alias("kind")), "seq")
+    return resolve_references(refs, start_keys(refs)).select("seq", "key")

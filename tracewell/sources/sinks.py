@@ -7,6 +7,11 @@ import json
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions.text import basename
+from tracewell.operators.carry import carried
+from tracewell.operators.tables import stored
+
+#: Places of a bucket of siblings.
+SIBLINGS = 10_000
 
 # Rungs of the pyramid of pain and the tactics of a mapping.
 LEVELS = {"hash": "trivial", "ip": "easy", "domain": "simple", "artifact": "annoying", "tool": "challenging"}
@@ -78,20 +83,38 @@ def valid_mappings(rows: DataFrame, most: int = 3) -> DataFrame:
 
 
 def chain(members: DataFrame, via: DataFrame) -> DataFrame:
-    """Each member under the first member that links it: key, parent, depth; the tree of an incident's folded rows.
+    """Each member under the first member that links it: key, parent, depth, nth (its place when the tree is read aloud).
 
-    ``members``: key, place (order of joining); ``via``: key, other. A level a round, as deep as the chain is long.
+    ``members``: key, place (order of joining); ``via``: key, other. Roots and what stands under one member are read in order
+    of place and key.
     """
     first = via.join(members.select(F.col("key").alias("other"), F.col("place").alias("other_place")), "other").join(members, "key").where("other_place < place")
-    parent = members.join(first.groupBy("key").agg(F.min_by("other", "other_place").alias("parent")), "key", "left").select("key", "parent").persist()
-    out = parent.where("parent is null").withColumn("depth", F.lit(0))
-    level, done = out, 0
-    while True:
-        done += 1
-        level = parent.join(level.select(F.col("key").alias("parent")), "parent").select("key", "parent").withColumn("depth", F.lit(done))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    parent = members.join(first.groupBy("key").agg(F.min_by("other", F.struct("other_place", "other")).alias("parent")), "key", "left").select("key", "place", "parent")
+    return reading_order(stored(parent)).select("key", "parent", "depth", "nth")
+
+
+def reading_order(tree: DataFrame) -> DataFrame:
+    """``tree`` (key, place, parent) with depth and nth, in as many rounds as the size has binary digits, however deep it is.
+
+    Reading goes down into each member and up again. Every step knows the next one; in each round a step takes on what the
+    step that it points to has summed up and points to where that one did, so it looks twice as far.
+    """
+    order = [F.col("place").desc(), F.col("key").desc()]
+    rows = carried(tree, ["parent"], order, F.floor(F.col("place") / SIBLINGS).cast("long"), last={"sibling": F.col("key")}, inclusive=False, descending=True)
+    firsts = tree.where("parent is not null").groupBy(F.col("parent").alias("__of")).agg(F.min_by("key", F.struct("place", "key")).alias("child"))
+    rows = stored(rows.join(firsts, F.col("key") == F.col("__of"), "left"))
+    step = lambda way, key: F.concat(F.lit(way), key)
+    down = rows.select(step("d", F.col("key")).alias("at"), F.coalesce(step("d", F.col("child")), step("u", F.col("key"))).alias("to"), F.lit(1).cast("long").alias("downs"), F.lit(1).cast("long").alias("depth"))
+    up = rows.select(step("u", F.col("key")).alias("at"), F.coalesce(step("d", F.col("sibling")), step("u", F.col("parent"))).alias("to"), F.lit(0).cast("long").alias("downs"), F.lit(-1).cast("long").alias("depth"))
+    steps = stored(down.unionByName(up))
+    while not steps.where("to is not null").isEmpty():
+        ahead = steps.select(F.col("at").alias("to"), F.col("to").alias("beyond"), F.col("downs").alias("more"), F.col("depth").alias("deeper"))
+        steps = stored(steps.join(ahead, "to", "left").select("at", F.col("beyond").alias("to"), (F.col("downs") + F.coalesce("more", F.lit(0))).alias("downs"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")))
+    # From a step down to the end: as many members are still to come, and as many steps up as down are missing.
+    sums = steps.where(F.col("at").startswith("d")).select(F.expr("substr(at, 2)").alias("__key"), F.col("downs").alias("__left"), (-F.col("depth")).alias("depth"))
+    size = tree.agg(F.count("*").alias("__all"))
+    out = tree.join(sums, F.col("key") == F.col("__key")).join(F.broadcast(size))
+    return out.withColumn("nth", F.col("__all") - F.col("__left")).drop("__key", "__left", "__all")
 
 
 def telemetry_lines(events: DataFrame, budget: int = 100_000) -> DataFrame:
