@@ -7,19 +7,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewell.functions import masks, net, text, times
 from tracewell.operators.dedup import numbered, without_duplicates
-from tracewell.operators.describe import Picture
+from tracewell.operators.describe import Picture, summaries
+from tracewell.operators.entities import entity_observations, owners_of_addresses
 from tracewell.operators.fold import folded_runs, identical_members, with_upper_median
 from tracewell.operators.identity import resolve_references, start_keys
 from tracewell.operators.links import handle_starts, last_writer, merged, next_start, touching
 from tracewell.operators.tables import stored
 from tracewell.plans.investigate import Options, frontier, investigate, joined, pruned, reachable
 from tracewell.plans.judge import phrase_score
-from tracewell.plans.learn import profiles_frame
+from tracewell.plans.learn import flattened, profiles_frame
+from tracewell.plans.questions import groups_of, role_requests
+from tracewell.plans.report import context_records
 from tracewell.sources.sinks import chain
 
 _Query = Callable[[SparkSession, str], DataFrame]
@@ -239,7 +243,8 @@ def fingerprint(spark, sf_dir):
 @_query(EV + " SELECT k, arg_min(u, seq) AS owner FROM ev GROUP BY k")
 def ip_owner_dim(spark, sf_dir):
     """The first to claim a key owns it."""
-    return events(spark, sf_dir).groupBy("k").agg(F.min_by("u", "seq").alias("owner"))
+    ev = events(spark, sf_dir).select(F.array(F.col("k").cast("string")).alias("host_ips"), F.col("u").cast("string").alias("host"), "seq")
+    return owners_of_addresses(ev).select(F.col("ip").cast("long").alias("k"), F.col("owner").cast("long").alias("owner"))
 
 
 @_query(EV + ", r AS (SELECT k, seq, u < 20 AS member, row_number() OVER (PARTITION BY k, u < 20 ORDER BY t, seq) AS n FROM ev) SELECT k, seq FROM r WHERE member OR n <= 50")
@@ -283,11 +288,11 @@ def event_times(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", times.iso(t).alias("iso"), times.relative(t, F.lit(1_705_000_000_000_000)).alias("since"))
 
 
-@_query("SELECT event_id, epoch_us(ts) // 1000000 * 1000000 AS t, epoch_us(ts) // 1000000 * 1000000 AS t_s, epoch_us(ts) // 1000 * 1000 AS t_ms FROM events")
+@_query("SELECT event_id, epoch_us(ts) AS t, epoch_us(ts) // 1000000 * 1000000 AS t_s, epoch_us(ts) // 1000 * 1000 AS t_ms FROM events")
 def parsed_times(spark, sf_dir):
-    """ISO text and numbers of any unit back to microseconds."""
+    """ISO text with nine digits of a second, of which six count, and numbers of any unit back to microseconds."""
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    told = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    told = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'789+00:00'")
     return _table(spark, sf_dir, "events").select("event_id", times.parse_time(told, False).alias("t"), times.time_of(F.floor(t / 1_000_000).cast("string")).alias("t_s"), times.time_of(F.floor(t / 1000).cast("string")).alias("t_ms"))
 
 
@@ -463,3 +468,59 @@ def ended_lives(spark, sf_dir):
     ends = F.when(F.col("kind") == "signup", "process_end").when(F.col("kind") == "purchase", "process_start").otherwise("network")
     refs = _references(ev, F.lit(None)).drop("kind").join(ev.select("seq", ends.alias("kind")), "seq")
     return resolve_references(refs, start_keys(refs)).select("seq", "key")
+
+
+_ENTITY = EV + """, x AS (SELECT *, 'h' || (k % 10) AS h, '10.0.0.' || (u % 50) AS ip, 'user:acc' || u AS account FROM ev), own AS (SELECT ip, arg_min(h, seq) AS h FROM x WHERE kind = 'signup' GROUP BY ip),
+y AS (SELECT x.*, CASE WHEN own.h IS NULL THEN 'ip:' || x.ip ELSE 'host:' || own.h END AS came, 'host:' || x.h AS server FROM x LEFT JOIN own ON own.ip = x.ip)"""
+
+
+@_query(_ENTITY + """ SELECT 'contacted' AS type, 'p:' || u AS src, 'ip:198.51.100.' || k AS dst, seq, 'port 443' AS detail FROM y WHERE kind = 'click' UNION ALL SELECT 'logged_on', account, server, seq, 'logon type 3' FROM y WHERE kind = 'view'
+UNION ALL SELECT 'logon_from', came, server, seq, 'logon type 3' FROM y WHERE kind = 'view' AND came <> server UNION ALL SELECT 'used_account', came, account, seq, 'logon type 3' FROM y WHERE kind = 'view' AND came <> server
+UNION ALL SELECT 'failed_logon', came, account, seq, 'logon type 3' FROM y WHERE kind = 'error' AND came <> server UNION ALL SELECT 'requested', came, server, seq, 'GET /' || k || ' 200' FROM y WHERE kind = 'purchase'""")
+def entity_links(spark, sf_dir):
+    """Clicks are connections of processes, views logons, errors failed ones, purchases web requests; signups claim addresses for hosts."""
+    ev, null = events(spark, sf_dir), lambda kind: F.lit(None).cast(kind)
+    kind = F.create_map(*[F.lit(x) for x in ("click", "network", "view", "logon", "error", "logon_failed", "purchase", "http_request", "signup", "service_install")])[F.col("kind")]
+    of, ip = (lambda c, *kinds: F.when(F.col("kind").isin(*kinds), c)), F.concat(F.lit("10.0.0."), F.col("u") % 50)
+    src = of(F.struct(ip.alias("ip"), null("long").alias("port"), null("string").alias("host")), "view", "error", "purchase")
+    net = of(F.struct(F.concat(F.lit("198.51.100."), "k").alias("ip"), F.lit(443).cast("long").alias("port"), null("string").alias("domain")), "click")
+    http = of(F.struct(F.lit("GET").alias("method"), F.concat(F.lit("/"), "k").alias("url"), F.lit(200).cast("long").alias("status")), "purchase")
+    rows = ev.select(
+        "seq", "t", kind.alias("kind"), F.concat(F.lit("h"), F.col("k") % 10).alias("host"), of(F.concat(F.lit("acc"), "u"), "view", "error").alias("account"), src.alias("src"), net.alias("net"), F.lit("3").alias("logon_type"), http.alias("http"), null("boolean").alias("dns_answer"),
+        of(F.array(ip), "signup").alias("host_ips"),
+    )
+    actor = ev.where("kind = 'click'").select("seq", F.concat(F.lit("p:"), "u").alias("key"))
+    return entity_observations(rows, actor).observations.select("type", F.col("from").alias("src"), F.col("to").alias("dst"), "seq", "detail")
+
+
+@_query(EV + " SELECT 'k:' || k || '/' || file AS key, count(DISTINCT u) AS seen_with, count(DISTINCT CASE WHEN u >= 20 THEN u END) AS outside, count(*) AS events FROM ev GROUP BY 1")
+def entity_summaries(spark, sf_dir):
+    """What a judge is told of keys of a day: with how many users they were seen, how many of these are no members (users below 20)."""
+    p = _by_day(events(spark, sf_dir))
+    members = p.nodes.where((F.col("type") == "process") & (F.substring_index("key", ":", -1).cast("long") < 20)).select("key", F.col("first_seen").alias("since"))
+    told = F.try_parse_json("summary")
+    number = lambda path: F.coalesce(F.try_variant_get(told, path, "long"), F.lit(0))
+    out = summaries(p.nodes.where("type = 'domain'").select("key"), members, p)
+    return out.select("key", number("$.seen_with.processes").alias("seen_with"), number("$.seen_outside_incident.processes").alias("outside"), number("$.events").alias("events"))
+
+
+@_query("""SELECT 'event_type=' || event_type AS grp, substr(sha256('[["event_type","' || event_type || '"],["event_id","event_type","props.k","user_id","value"]]'), 1, 24) AS fingerprint, count(*) AS n, 5 AS n_fields, 5 AS n_asked, 1 AS n_requests FROM events GROUP BY event_type""")
+def schema_groups(spark, sf_dir):
+    """Events as records of an unknown schema: their types, fingerprints, and what a judge would be asked about their fields."""
+    rows = _table(spark, sf_dir, "events")
+    kind = "file int, line long, id string, line_id boolean, nested string, flat map<string,string>, names map<string,string>"
+    records = rows.select(F.lit(0).alias("file"), F.col("event_id").alias("line"), F.lit(None).cast("string").alias("id"), F.lit(True).alias("line_id"), F.to_json(F.struct("event_id", "user_id", "event_type", "props", "value")).alias("nested"), F.lit(None).cast("map<string,string>").alias("flat"), F.lit(None).cast("map<string,string>").alias("names"))
+    records = records.select(*[F.col(c.split()[0]) for c in kind.split(", ")])
+    groups = stored(groups_of(flattened(records)).withColumns({"kind": F.lit("network"), "confidence": F.lit(1.0)}))
+    asked = role_requests(groups, "judge").groupBy("grp").agg(F.sum(F.size("asked")).cast("int").alias("n_asked"), F.count("*").cast("int").alias("n_requests"))
+    return groups.join(asked, "grp").select("grp", "fingerprint", F.col("count").alias("n"), F.size("fields").alias("n_fields"), "n_asked", "n_requests")
+
+
+@_query(EV + ", r AS (SELECT k, seq, file, u < 20 AS member, row_number() OVER (PARTITION BY k, u < 20 ORDER BY t, seq) AS n FROM ev) SELECT DISTINCT file AS input, seq AS line FROM r WHERE member OR n <= 50")
+def context_rows(spark, sf_dir):
+    """The records that rebuild an incident of users below 20: their own, and the 50 earliest others of each key."""
+    ev = events(spark, sf_dir)
+    acted = ev.select("seq", "t", "file", F.col("seq").alias("line"), F.concat(F.lit("user:"), "u").alias("actor"))
+    touched = ev.select(F.concat(F.lit("k:"), "k").alias("key"), "seq")
+    members = acted.where(F.substring_index("actor", ":", -1).cast("long") < 20).select(F.col("actor").alias("key")).distinct()
+    return context_records(SimpleNamespace(acted=acted, entity_events=touched), SimpleNamespace(members=members, decisions=touched.select("key").distinct()))
