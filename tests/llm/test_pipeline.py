@@ -31,5 +31,5 @@ def test_stages(spark):
 
 
 def test_queries_are_registered():
-    assert [q for q in QUERIES if q.startswith("op")] == [q for n in range(1, 11) for q in QUERIES if q.startswith(f"op{n}_")]
+    assert [q for q in QUERIES if q.startswith("op")] == [q for n in range(1, 14) for q in QUERIES if q.startswith(f"op{n}_")]
     assert set(ORACLES) <= set(QUERIES)

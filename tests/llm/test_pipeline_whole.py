@@ -44,11 +44,17 @@ def mix(rows):
                     out += [r for _, r in leaf]
                     continue
                 name = lambda r: "null" if r[0] is None else str(r[0])
-                for n, r in sorted(leaf, key=lambda x: (hashlib.md5(f"17|0|{name(x[1])}".encode()).hexdigest(), x[0])):
-                    left -= n
+                out += [r for n, r in leaf if not n]
+                alike = {}
+                for n, r in leaf:
+                    if n:
+                        told = hashlib.md5(r[1].encode()).hexdigest()
+                        alike.setdefault(hashlib.md5(f"17|0|{name(r)}|{told}".encode()).hexdigest(), []).append((n, r))
+                for _, same in sorted(alike.items()):
+                    left -= sum(n for n, _ in same)
                     if left < 0:
                         break
-                    out.append(r)
+                    out += [r for _, r in same]
     return out
 
 
