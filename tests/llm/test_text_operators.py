@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import time
 import zlib
 from collections import Counter
 from itertools import product
@@ -167,8 +168,8 @@ def test_html(spark):
 
 def alone(page):
     """What each block would be called without its neighbours."""
-    blocks = html_extract.blocks_of(page)
-    marks = html_extract.marked(blocks)
+    blocks, around = html_extract.blocks_of(page)
+    marks = html_extract.marked(blocks, around)
     article = any(b.good == 2 and m < html_extract.MARKED for b, m in zip(blocks, marks, strict=True))
     return [b.text for b, m in zip(blocks, marks, strict=True) if (c := html_extract.costs(b, m, article))[0] > c[1]]
 
@@ -193,6 +194,32 @@ def test_html_frames_heads_and_odd_elements():
     assert html_extract.main_blocks(deep) == [own] and html_extract.main_blocks("<p>" + "word " * 300_000) == [" ".join(["word"] * 300_000)]
 
 
+ARTICLE = "<p>The article itself is one paragraph that says what there is to say, and no more than that, honestly.</p>"
+CROWD = "".join(f"<p>Reader {i} says something rather long here, longer than the article, and again, and again, and again, so it is text.</p>" for i in range(10))
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="content">{ARTICLE}</div><div class="comments">{CROWD}</div>', f'<div>{ARTICLE}</div><div class="comments">{CROWD}</div>', f'<article>{ARTICLE}<div class="comments">{CROWD}</div></article>', f"<main>{ARTICLE}<aside>{CROWD}</aside></main>",
+    f'<div class="content">{ARTICLE}</div><div class="sidebar">{CROWD}</div>', f"<article>{ARTICLE}</article><div class='comments'>{CROWD}</div>", f'<article>{ARTICLE}</article><section id="comments">' + f'<article class="comment">{CROWD}</article>' * 3 + "</section>",
+    f'<div class="with-sidebar"><div id="content">{ARTICLE}</div><div class="sidebar">{CROWD}</div></div>',
+])
+def test_html_long_sidebars_and_comments_go(page):
+    assert html_extract.main_blocks(f"<html><body>{page}</body></html>") == [ARTICLE[3:-4]]
+
+
+def test_html_a_frame_keeps_its_content():
+    for page in (f'<form><nav><a href="/">Home</a></nav>{ARTICLE * 3}</form>', f'<div class="left-sidebar-page">{ARTICLE * 3}</div>', f'<div class="page-with-comments"><main>{ARTICLE * 3}</main></div>'):
+        assert html_extract.main_blocks(page) == [ARTICLE[3:-4]] * 3
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<nav>x", '<a "', "<!", "<p>x", "<li><p>", "<b>x<hr>", "<!--", "<script>", "<p><button><div>", "<table><p>", "</div>", "<x y='"])
+def test_html_hostile_pages_are_read_in_linear_time(piece):
+    """A megabyte of it; what is quadratic takes minutes."""
+    began = time.process_time()
+    html_extract.main_blocks(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 20
+
+
 def test_water_filling(spark):
     rng = random.Random(6)
     leaves = [(f"d{d}", f"l{x}", f"s{s}", rng.randrange(1, 4000)) for d in range(3) for x in range(3) for s in range(4)] + [(None, None, None, 50)]

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -35,13 +35,16 @@ _BAD = frozenset("ad ads advert adverts advertisement advertising adsense sponso
 _HINTS = frozenset("alert widget copyright legal".split())
 _HEADS = frozenset("header masthead".split())
 _GOOD = frozenset("article articlebody content main maincontent post entry story body text prose".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_PROOF = frozenset("article articlebody content main maincontent".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^<>]*+>", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 #: What it costs more to call a block content that an element or class marks as something else, or that a class only hints at.
 MARKED, HINTED = 4.0, 1.5
-#: An element that holds more than this part of a page's text is its frame, whatever its class says.
+#: A marked element can only be the page's frame if it holds more than this part of its text; see marked().
 FRAME = 0.5
+#: Characters from which a block that is no paragraph counts as prose, if hardly any of them are links.
+PROSE = 80
 #: Smoothness of consecutive blocks: of one parent, tag and class; of one parent and tag; all others; and of one parent beyond a block between.
 LIKE, KIN, NEXT, SKIP = 2.0, 1.0, 0.3, 0.4
 #: Capacities are whole numbers of this part of a unit.
@@ -55,60 +58,70 @@ class Block:
     look: str  # its element's class
     parent: int
     good: int
-    marks: tuple[tuple[int, float], ...]  # elements that mark it as no content: number, and what that costs
+    mark: int  # the innermost element that marks it as no content, in Marks; -1: none
+    proof: int | None  # the mark around the innermost element that says it holds the content; None: no such element
     links: int
 
 
+@dataclass(slots=True)
+class Marks:
+    """Elements that mark what they hold as no content: the next one around each, and what it costs."""
+
+    around: list[int]
+    cost: list[float]
+
+
 @dataclass(slots=True)
 class _Open:
     name: str
     number: int
     look: str
     good: int
-    marks: tuple[tuple[int, float], ...]
+    mark: int
+    proof: int | None
     inside: bool
+    block: int  # where in the stack the innermost block element is
 
 
 def _words_of(value: str) -> set[str]:
     return {w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", value) if w}
 
 
-def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page in its order, each with what its elements say about it."""
+def blocks_of(html: str) -> tuple[list[Block], Marks]:
+    """The text blocks of a page in its order, each with what its elements say about it. Linear in the page's length."""
     out: list[Block] = []
-    stack = [_Open("", 0, "", 0, (), False)]
-    number, piece, links, at, depth_a = 0, [], 0, 0, 0
+    marks = Marks([], [])
+    stack = [_Open("", 0, "", 0, -1, None, False, 0)]
+    number, piece, links, at = 0, [], 0, 0
+    open_: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack elements of a name are
 
     def flush() -> None:
         nonlocal piece, links
         text = " ".join("".join(piece).split())
         if text:
-            top = next((x for x in reversed(stack) if x.name in _BLOCK), stack[0])
-            under = stack[max(0, stack.index(top) - 1)]
-            out.append(Block(text, top.name, top.look, under.number, stack[-1].good, stack[-1].marks, min(links, len(text))))
+            last = stack[-1]
+            top = stack[last.block]
+            out.append(Block(text, top.name, top.look, stack[max(0, last.block - 1)].number, last.good, last.mark, last.proof, min(links, len(text))))
         piece, links = [], 0
 
     def pop_to(k: int) -> None:
-        nonlocal depth_a
         if any(x.name in _BLOCK for x in stack[k:]):
             flush()
-        depth_a -= sum(x.name == "a" for x in stack[k:])
+        for x in stack[k:]:
+            open_[x.name].pop()
         del stack[k:]
 
     def shut(name: str, until: frozenset | tuple = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name == name:
-                return pop_to(k)
-            if stack[k].name in until:
-                return None
-        return None
+        """Close the innermost element of that name, unless one of ``until`` is open within it."""
+        if open_[name] and not any(open_[u] and open_[u][-1] > open_[name][-1] for u in until):
+            pop_to(open_[name][-1])
 
     while True:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else len(html)]
         if text:
             piece.append(unescape(text) if "&" in text else text)
-            if depth_a:
+            if open_["a"]:
                 links += len(text)
         if not m:
             break
@@ -117,7 +130,7 @@ def blocks_of(html: str) -> list[Block]:
         if not name:
             continue
         if m["close"]:
-            if name == "p" and not any(x.name == "p" for x in stack):
+            if name == "p" and not open_["p"]:
                 flush()
             shut(name, ("article", "main", "body") if name not in ("article", "main", "body", "html") else ())
             continue
@@ -142,7 +155,7 @@ def blocks_of(html: str) -> list[Block]:
         number += 1
         inside = top.inside or name in _INSIDE
         cost = MARKED if name in _OUTSIDE or name == "head" or (name == "header" and not top.inside) else 0.0
-        good, look = max(top.good, 2 if name in _INSIDE else 0), ""
+        good, look, proof, bad = max(top.good, 2 if name in _INSIDE else 0), "", name in _INSIDE, False
         if m["attrs"]:
             for k, v in _ATTR.findall(m["attrs"]):
                 k, v = k.lower(), v.strip("\"'")
@@ -152,27 +165,58 @@ def blocks_of(html: str) -> list[Block]:
                     look = v if k == "class" else look
                     names = _words_of(v)
                     good = max(good, 1 if names & _GOOD else 0)
+                    proof, bad = proof or bool(names & _PROOF), bad or bool(names & _BAD)
                     if name in _INSIDE or (name[0] == "h" and name[1:].isdigit()):
                         continue
                     if names & _BAD or (names & _HEADS and not inside):
                         cost = MARKED
                     elif names & _HINTS:
                         cost = max(cost, HINTED)
-        stack.append(_Open(name, number, look, good, (*top.marks, (number, cost)) if cost else top.marks, inside))
-        depth_a += name == "a"
+        mark = top.mark
+        if cost:
+            marks.around.append(top.mark)
+            marks.cost.append(cost)
+            mark = len(marks.cost) - 1
+        open_[name].append(len(stack))
+        stack.append(_Open(name, number, look, good, mark, top.mark if proof and not bad else top.proof, inside, len(stack) if name in _BLOCK else top.block))
     flush()
-    return out
+    return out, marks
+
 
+def marked(blocks: list[Block], marks: Marks) -> list[float]:
+    """What each block's marks cost: the highest, those of the page's frame left out.
 
-def marked(blocks: list[Block]) -> list[float]:
-    """What each block's marks cost: the highest, those of a page's frame left out."""
-    held: dict[int, int] = {}
+    Some pages wrap all they have in an element whose class speaks of a sidebar or whose name is form. So a marked element
+    that holds most of the text is the page's frame if nothing outside of it claims to be the content, and if
+    something within claims it or there is no prose outside. A long sidebar or many comments beside an article are none.
+    """
+    n = len(marks.cost)
+    held, proven = [0] * n, [False] * n
+    claims, prose = set(), set()  # marks, or -1, of blocks that claim to be content, and of those that read like it
     for b in blocks:
-        for number, _ in b.marks:
-            held[number] = held.get(number, 0) + len(b.text)
-    most = FRAME * sum(len(b.text) for b in blocks)
-    alone = len(blocks) == 1
-    return [max((c for number, c in b.marks if alone or held[number] <= most), default=0.0) for b in blocks]
+        if b.mark >= 0:
+            held[b.mark] += len(b.text)
+        if b.proof is not None:
+            if b.proof >= 0:
+                proven[b.proof] = True
+            claims.add(b.mark)
+        if b.links * 3 < len(b.text) and (b.tag in ("p", "blockquote", "pre") or len(b.text) >= PROSE):
+            prose.add(b.mark)
+    for m in range(n - 1, -1, -1):  # what is around has a lesser number
+        if marks.around[m] >= 0:
+            held[marks.around[m]] += held[m]
+            proven[marks.around[m]] |= proven[m]
+    most, frames = FRAME * sum(len(b.text) for b in blocks), set()
+    claimed, read = -1 in claims, -1 in prose
+    for m in range(n):  # those that hold most of the text lie within each other
+        if held[m] > most:
+            if not claimed and (proven[m] or not read):
+                frames.add(m)
+            claimed, read = claimed or m in claims, read or m in prose
+    cost = list(marks.cost)
+    for m in range(n):
+        cost[m] = max(0.0 if m in frames else cost[m], cost[marks.around[m]] if marks.around[m] >= 0 else 0.0)
+    return [cost[b.mark] if b.mark >= 0 else 0.0 for b in blocks]
 
 
 def costs(b: Block, mark: float, has_article: bool) -> tuple[float, float]:
@@ -254,10 +298,10 @@ def minimum_cut(source: list[int], sink: list[int], edges: list[tuple[int, int,
 
 def main_blocks(html: str) -> list[str]:
     """The texts of a page's content blocks."""
-    blocks = blocks_of(html)
+    blocks, around = blocks_of(html)
     if not blocks:
         return []
-    marks = marked(blocks)
+    marks = marked(blocks, around)
     has_article = any(b.good == 2 and m < MARKED for b, m in zip(blocks, marks, strict=True))
     pairs = [costs(b, m, has_article) for b, m in zip(blocks, marks, strict=True)]
     near = lambda a, b: NEXT if a.parent != b.parent or a.tag != b.tag else LIKE if a.look == b.look else KIN
