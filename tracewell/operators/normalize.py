@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tracewell.functions import fields as A
@@ -142,10 +144,16 @@ def to_events(classified: DataFrame) -> DataFrame:
     return rows.where((F.col("kind") != "process_start") | named)
 
 
-def read_statistics(classified: DataFrame, events: DataFrame) -> DataFrame:
-    """A5: one row with records, kept, other, untimed, unknown, and by_source (map of counts)."""
-    sources = classified.where("not unknown").groupBy("source").count()
-    by_source = sources.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "count")))).alias("by_source"))
-    read = classified.agg(F.count("*").alias("records"), F.count_if("unknown").alias("unknown"))
-    kept = events.agg(F.count("*").alias("kept"), F.count_if(F.col("t").isNull()).alias("untimed"))
-    return read.join(kept).join(by_source).withColumn("other", F.col("records") - F.col("unknown") - F.col("kept"))
+def read_statistics(read: dict, made: dict, classified: DataFrame) -> dict:
+    """A5: records, unknown, kept, untimed, other, by_source and by_input (counts by name and by input).
+
+    ``read`` and ``made`` were observed while the records and their events were written; only the counts by source, which
+    are as many as there are sources, take a look at a column of what was written.
+    """
+    rows = classified.groupBy("file", "source", "unknown").count().collect()
+    by_source, by_input = Counter(), Counter()
+    for r in rows:
+        by_input[r["file"]] += r["count"]
+        if not r["unknown"]:
+            by_source[r["source"]] += r["count"]
+    return {"records": read["records"], "unknown": read["unknown"], "kept": made["kept"], "untimed": made["untimed"], "by_source": dict(sorted(by_source.items())), "by_input": dict(by_input), "other": read["records"] - read["unknown"] - made["kept"]}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tracewell.functions.text import canonical_host, canonical_user, guid
 from tracewell.operators.dedup import combined
@@ -61,9 +61,11 @@ def assemble(events: DataFrame) -> Loaded:
 
 def load(spark: SparkSession, sources: list[Input | str], learner: Learner | JudgedLearner | None = None) -> Loaded:
     """Read all inputs; records of unknown schemas are learned by ``learner``, or left out without one."""
-    classified = stored(classify(read_inputs(spark, sources)))
-    known = stored(to_events(classified))
-    statistics = read_statistics(classified, known).first().asDict()
+    read, made = Observation("read"), Observation("made")
+    classified = stored(classify(read_inputs(spark, sources)).observe(read, F.count(F.lit(1)).alias("records"), F.count_if("unknown").alias("unknown")))
+    each = [F.count_if(F.col("file") == k).alias(f"kept_{k}") for k in range(len(sources))]
+    known = stored(to_events(classified).observe(made, F.count(F.lit(1)).alias("kept"), F.count_if(F.col("t").isNull()).alias("untimed"), *each))
+    statistics = read_statistics(read.get, made.get, classified)
     events, schemas = known, []
     unknown = classified.where("unknown").select("file", "line", "id", "line_id", "nested", "flat", "names")
     if statistics["unknown"] and learner is not None:
@@ -80,9 +82,7 @@ def load(spark: SparkSession, sources: list[Input | str], learner: Learner | Jud
     loaded = assemble(events)
     loaded.statistics, loaded.schemas = statistics, check_parents(schemas, loaded)
     loaded.duplicates = events.count() - loaded.events.count()
-    counts = {r["file"]: r["n"] for r in classified.groupBy("file").agg(F.count("*").alias("n")).collect()}
-    kept = {r["file"]: r["n"] for r in known.groupBy("file").agg(F.count("*").alias("n")).collect()}
-    loaded.inputs = [{"path": s.path if isinstance(s, Input) else s, "records": counts.get(k, 0), "kept": kept.get(k, 0)} for k, s in enumerate(sources)]
+    loaded.inputs = [{"path": s.path if isinstance(s, Input) else s, "records": statistics["by_input"].get(k, 0), "kept": made.get[f"kept_{k}"]} for k, s in enumerate(sources)]
     return loaded
 
 
