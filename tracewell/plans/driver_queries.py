@@ -16,8 +16,8 @@ from tracewell.operators.dedup import numbered, without_duplicates
 from tracewell.operators.describe import Picture, summaries
 from tracewell.operators.entities import entity_observations, owners_of_addresses
 from tracewell.operators.fold import folded_runs, identical_members, with_upper_median
-from tracewell.operators.identity import resolve_references, start_keys
-from tracewell.operators.links import handle_starts, last_writer, merged, next_start, touching
+from tracewell.operators.identity import Processes, resolve_references, start_keys
+from tracewell.operators.links import handle_starts, last_writer, merged, next_start, process_observations, touching
 from tracewell.operators.tables import stored
 from tracewell.plans.investigate import Options, frontier, investigate, joined, pruned, reachable
 from tracewell.plans.judge import phrase_score
@@ -524,3 +524,36 @@ def context_rows(spark, sf_dir):
     touched = ev.select(F.concat(F.lit("k:"), "k").alias("key"), "seq")
     members = acted.where(F.substring_index("actor", ":", -1).cast("long") < 20).select(F.col("actor").alias("key")).distinct()
     return context_records(SimpleNamespace(acted=acted, entity_events=touched), SimpleNamespace(members=members, decisions=touched.select("key").distinct()))
+
+
+_PROCESSES = EV + """, n AS (SELECT 'p:' || u AS key, 'n' || u AS name, min(t) AS start, min(seq) AS first, CASE WHEN u > 0 THEN 'p:' || (u // 2) END AS parent, CASE WHEN u % 7 = 0 THEN 'p:' || (u // 3) END AS real, CASE WHEN u % 11 = 0 THEN 'p:' || (u // 5 + 1) END AS eff FROM ev GROUP BY u),
+a AS (SELECT seq, t, k, kind, 'p:' || u AS f, 'p:' || k AS g, CASE WHEN k % 3 = 0 THEN 2097151 ELSE 4096 + k END AS m FROM ev),
+i AS (SELECT a.f, a.g, a.t, a.seq, CASE WHEN k % 2 = 1 THEN 'WriteProcessMemory' ELSE 'CreateRemoteThread' END AS step, CASE WHEN coalesce(n.real, n.parent) = a.f AND k % 5 = 0 THEN 'process hollowing' WHEN k % 7 = 0 THEN 'shellcode' END AS technique FROM a LEFT JOIN n ON n.key = a.g WHERE kind = 'click' AND a.f <> a.g
+UNION ALL SELECT coalesce(n.real, n.parent), a.f, a.t, a.seq, 'image replaced', 'process hollowing' FROM a JOIN n ON n.key = a.f WHERE kind = 'view' AND k % 4 = 0 AND coalesce(n.real, n.parent) <> a.f),
+s AS (SELECT f, g, string_agg(step, ' + ' ORDER BY o, step) AS steps FROM (SELECT f, g, step, min(CAST(t AS HUGEINT) * 100000000 + seq) AS o FROM i GROUP BY f, g, step) GROUP BY f, g),
+h AS (SELECT f, g, string_agg(technique, ', ' ORDER BY o, technique) AS techniques FROM (SELECT f, g, technique, min(CAST(t AS HUGEINT) * 100000000 + seq) AS o FROM i WHERE technique IS NOT NULL GROUP BY f, g, technique) GROUP BY f, g)"""
+
+
+@_query(_PROCESSES + """ SELECT 'spawned' AS type, parent AS src, key AS dst, start AS t, first AS seq, NULL AS detail FROM n WHERE parent IS NOT NULL
+UNION ALL SELECT 'spawned', n.real, n.key, n.start, n.first, 'created it posing as a child of ' || coalesce(p.name, 'another process') FROM n LEFT JOIN n p ON p.key = n.parent WHERE n.real IS NOT NULL
+UNION ALL SELECT 'spawned', n.eff, n.key, n.start, n.first, 'had it started through ' || coalesce(p.name, 'a broker') FROM n LEFT JOIN n p ON p.key = n.parent WHERE n.eff IS NOT NULL
+UNION ALL SELECT 'injected', i.f, i.g, i.t, i.seq, steps || coalesce(' (' || techniques || ')', '') FROM i JOIN s ON s.f = i.f AND s.g = i.g LEFT JOIN h ON h.f = i.f AND h.g = i.g
+UNION ALL SELECT 'opened_for_injection', f, g, t, seq, '0x' || lower(to_hex(m)) FROM a WHERE kind = 'error' AND f <> g AND ((m & 2097151) = 2097151 OR (m & 2035711) = 2035711 OR (m & 2) = 2 OR (m & 40) = 40)""")
+def process_links(spark, sf_dir):
+    """Users are processes with three kinds of parents; clicks inject, views tamper, errors open others."""
+    ev = events(spark, sf_dir)
+    p, null = (lambda c: F.concat(F.lit("p:"), c.cast("long"))), lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    u, k = F.col("u"), F.col("k")
+    nodes = ev.groupBy("u").agg(F.min("t").alias("start"), F.min("seq").alias("first_start")).select(
+        p(u).alias("key"), F.concat(F.lit("n"), "u").alias("name"), "start", "first_start", F.when(u > 0, p(F.floor(u / 2))).alias("parent"), F.when(u % 7 == 0, p(F.floor(u / 3))).alias("real_parent"), F.when(u % 11 == 0, p(F.floor(u / 5) + 1)).alias("effective_parent"),
+        F.lit(1).alias("n_starts"), *null("string", "path", "sha256"),
+    )
+    kind = F.create_map(*[F.lit(x) for x in ("click", "inject", "view", "tamper", "error", "process_access")])[F.col("kind")]
+    of = lambda c, what: F.when(F.col("kind") == what, c)
+    rows = ev.select(
+        "seq", "t", kind.alias("kind"), F.lit("edr").alias("source"), of(F.when(k % 2 == 1, "WriteProcessMemory").otherwise("CreateRemoteThread"), "click").alias("api"), (k % 5 == 0).alias("target_suspended"), of(F.when(k % 7 == 0, F.array(F.lit("runs shellcode"))), "click").alias("behaviors"),
+        of(F.when(k % 4 == 0, "Image is REPLACED"), "view").alias("tampering"), of(F.when(k % 3 == 0, 2097151).otherwise(4096 + k), "error").alias("access"), *null("string", "file_path", "file_sha256", "pipe", "launches"), *null("struct<key:string,value:string>", "reg"),
+    )
+    actor, target = ev.select("seq", p(u).alias("key")), ev.where("kind in ('click', 'error')").select("seq", p(k).alias("key"))
+    out = process_observations(rows, Processes(nodes, actor, target)).where("phase < 2")
+    return out.select("type", F.col("from").alias("src"), F.col("to").alias("dst"), "t", "seq", "detail")
