@@ -217,8 +217,8 @@ def _csv(spark: SparkSession, path: str, lines: DataFrame, first: tuple[int, str
     after = lines.where(F.col("line") > first[0])
     full = after.where(~F.col("value").rlike(_BLANK))
     body = full if full.where(~F.col("value").rlike(whole)).isEmpty() else _csv_lines(after, whole)
-    field = rf'(?:^|{d})(?:"((?:[^"]|"")*+)"([^{d}]*+)|([^{d}]*+))'
-    quoted, rest, bare = (F.regexp_extract_all("value", F.lit(field), k) for k in (1, 2, 3))
+    field = rf'{d}(?:"((?:[^"]|"")*+)"([^{d}]*+)|([^{d}]*+))'  # with a delimiter before it, so that no match is empty
+    quoted, rest, bare = (F.regexp_extract_all(F.concat(F.lit(delimiter), "value"), F.lit(field), k) for k in (1, 2, 3))
     cells = F.transform(F.arrays_zip(quoted.alias("q"), rest.alias("r"), bare.alias("b")), lambda x: F.concat(F.replace(x["q"], F.lit('""'), F.lit('"')), x["r"], x["b"]))
     body = body.select("line", cells.alias("cells"))
     known = F.array(*[F.lit(n) for n in names])
