@@ -48,8 +48,8 @@ def carried(rows: DataFrame, key: Sequence[str], order: Sequence[Column], bucket
     so_far, whole = within.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1), within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({f"__v_{n}": c for n, c in (last | total).items()})
     local = {f"__l_{n}": F.last(f"__v_{n}", ignorenulls=True).over(so_far) for n in last} | {f"__l_{n}": F.sum(f"__v_{n}").over(so_far) for n in total}
-    ends = rows.select(*key, BUCKET, *[F.last(f"__v_{n}", ignorenulls=True).over(whole).alias(n) for n in last], *[F.sum(f"__v_{n}").over(whole).alias(n) for n in total])
-    ends = ends.groupBy(*key, BUCKET).agg(*[F.first(n).alias(n) for n in (*last, *total)])
+    ends = rows.withColumns({f"__v_{n}": F.last(f"__v_{n}", ignorenulls=True).over(whole) for n in last}) if last else rows
+    ends = ends.groupBy(*key, BUCKET).agg(*[F.first(f"__v_{n}").alias(n) for n in last], *[F.sum(f"__v_{n}").alias(n) for n in total])
     before = Window.partitionBy(*key).orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     entries = ends.select(*key, BUCKET, *[F.last(n, ignorenulls=True).over(before).alias(f"__e_{n}") for n in last], *[F.sum(n).over(before).alias(f"__e_{n}") for n in total])
     out = _handed(rows.withColumns(local), entries, key, [f"__e_{n}" for n in (*last, *total)])

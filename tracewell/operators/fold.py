@@ -58,7 +58,7 @@ def _with_gaps(rows: DataFrame, key: list[str], t: str, order: str) -> DataFrame
 
 def _with_runs(rows: DataFrame, key: list[str], t: str, order: str, quiet: int) -> DataFrame:
     """with_runs() with ``__gap``, which is null where a run begins."""
-    rows = _with_gaps(rows, key, t, order)
+    rows = stored(_with_gaps(rows, key, t, order))  # read for the usual gaps and for the runs
     usual = with_upper_median(rows.where("__gap is not null"), key, "__gap", "__usual").where("n >= 4")
     rows = _beside(rows, usual, key, "__usual")
     new = F.coalesce(F.col("__gap") > F.greatest(F.lit(quiet), F.coalesce(F.col("__usual") * 3, F.lit(0))), F.lit(False))
@@ -81,7 +81,7 @@ def folded_runs(rows: DataFrame, key: list[str], t: str = "t", order: str = "seq
 
     Without ``split``, ``key`` names the runs already.
     """
-    rows = _with_runs(rows, key, t, order, QUIET) if split else _with_gaps(rows, key, t, order)
+    rows = stored(_with_runs(rows, key, t, order, QUIET) if split else _with_gaps(rows, key, t, order))
     by = [*key, "run"] if split else key
     place = F.struct(F.coalesce(F.col(t), F.lit(_NEVER)), order)
     what = [F.count("*").alias("count"), F.min(t).alias("first_t"), F.max(t).alias("last_t"), F.min_by(order, place).alias("first_seq"), F.max_by(order, place).alias("last_seq")]

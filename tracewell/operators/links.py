@@ -14,6 +14,7 @@ from tracewell.functions.text import launched_paths, path_key, persistence_key
 from tracewell.functions.times import SKEW
 from tracewell.operators.carry import bucket_of, nearest_other
 from tracewell.operators.identity import Processes
+from tracewell.operators.tables import stored
 
 #: A process started this soon after its parent was opened with the right to create processes was started through that handle.
 THROUGH_HANDLE = 5_000_000
@@ -58,6 +59,7 @@ def last_writer(writes: DataFrame, reads: DataFrame, path: str = "path", look_ah
     write, bucket = F.when(F.col("reads") == 0, F.struct("key", "t", "seq")), bucket_of(F.col("t"), None if look_ahead else F.col("seq"))
     rows = nearest_other(rows, ["path"], [at, F.col("reads"), F.col("seq")] if look_ahead else [at, F.col("seq")], bucket, write, "key", "before")
     if look_ahead:
+        rows = stored(rows)
         rows = nearest_other(rows, ["path"], [at.desc(), F.col("reads").desc(), F.col("seq").desc()], bucket, write, "key", "after", descending=True)
         soon = (F.col("after.t") > F.col("t")) & (F.col("after.t") <= F.col("t") + look_ahead)
         best = F.coalesce(F.col("before"), F.when(soon, F.col("after")))
