@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import golden
+from tracewell.plans.report import Report, findings
 from tracewell.sources import sinks
 from tracewell.streaming.ingest import stream_records, write_events
 
@@ -81,3 +82,11 @@ def test_a_chain_of_a_thousand_takes_few_rounds(spark, monkeypatch):
     out = sinks.reading_order(spark.createDataFrame(tree, "key string, place long, parent string")).collect()
     assert {(r["key"], r["depth"], r["nth"]) for r in out} == {(f"k{i}", i, i) for i in range(1000)}
     assert len(tables) - 2 <= 12
+
+
+def test_findings(spark):
+    incident = spark.createDataFrame([("p", "process", (2,)), ("u", "user", None)], "key string, type string, repeats struct<count:int>")
+    counters = {"candidates_asked": 3, "rounds": 1, "near_threshold": 0, "timeline_rows": 2, "timeline_events": 9, "stopped": None}
+    row = findings(Report(incident, incident, incident, counters)).first()
+    assert row["line"] == "3 members: 2 processes and 1 account, host, address or domain · 3 candidates asked over 1 round · 2 timeline rows from 9 events"
+    assert findings(Report(incident.limit(0), incident, incident, counters | {"stopped": "cap", "near_threshold": 1})).first()["line"].startswith("0 members: 0 processes and 0 accounts")

@@ -163,8 +163,29 @@ def report(loaded, found: Investigation, seed: str, confirmed: tuple[str, ...] =
     one = lambda df: df.collect()[0]
     types = {r["type"]: r["count"] for r in loaded.links.groupBy("type").count().collect()}
     near = one(found.decisions.agg(F.count_if("review").alias("n"), F.count_distinct(F.when(F.col("review"), F.concat_ws("|", "request", F.col("probability").cast("string")))).alias("answers")))
+    shown = one(rows.agg(F.sum(F.coalesce("count", F.lit(1))).alias("n"), F.count("*").alias("rows")))
     counters = {
         "events": loaded.acted.count(), "processes": loaded.nodes.where("type = 'process'").count(), "entities": loaded.nodes.where("type <> 'process'").count(), "links": sum(types.values()), "links_by_type": types,
-        "timeline_events": one(rows.agg(F.sum(F.coalesce("count", F.lit(1))).alias("n")))["n"] or 0, "rounds": found.rounds, "candidates_asked": found.history.count(), "near_threshold": near["answers"], "near_threshold_candidates": near["n"], "stopped": found.stopped,
+        "timeline_events": shown["n"] or 0, "timeline_rows": shown["rows"], "rounds": found.rounds, "candidates_asked": found.history.count(), "near_threshold": near["answers"], "near_threshold_candidates": near["n"], "stopped": found.stopped,
     }
     return Report(incident.orderBy(F.coalesce("start", "joined_incident", "first_seen"), "key"), rejected, rows.orderBy(F.col("time").asc_nulls_last(), "input", "line"), counters, context_records(loaded, found) if context else None)
+
+
+def findings(found: Report) -> DataFrame:
+    """One row on what was found, with a ``line`` that says it: members, processes and others among them, candidates
+    asked about, rounds, answers near the threshold, rows of the timeline and the events that they stand for, why it ended early."""
+    c = found.counters
+    told = {k: c[k] for k in ("candidates_asked", "rounds", "near_threshold", "timeline_rows", "timeline_events")}
+    stands_for = F.coalesce(F.col("repeats.count"), F.lit(1)).cast("long")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    row = found.incident.agg(total(stands_for).alias("members"), total(F.when(F.col("type") == "process", stands_for)).alias("processes"))
+    row = row.select("members", "processes", (F.col("members") - F.col("processes")).alias("others"), *[F.lit(v).cast("long").alias(k) for k, v in told.items()], F.lit(c["stopped"]).cast("string").alias("stopped"))
+    number = lambda name, one, many: F.concat(F.col(name).cast("string"), F.when(F.col(name) == 1, f" {one}").otherwise(f" {many}"))
+    parts = [
+        F.concat(number("members", "member", "members"), F.lit(": "), number("processes", "process", "processes"), F.lit(" and "), number("others", "account, host, address or domain", "accounts, hosts, addresses or domains")),
+        F.concat(number("candidates_asked", "candidate asked", "candidates asked"), F.lit(" over "), number("rounds", "round", "rounds")),
+        F.when(F.col("near_threshold") > 0, number("near_threshold", "answer to review", "answers to review")),
+        F.concat(number("timeline_rows", "timeline row", "timeline rows"), F.lit(" from "), number("timeline_events", "event", "events")),
+        F.concat(F.lit("stopped early: "), "stopped"),
+    ]
+    return row.withColumn("line", F.concat_ws(" · ", *parts))
