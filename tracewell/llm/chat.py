@@ -39,14 +39,21 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
 
 
 def exchanges_as_calls(messages: DataFrame, tool: str = "reply") -> DataFrame:
-    """The same rows from plain conversations: a user's turn calls ``tool``, the assistant's next turn is its result."""
+    """The same rows from plain conversations: a user's turn calls ``tool``, the assistant's next turn is its result.
+
+    A call needs the one whose result stands directly before it: that of two turns earlier, if both it and its result
+    are there.
+    """
     turn = F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
     kind = F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("message")
     is_call = F.col("role") == "user"
     arguments = F.parse_json(F.to_json(F.struct(F.col("text"), F.col("turn"))))
-    return messages.select(
-        "conv_id", "turn", "role", kind.alias("kind"), F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string")).alias("call_id"), F.when(is_call, F.lit(tool)).alias("name"),
-        F.when(is_call, arguments).alias("arguments"), F.lit(None).cast("array<string>").alias("needs"), F.when(~F.coalesce(is_call, F.lit(False)), F.col("text")).alias("content"),
+    name = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))
+    answered = messages.where("role in ('user', 'assistant')").select("conv_id", turn.alias("asked"), "role").groupBy("conv_id", "asked").agg(F.count_distinct("role").alias("n")).where("n = 2")
+    rows = messages.select("conv_id", "turn", "role", "text", F.when(is_call, F.col("turn") - 2).otherwise(F.col("turn")).alias("asked")).join(answered, ["conv_id", "asked"], "left")
+    return rows.select(
+        "conv_id", "turn", "role", kind.alias("kind"), name(turn).alias("call_id"), F.when(is_call, F.lit(tool)).alias("name"),
+        F.when(is_call, arguments).alias("arguments"), F.when(is_call & (F.col("n") == 2), F.array(name(F.col("asked")))).alias("needs"), F.when(~F.coalesce(is_call, F.lit(False)), F.col("text")).alias("content"),
     )
 
 
@@ -81,22 +88,42 @@ def schema_error(name: Column, arguments: Column, schemas: Mapping[str, Mapping]
 def _levels(calls: DataFrame) -> DataFrame:
     """conv_id, call_id, level: 0 for calls that need nothing, else one more than the highest that they need.
 
-    A round settles all calls whose needs are settled, so rounds are as many as the longest chain of needs; calls with
-    a need that is missing or part of a circle stay without a level.
+    Each call has terms: its level is at least ``more``, or at least ``more`` above the level of ``need``. A round puts the
+    terms of a needed call in its place if it has but one open need, so paths double: a chain or tree takes as many rounds
+    as its depth has binary digits, and only calls with several open needs wait for them. Of equal needs the largest
+    term stays, so terms never grow in number. A path longer than there are calls is a circle; calls with a need that is
+    missing or part of a circle stay without a level. One call that very many need is a skewed join, nothing else.
     """
-    needs = stored(calls.select("conv_id", "call_id", F.explode("needs").alias("need")).where("need is not null").distinct())
-    waiting = needs.select("conv_id", "call_id").distinct()
-    done = stored(calls.select("conv_id", "call_id").distinct().join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    level = 0
-    while not waiting.isEmpty():
-        level += 1
-        met = needs.join(waiting, ["conv_id", "call_id"]).join(done.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"], "left")
-        ready = stored(met.groupBy("conv_id", "call_id").agg(F.count_if(F.col("level").isNull()).alias("open")).where("open = 0").select("conv_id", "call_id", F.lit(level).alias("level")))
-        if ready.isEmpty():
+    key, need_key = ["conv_id", "call_id"], ["conv_id", "need"]
+    ids = stored(calls.select(*key).distinct())
+    never = ids.count() + 1
+    known = ids.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("known"))
+    needs = calls.select(*key, F.explode("needs").alias("need")).where("need is not null").join(known, need_key, "left")
+    needs = needs.select(*key, F.when(F.col("known"), F.col("need")).alias("need"), F.when(F.col("known"), F.lit(1)).otherwise(never).cast("long").alias("more"))
+    terms = _merged(ids.select(*key, F.lit(None).cast("string").alias("need"), F.lit(0).cast("long").alias("more")).union(needs), never)
+    while True:
+        is_open = F.col("need").isNotNull()
+        state = terms.groupBy(*key).agg(
+            F.max(F.when(~is_open, F.col("more"))).alias("base"), F.count_if(is_open).alias("n_open"), F.max(F.when(is_open, F.struct("need", "more"))).alias("onward")
+        ).select("conv_id", F.col("call_id").alias("need"), "base", "n_open", "onward")
+        met = stored(terms.where(is_open).join(state, need_key))
+        if met.where("n_open <= 1").isEmpty():
             break
-        done = done.union(ready)
-        waiting = stored(waiting.join(ready, ["conv_id", "call_id"], "left_anti"))
-    return done
+        none = F.lit(None).cast("string")
+        put = F.when(F.col("n_open") > 1, F.array(F.struct("need", "more"))).otherwise(F.array_compact(F.array(
+            F.struct(none.alias("need"), (F.col("base") + F.col("more")).alias("more")), F.when(F.col("n_open") == 1, F.struct(F.col("onward.need").alias("need"), (F.col("onward.more") + F.col("more")).alias("more"))),
+        )))
+        terms = _merged(terms.where(~is_open).union(met.select(*key, F.inline(put))), never)
+    return terms.groupBy(*key).agg(F.max("more").alias("level"), F.max("need").alias("open")).where(F.col("open").isNull() & (F.col("level") < never)).select(*key, "level")
+
+
+def _merged(terms: DataFrame, never: int) -> DataFrame:
+    """The largest term for each need; a need of itself or over too long a path is never met, and a call with one has no open needs."""
+    circle = F.col("need").isNotNull() & ((F.col("need") == F.col("call_id")) | (F.col("more") >= never))
+    told = terms.select("conv_id", "call_id", F.when(~circle, F.col("need")).alias("need"), F.when(circle, F.lit(never)).otherwise(F.least("more", F.lit(never))).cast("long").alias("more"))
+    largest = told.groupBy("conv_id", "call_id", "need").agg(F.max("more").alias("more"))
+    lost = largest.where(F.col("need").isNull() & (F.col("more") >= never)).select("conv_id", "call_id", F.lit(True).alias("lost"))
+    return stored(largest.join(lost, ["conv_id", "call_id"], "left").where("lost is null or need is null").drop("lost"))
 
 
 def linked(rows: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:

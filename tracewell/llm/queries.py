@@ -171,12 +171,16 @@ m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_s
 CAST(length(array_to_string(w, '')) - length(array_to_string(regexp_extract_all(array_to_string(good, chr(10)), {_W}), '')) AS BIGINT) AS n_lost FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_lost <= word_chars * 0.5 AND n_symbols * 10 < n_words * 3 AS kept FROM m"""
 
+#: Calls stand in a row while each has its result and the next call is two turns on; the place in the row is the level.
 _OP10 = """WITH c AS (SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, conv_id || ':' || CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call_id FROM conversations),
-a AS (SELECT call_id, count(*) AS n FROM c WHERE kind = 'call' GROUP BY 1), b AS (SELECT call_id, count(*) AS n FROM c WHERE kind = 'result' GROUP BY 1)
+a AS (SELECT call_id, count(*) AS n FROM c WHERE kind = 'call' GROUP BY 1), b AS (SELECT call_id, count(*) AS n FROM c WHERE kind = 'result' GROUP BY 1),
+u AS (SELECT DISTINCT c.conv_id, c.turn, c.call_id, b.call_id IS NOT NULL AS answered FROM c LEFT JOIN b ON b.call_id = c.call_id WHERE kind = 'call'),
+w AS (SELECT u.*, CASE WHEN o.call_id IS NULL THEN u.turn END AS head FROM u LEFT JOIN u AS o ON o.conv_id = u.conv_id AND o.turn = u.turn - 2 AND o.answered),
+l AS (SELECT call_id, (turn - max(head) OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn)) // 2 AS level FROM w)
 SELECT conv_id, turn, kind, c.call_id, CASE WHEN kind = 'call' THEN coalesce(b.n, 0) END AS n_results, coalesce((kind = 'call' AND b.n > 0) OR (kind = 'result' AND a.n > 0), FALSE) AS linked,
-CAST(CASE WHEN kind = 'call' THEN 0 WHEN kind = 'result' AND a.n > 0 THEN 1 END AS BIGINT) AS step, CASE WHEN kind = 'call' AND text IS NULL THEN 'text is missing' WHEN kind = 'call' AND length(text) < 1 THEN 'text is too short' WHEN kind = 'result' AND a.n IS NULL THEN 'result without call' END AS error,
+CAST(CASE WHEN kind = 'call' THEN 2 * l.level WHEN kind = 'result' THEN 2 * l.level + 1 END AS BIGINT) AS step, CASE WHEN kind = 'call' AND text IS NULL THEN 'text is missing' WHEN kind = 'call' AND length(text) < 1 THEN 'text is too short' WHEN kind = 'result' AND a.n IS NULL THEN 'result without call' END AS error,
 CASE kind WHEN 'call' THEN '{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(c.call_id) || ',"name":"reply","type":"tool_call"}' WHEN 'result' THEN '{"content":' || to_json(text) || ',"role":"tool","tool_call_id":' || to_json(c.call_id) || '}' ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
-FROM c LEFT JOIN a ON a.call_id = c.call_id LEFT JOIN b ON b.call_id = c.call_id"""
+FROM c LEFT JOIN a ON a.call_id = c.call_id LEFT JOIN b ON b.call_id = c.call_id LEFT JOIN l ON l.call_id = c.call_id"""
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TEMPLATES = " UNION ALL ".join(f"SELECT {k} AS k, '{label}' AS label, {len(t.split()) + licenses.SLACK} AS width, {sorted(set(t.split()))} AS words" for k, (t, label) in enumerate(licenses.TEMPLATES.items()))
