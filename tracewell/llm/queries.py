@@ -183,14 +183,14 @@ CASE kind WHEN 'call' THEN '{"arguments":{"text":' || to_json(text) || ',"turn":
 FROM c LEFT JOIN a ON a.call_id = c.call_id LEFT JOIN b ON b.call_id = c.call_id LEFT JOIN l ON l.call_id = c.call_id"""
 
 _FOLDED = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-_TEMPLATES = " UNION ALL ".join(f"SELECT {k} AS k, '{label}' AS label, {len(t.split()) + licenses.SLACK} AS width, {sorted(set(t.split()))} AS words" for k, (t, label) in enumerate(licenses.TEMPLATES.items()))
+_TEMPLATES = " UNION ALL ".join(f"SELECT {k} AS k, '{label}' AS label, {len(t.split()) + licenses.SLACK} AS width, {sorted(set(t.split()))} AS words, CAST({licenses.in_place(t)} AS VARCHAR[]) AS named" for k, (t, label) in enumerate(licenses.TEMPLATES.items()))
 _PHRASES = " UNION ALL ".join(f"SELECT {p.split()} AS words, '{label}' AS label" for p, label in licenses.PHRASES.items())
 _OP1 = f"""WITH d AS (SELECT doc_id, text, {_FOLDED} AS w FROM documents), t AS ({_TEMPLATES}), p AS ({_PHRASES}),
 q AS (SELECT doc_id, label, i - 1 AS pos FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN p ON list_slice(w, i, i + len(words) - 1) = words),
 base AS (SELECT doc_id, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word FROM q GROUP BY doc_id),
-runs AS (SELECT doc_id, p, k, label, words, len(list_intersect(list_distinct(list_slice(w, p, p + width - 1)), words)) / len(words) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) JOIN t ON list_contains(words, w[p])),
-met AS (SELECT * FROM runs WHERE c >= 0.9),
-best AS (SELECT * FROM met a WHERE NOT EXISTS (SELECT 1 FROM met b WHERE a.doc_id = b.doc_id AND abs(a.p - b.p) < {max(len(t.split()) for t in licenses.TEMPLATES) + licenses.SLACK} AND (b.c > a.c OR (b.c = a.c AND len(b.words) > len(a.words) AND list_has_all(b.words, a.words))))),
+runs AS (SELECT doc_id, p, k, label, words, width, named, ' ' || array_to_string(list_slice(w, p, p + width - 1), ' ') || ' ' AS block, len(list_intersect(list_distinct(list_slice(w, p, p + width - 1)), words)) / len(words) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d) JOIN t ON list_contains(words, w[p])),
+met AS (SELECT doc_id, p, k, label, words, width, c, len(named) AS named FROM runs WHERE c >= 0.9 AND len(list_filter(named, lambda x: NOT contains(block, ' ' || x || ' '))) = 0),
+best AS (SELECT * FROM met a WHERE a.named > 0 OR NOT EXISTS (SELECT 1 FROM met b WHERE a.doc_id = b.doc_id AND b.p < a.p + a.width AND a.p < b.p + b.width AND (b.c > a.c OR (b.c = a.c AND len(b.words) > len(a.words) AND list_has_all(b.words, a.words))))),
 own AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM best UNION ALL SELECT doc_id, label FROM q) GROUP BY doc_id),
 named AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM q GROUP BY doc_id), score AS (SELECT doc_id, max(c) AS c FROM met GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, first_word, last_word, coalesce(named.labels, '') AS base_labels, coalesce(own.labels, '') AS labels, CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(score.c, 0.0) END AS score
