@@ -63,7 +63,8 @@ def test_long_chain_takes_few_rounds(spark, monkeypatch):
 def test_exchanges_need_the_result_before(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "c"), (1, 4, "assistant", "d"), (1, 5, "user", "e"), (1, 7, "user", "no result before"), (2, 2, "assistant", "no call"), (2, 3, "user", "f"), (3, None, "user", "g"), (None, 1, "user", None), (1, 3, "user", "c")]
     tools = {"reply": {"properties": {"text": {"type": "string"}}, "required": ["text"]}}
-    out = chat.linked(chat.exchanges_as_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), tools).collect()
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.linked(chat.exchanges_as_calls(messages), tools, chat.exchange_needs(messages)).collect()
     step = {(r["conv_id"], r["turn"]): r["step"] for r in out}
     assert [step[1, t] for t in (0, 1, 2, 3, 4, 5, 7)] == [None, 0, 1, 2, 3, 4, 0] and step[2, 2] is None and step[2, 3] == 0 and len(out) == len(rows)
     text = "long " * 400_000

@@ -41,22 +41,37 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
 def exchanges_as_calls(messages: DataFrame, tool: str = "reply") -> DataFrame:
     """The same rows from plain conversations: a user's turn calls ``tool``, the assistant's next turn is its result.
 
-    A call needs the one whose result stands directly before it: that of two turns earlier, if both it and its result
-    are there.
+    What calls need is told by exchange_needs(), so that texts aren't shuffled for it.
     """
-    turn = F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
+    turn = _asked()
     kind = F.when(F.col("role") == "user", "call").when(F.col("role") == "assistant", "result").otherwise("message")
     is_call = F.col("role") == "user"
     arguments = F.parse_json(F.to_json(F.struct(F.col("text"), F.col("turn"))))
-    name = lambda t: F.concat(F.col("conv_id").cast("string"), F.lit(":"), t.cast("string"))
-    answered = messages.where("role in ('user', 'assistant')").select("conv_id", turn.alias("asked"), "role").groupBy("conv_id", "asked").agg(F.count_distinct("role").alias("n")).where("n = 2")
-    rows = messages.select("conv_id", "turn", "role", "text", F.when(is_call, F.col("turn") - 2).otherwise(F.col("turn")).alias("asked")).join(answered, ["conv_id", "asked"], "left")
-    return rows.select(
-        "conv_id", "turn", "role", kind.alias("kind"), name(turn).alias("call_id"), F.when(is_call, F.lit(tool)).alias("name"),
-        F.when(is_call, arguments).alias("arguments"), F.when(is_call & (F.col("n") == 2), F.array(name(F.col("asked")))).alias("needs"), F.when(~F.coalesce(is_call, F.lit(False)), F.col("text")).alias("content"),
+    return messages.select(
+        "conv_id", "turn", "role", kind.alias("kind"), _exchange(turn).alias("call_id"), F.when(is_call, F.lit(tool)).alias("name"),
+        F.when(is_call, arguments).alias("arguments"), F.lit(None).cast("array<string>").alias("needs"), F.when(~F.coalesce(is_call, F.lit(False)), F.col("text")).alias("content"),
     )
 
 
+def _asked() -> Column:
+    return F.when(F.col("role") == "user", F.col("turn")).when(F.col("role") == "assistant", F.col("turn") - 1)
+
+
+def _exchange(turn: Column) -> Column:
+    return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+
+
+def exchange_needs(messages: DataFrame) -> DataFrame:
+    """conv_id, call_id, need of plain conversations: a call needs the one whose result stands directly before it.
+
+    That is the call of two turns earlier, if both it and its result are there.
+    """
+    turns = messages.where("role in ('user', 'assistant')").select("conv_id", _asked().alias("asked"), "role")
+    told = turns.groupBy("conv_id", "asked").agg(F.bool_or(F.col("role") == "user").alias("called"), F.count_distinct("role").alias("n"))
+    before = told.where("n = 2").select("conv_id", (F.col("asked") + 2).alias("asked"))
+    return told.where("called").join(before, ["conv_id", "asked"]).select("conv_id", _exchange(F.col("asked")).alias("call_id"), _exchange(F.col("asked") - 2).alias("need"))
+
+
 def schema_error(name: Column, arguments: Column, schemas: Mapping[str, Mapping]) -> Column:
     """What is wrong with a call's arguments, null if nothing is.
 
@@ -85,7 +100,7 @@ def schema_error(name: Column, arguments: Column, schemas: Mapping[str, Mapping]
     return out
 
 
-def _levels(calls: DataFrame) -> DataFrame:
+def _levels(calls: DataFrame, more_needs: DataFrame | None = None) -> DataFrame:
     """conv_id, call_id, level: 0 for calls that need nothing, else one more than the highest that they need.
 
     Each call has terms: its level is at least ``more``, or at least ``more`` above the level of ``need``. A round puts the
@@ -98,7 +113,8 @@ def _levels(calls: DataFrame) -> DataFrame:
     ids = stored(calls.select(*key).distinct())
     never = ids.count() + 1
     known = ids.select("conv_id", F.col("call_id").alias("need"), F.lit(True).alias("known"))
-    needs = calls.select(*key, F.explode("needs").alias("need")).where("need is not null").join(known, need_key, "left")
+    needs = calls.select(*key, F.explode("needs").alias("need"))
+    needs = (needs if more_needs is None else needs.union(more_needs.select(*key, "need"))).where("need is not null").join(known, need_key, "left")
     needs = needs.select(*key, F.when(F.col("known"), F.col("need")).alias("need"), F.when(F.col("known"), F.lit(1)).otherwise(never).cast("long").alias("more"))
     terms = _merged(ids.select(*key, F.lit(None).cast("string").alias("need"), F.lit(0).cast("long").alias("more")).union(needs), never)
     while True:
@@ -126,9 +142,11 @@ def _merged(terms: DataFrame, never: int) -> DataFrame:
     return stored(largest.join(lost, ["conv_id", "call_id"], "left").where("lost is null or need is null").drop("lost"))
 
 
-def linked(rows: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
+def linked(rows: DataFrame, schemas: Mapping[str, Mapping], needs: DataFrame | None = None) -> DataFrame:
     """Link, order, validate and serialise rows as parsed_messages() makes them.
 
+    ``needs``: conv_id, call_id, need of calls of ``rows``, beside those in the rows.
+
     Returns conv_id, turn, kind, call_id, ``n_results`` (of the call), ``linked`` (a call with a result, a result with a
     call; false for plain messages), ``step`` (2 * level for calls, one more for their results; by (step, turn) each
     call follows the results that it needs; null for messages and what can't be ordered), ``error`` (null: valid) and
@@ -143,7 +161,7 @@ def linked(rows: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
     calls = rows.where("kind = 'call' and conv_id is not null and call_id is not null").select(*key, "turn", "args", "needs")
     ids = calls.groupBy(*key).agg(F.min(F.struct("turn", "args")).alias("first"), F.count("*").alias("n_calls"))
     results = rows.where("kind = 'result' and conv_id is not null and call_id is not null").groupBy(*key).agg(F.count("*").alias("n_results"))
-    link = ids.join(results, key, "full").join(_levels(calls), key, "left")
+    link = ids.join(results, key, "full").join(_levels(calls, needs), key, "left")
     out = rows.join(link, key, "left")
     call, result = F.col("kind") == "call", F.col("kind") == "result"
     n_calls, n_results = F.coalesce("n_calls", F.lit(0)), F.coalesce("n_results", F.lit(0))

@@ -69,7 +69,8 @@ REPLY = {"reply": {"properties": {"text": {"type": "string", "minLength": 1}, "t
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked(chat.exchanges_as_calls(_table(spark, sf_dir, "conversations")), REPLY)
+    messages = _table(spark, sf_dir, "conversations")
+    return chat.linked(chat.exchanges_as_calls(messages), REPLY, chat.exchange_needs(messages))
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
