@@ -90,3 +90,20 @@ def test_findings(spark):
     row = findings(Report(incident, incident, incident, counters)).first()
     assert row["line"] == "3 members: 2 processes and 1 account, host, address or domain · 3 candidates asked over 1 round · 2 timeline rows from 9 events"
     assert findings(Report(incident.limit(0), incident, incident, counters | {"stopped": "cap", "near_threshold": 1})).first()["line"].startswith("0 members: 0 processes and 0 accounts")
+
+
+def test_chunks_hold_whole_lines_within_the_budget(spark):
+    rng = random.Random(8)
+    times = [f"2026-01-{rng.randint(1, 2):02d}T00:{rng.randint(0, 3):02d}:{rng.randint(0, 59):02d}Z" for _ in range(400)] + [None, None]
+    rows = [(t, "h", "a.exe", None, "m", "inject", "x" * rng.choice([0, 1, 5, 20, 90, 300]), str(i), None, None, None) for i, t in enumerate(times)]
+    out = [r.asDict() for r in sinks.telemetry_lines(spark.createDataFrame(rows, ROW), 200).collect()]
+    assert sorted(r["event_id"] for r in out) == sorted(str(i) for i in range(len(rows)))
+    chunks = {}
+    for r in sorted(out, key=lambda r: (r["day"] or "", times[int(r["event_id"])] or "", r["event_id"])):
+        chunks.setdefault(r["day"], []).append((r["chunk"], len(r["line"]) + 1))
+    for told in chunks.values():
+        assert [c for c, _ in told] == sorted(c for c, _ in told)
+        for chunk in {c for c, _ in told}:
+            sizes = [n for c, n in told if c == chunk]
+            assert sum(sizes) <= 200 or len(sizes) == 1
+    assert sinks.telemetry_lines(spark.createDataFrame([], ROW)).count() == 0

@@ -120,12 +120,20 @@ def reading_order(tree: DataFrame) -> DataFrame:
 def telemetry_lines(events: DataFrame, budget: int = 100_000) -> DataFrame:
     """Readable lines of starts, injections, handles, executable writes, autostarts and installs, cut into chunks.
 
-    ``chunk``: by characters so far within a day, so that numbering is spread over days.
+    ``chunk`` rises along (time, event_id) within a day. Lines are whole and the lines of a chunk have at most ``budget``
+    characters, each with its line break; a line of over half of that stands alone, even if it is longer. Characters so far
+    are summed up by minutes, so a busy day is spread over its minutes.
     """
     line = F.concat_ws(" ", "time", "host", "kind", F.coalesce("process", "entity"), "detail")
-    rows = events.withColumn("line", line).withColumn("day", F.substring("time", 1, 10))
-    upto = F.sum(F.char_length("line") + 1).over(Window.partitionBy("day").orderBy("time", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("day", F.floor((upto - 1) / budget).alias("chunk"), "event_id", "line")
+    rows = events.select("event_id", "time", line.alias("line"), F.substring("time", 1, 10).alias("day"))
+    rows = rows.withColumn("size", F.char_length("line").cast("long") + 1)
+    alone = F.col("size") > budget // 2
+    longest = rows.where(~alone).groupBy(F.col("day").alias("__day")).agg(F.max("size").alias("longest"))
+    rows = carried(rows, ["day"], [F.col(c).asc() for c in ("time", "event_id", "line")], F.substring("time", 1, 16), total={"before": F.when(alone, 0).otherwise(F.col("size")), "n_alone": alone.cast("long")}, inclusive=False)
+    rows = rows.join(longest, F.col("day").eqNullSafe(F.col("__day")), "left")
+    # Lines that begin within such a width end within the budget; a line that stands alone takes a number, and the next lines a new one.
+    width = budget - F.coalesce("longest", F.lit(0))
+    return rows.select("day", (F.floor(F.col("before") / width) + 2 * F.col("n_alone") + alone.cast("long")).alias("chunk"), "event_id", "line")
 
 
 def batching_difference(alone: DataFrame, batched: DataFrame, threshold: float = 0.8) -> DataFrame:
