@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.operators.tables import stored
 from tracewell.plans.asking import Asker, Model
-from tracewell.plans.learn import KINDS, MENUS, flattened, profiles_frame
+from tracewell.plans.learn import KINDS, MENUS, flattened, heads_and_fields
 
 MAX_QUESTIONS, MAX_BYTES = 60, 240 * 1024
 #: Characters of a name in a request whose full form is too long.
@@ -66,10 +66,8 @@ def groups_of(rows: DataFrame) -> DataFrame:
     grp, type_name, type_value, count, sources, example (fields of the first record), fields (those that a fifth of
     the records have, by name: label, name, samples, looks), fingerprint.
     """
-    heads = rows.groupBy("grp").agg(
-        F.count("*").alias("count"), F.min("type_name").alias("type_name"), F.min("type_value").alias("type_value"), F.slice(F.sort_array(F.collect_set("file")), 1, 3).alias("sources"), F.min_by("fields", F.struct("file", "line")).alias("example"),
-    )
-    used = profiles_frame(rows).join(heads.select("grp", F.col("count").alias("of")), "grp").where(F.col("count") >= F.col("of") * USED)
+    heads, fields = heads_and_fields(rows)
+    used = fields.join(heads.select("grp", F.col("count").alias("of")), "grp").where(F.col("count") >= F.col("of") * USED)
     fields = used.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("name", "samples", "looks"))).alias("found"))
     fields = fields.select("grp", F.transform("found", lambda f, i: F.struct(F.concat(F.lit("F"), (i + 1).cast("string")).alias("label"), f["name"].alias("name"), f["samples"].alias("samples"), f["looks"].alias("looks"))).alias("fields"))
     out = heads.join(fields, "grp", "left").withColumn("fields", F.coalesce("fields", F.array().cast(fields.schema["fields"].dataType)))
