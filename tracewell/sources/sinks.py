@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions.text import basename
@@ -12,6 +13,8 @@ from tracewell.operators.tables import stored
 
 #: Places of a bucket of siblings.
 SIBLINGS = 10_000
+#: Members of a block along (place, key); members of BLOCK places in a row are sorted together.
+BLOCK = 100_000
 
 # Rungs of the pyramid of pain and the tactics of a mapping.
 LEVELS = {"hash": "trivial", "ip": "easy", "domain": "simple", "artifact": "annoying", "tool": "challenging"}
@@ -94,27 +97,83 @@ def chain(members: DataFrame, via: DataFrame) -> DataFrame:
 
 
 def reading_order(tree: DataFrame) -> DataFrame:
-    """``tree`` (key, place, parent) with depth and nth, in as many rounds as the size has binary digits, however deep it is.
+    """``tree`` (key, place, parent) with depth and nth, with work in proportion to its size, however deep it is.
 
-    Reading goes down into each member and up again. Every step knows the next one; in each round a step takes on what the
-    step that it points to has summed up and points to where that one did, so it looks twice as far.
+    A parent has an earlier place, so along (place, key) members are cut into blocks, and no way up to a root enters a block
+    twice. Sums along ways within a block are one loop of a task. What is left is a tree of the members whose parent is in
+    another block (tops), no deeper than there are blocks; on it ways are doubled.
     """
-    order = [F.col("place").desc(), F.col("key").desc()]
-    rows = carried(tree, ["parent"], order, F.floor(F.col("place") / SIBLINGS).cast("long"), last={"sibling": F.col("key")}, inclusive=False, descending=True)
-    firsts = tree.where("parent is not null").groupBy(F.col("parent").alias("__of")).agg(F.min_by("key", F.struct("place", "key")).alias("child"))
-    rows = stored(rows.join(firsts, F.col("key") == F.col("__of"), "left"))
-    step = lambda way, key: F.concat(F.lit(way), key)
-    down = rows.select(step("d", F.col("key")).alias("at"), F.coalesce(step("d", F.col("child")), step("u", F.col("key"))).alias("to"), F.lit(1).cast("long").alias("downs"), F.lit(1).cast("long").alias("depth"))
-    up = rows.select(step("u", F.col("key")).alias("at"), F.coalesce(step("d", F.col("sibling")), step("u", F.col("parent"))).alias("to"), F.lit(0).cast("long").alias("downs"), F.lit(-1).cast("long").alias("depth"))
-    steps = stored(down.unionByName(up))
-    while not steps.where("to is not null").isEmpty():
-        ahead = steps.select(F.col("at").alias("to"), F.col("to").alias("beyond"), F.col("downs").alias("more"), F.col("depth").alias("deeper"))
-        steps = stored(steps.join(ahead, "to", "left").select("at", F.col("beyond").alias("to"), (F.col("downs") + F.coalesce("more", F.lit(0))).alias("downs"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")))
-    # From a step down to the end: as many members are still to come, and as many steps up as down are missing.
-    sums = steps.where(F.col("at").startswith("d")).select(F.expr("substr(at, 2)").alias("__key"), F.col("downs").alias("__left"), (-F.col("depth")).alias("depth"))
-    size = tree.agg(F.count("*").alias("__all"))
-    out = tree.join(sums, F.col("key") == F.col("__key")).join(F.broadcast(size))
-    return out.withColumn("nth", F.col("__all") - F.col("__left")).drop("__key", "__left", "__all")
+    part = F.floor(F.col("place") / BLOCK)
+    at = F.row_number().over(Window.partitionBy("__part").orderBy("place", "key")) - 1
+    rows = tree.withColumn("__part", part).withColumn("__at", at).select("key", "place", "parent", (F.col("__part") * 2**20 + F.floor(F.col("__at") / BLOCK)).cast("long").alias("block"), (F.col("__at") % BLOCK).cast("int").alias("i"))
+    rows = stored(rows)
+    up = rows.select(F.col("key").alias("parent"), F.col("block").alias("up_block"), F.col("i").alias("up_i"))
+    # Whose parent isn't an earlier member of the block is a top, so that trees whose places don't rise are read too.
+    near = (F.col("up_block") == F.col("block")) & (F.col("up_i") < F.col("i"))
+    rows = stored(rows.join(up, "parent", "left").select("key", "place", "parent", "block", "i", F.when(near, F.col("up_i")).otherwise(-1).alias("up"), F.lit(1).cast("long").alias("size")))
+
+    # Sizes: of each top what is below it in its block, then what hangs below that in other blocks.
+    below = stored(_in_blocks(rows, "size", down=True))
+    node = below.select(F.col("key").alias("parent"), F.col("top").alias("over"))
+    tops = stored(below.where("up < 0").join(node, "parent", "left").select("key", "parent", F.col("sum").alias("own"), "over"))
+    whole = _below(tops.select("key", "own", "over"))
+    hung = tops.where("parent is not null").join(whole, "key").groupBy(F.col("parent").alias("key")).agg(F.sum("total").alias("hung"))
+    rows = rows.join(hung, "key", "left").withColumn("size", F.col("size") + F.coalesce("hung", F.lit(0))).drop("hung")
+    sized = stored(_in_blocks(rows, "size", down=True).select("key", "place", "parent", "block", "i", "up", F.col("sum").alias("size")))
+
+    # Steps from a parent to a member when read aloud: itself and all that its earlier siblings hold.
+    sibling = F.floor(F.col("place") / SIBLINGS).cast("long")
+    steps = carried(sized, ["parent"], [F.col("place"), F.col("key")], sibling, total={"step": F.col("size")}, inclusive=False).withColumn("step", F.col("step") + 1)
+    ways = stored(_in_blocks(steps, "step", down=False))
+    node = ways.select(F.col("key").alias("parent"), F.col("top").alias("over"), F.col("sum").alias("steps"), F.col("ups").alias("ups"))
+    tops = ways.where("up < 0 and parent is not null").select("key", "parent").join(node, "parent").select("key", "over", "steps", "ups")
+    entered = _above(stored(tops)).select(F.col("key").alias("top"), F.col("steps").alias("__steps"), F.col("ups").alias("__ups"))
+    out = ways.join(entered, "top", "left")
+    return out.select("key", "place", "parent", (F.col("ups") + F.coalesce("__ups", F.lit(0)) - 1).alias("depth"), (F.col("sum") + F.coalesce("__steps", F.lit(0)) - 1).alias("nth"))
+
+
+def _in_blocks(rows: DataFrame, value: str, down: bool) -> DataFrame:
+    """``rows`` with sums of ``value`` within their block: over all below a member or, if not ``down``, along its way to its top;
+    ``top`` (the last member of that way) and ``ups`` (the members on it)."""
+    schema = pa.schema([("key", pa.string()), ("place", pa.int64()), ("parent", pa.string()), ("up", pa.int32()), ("block", pa.int64()), ("i", pa.int32()), ("top", pa.string()), ("sum", pa.int64()), ("ups", pa.int64())])
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("i")
+        keys, ups, sums = block.column("key").to_pylist(), block.column("up").to_pylist(), block.column(value).to_pylist()
+        tops, n = list(keys), [1] * len(keys)
+        for i, up in enumerate(ups):
+            if up >= 0:
+                tops[i], n[i] = tops[up], n[up] + 1
+                if not down:
+                    sums[i] += sums[up]
+        if down:
+            for i in range(len(ups) - 1, -1, -1):
+                if ups[i] >= 0:
+                    sums[ups[i]] += sums[i]
+        made = [pa.array(tops, type=pa.string()), pa.array(sums, type=pa.int64()), pa.array(n, type=pa.int64())]
+        return pa.table([*(block.column(c).cast(schema.field(c).type) for c in schema.names[:6]), *made], schema=schema)
+
+    told = rows.select("key", F.col("place").cast("long").alias("place"), "parent", F.col("up").cast("int").alias("up"), "block", "i", F.col(value).cast("long").alias(value))
+    kind = "key string, place long, parent string, up int, block long, i int, top string, sum long, ups long"
+    return told.groupBy("block").applyInArrow(run, kind)
+
+
+def _below(tops: DataFrame) -> DataFrame:
+    """key, total: ``own`` of all of ``tops`` (key, own, over) that are below each or itself, in rounds that look twice as far."""
+    tops = tops.select("key", F.col("own").alias("total"), "over")
+    while not tops.where("over is not null").isEmpty():
+        from_below = tops.where("over is not null").groupBy(F.col("over").alias("key")).agg(F.sum("total").alias("more"))
+        ahead = tops.select(F.col("key").alias("over"), F.col("over").alias("beyond"))
+        tops = stored(tops.join(from_below, "key", "left").join(ahead, "over", "left").select("key", (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), F.col("beyond").alias("over")))
+    return tops.select("key", "total")
+
+
+def _above(tops: DataFrame) -> DataFrame:
+    """``tops`` (key, over, steps, ups) with sums of steps and ups of all on their way up, in rounds that look twice as far."""
+    while not tops.where("over is not null").isEmpty():
+        ahead = tops.select(F.col("key").alias("over"), F.col("over").alias("beyond"), F.col("steps").alias("more"), F.col("ups").alias("higher"))
+        tops = stored(tops.join(ahead, "over", "left").select("key", F.col("beyond").alias("over"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("ups") + F.coalesce("higher", F.lit(0))).alias("ups")))
+    return tops
 
 
 def telemetry_lines(events: DataFrame, budget: int = 100_000) -> DataFrame:
