@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewell.functions.text import basename
-from tracewell.operators.carry import bucket_of, carried
+from tracewell.operators.carry import bucket_of, carried, nearest_other
 from tracewell.operators.tables import stored
 
 #: Records of one start are at most this far apart.
@@ -62,13 +62,30 @@ def _fits(a: str, b: str) -> Column:
     return F.coalesce(F.col(a) == F.col(b), F.lit(True))
 
 
-def _near(rows: DataFrame, others: DataFrame, back_only: bool) -> DataFrame:
-    """Pairs on one host and PID whose times are at most TWIN apart, as structs x and y; by buckets of time."""
-    width = F.lit(TWIN)
-    steps = [-1, 0] if back_only else [-1, 0, 1]
-    x = rows.where("t is not null").select("host", "pid", F.struct(*rows.columns).alias("x")).withColumn("b", F.explode(F.array(*[F.floor(F.col("x.t") / width) + d for d in steps])))
-    y = others.where("t is not null").select("host", "pid", F.struct(*others.columns).alias("y")).withColumn("b", F.floor(F.col("y.t") / width))
-    return x.join(y, ["host", "pid", "b"]).where((F.abs(F.col("x.t") - F.col("y.t")) <= TWIN) & _fits("x.base", "y.base"))
+def _first_near(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
+    """__id (seq), ``name``: of ``others`` (key, space) on the host and PID of ``rows`` the first at most TWIN before or after, whose image agrees."""
+    along = lambda marks, by, order, bucket: carried(marks, by, order, bucket, last={"__found": F.col("__other")}, inclusive=False, descending=True)
+    return _looked_up(rows.where("t is not null").withColumn("__id", F.struct("seq")), others, along, name)
+
+
+def _looked_up(rows: DataFrame, others: DataFrame, carry, name: str) -> DataFrame:
+    """__id, ``name`` (t, seq, key, space): what ``carry`` brings to ``rows`` of the first of ``others`` since TWIN before them.
+
+    Rows and others have host, pid, t, seq, base. Others of a row's own image and of none are looked up, for a row without an
+    image any; values go along time from bucket to bucket, so no pairs are made.
+    """
+    by = ["host", "pid", "__any", "__base"]
+    nothing, none = F.lit(None).cast("string"), F.lit(False)
+    one = lambda any_, base: F.struct(any_.alias("__any"), base.alias("__base"))
+    where = F.array(one(F.lit(True), nothing), one(none, F.col("base")))
+    told = others.where("t is not null").select("host", "pid", F.inline(where), F.col("t").alias("__at"), F.lit(0).alias("__o"), "seq", F.struct("t", "seq", "key", "space").alias("__other"))
+    sought = F.when(F.col("base").isNull(), F.array(one(F.lit(True), nothing))).otherwise(F.array(one(none, F.col("base")), one(none, nothing)))
+    space = F.col("space") if "space" in rows.columns else nothing
+    marks = rows.select("host", "pid", F.inline(sought), (F.col("t") - TWIN).alias("__at"), F.lit(1).alias("__o"), "seq", F.lit(None).cast(told.schema["__other"].dataType).alias("__other"), space.alias("space"), F.col("t").alias("__t"), "__id")
+    marks = marks.unionByName(told.withColumn("space", F.col("__other.space")), allowMissingColumns=True)
+    order = [F.col("__at").desc(), F.col("__o"), F.col("seq").desc()]
+    found = carry(marks, by, order, bucket_of(F.col("__at"))).where("__o = 1 and __found is not null")
+    return found.groupBy("__id").agg(F.min("__found").alias(name), F.first("__t").alias("__t")).where(F.col(f"{name}.t") <= F.col("__t") + TWIN).drop("__t")
 
 
 def start_keys(refs: DataFrame) -> DataFrame:
@@ -80,15 +97,17 @@ def start_keys(refs: DataFrame) -> DataFrame:
     starts = refs.where("role = 0 and kind = 'process_start'").select("seq", "host", "pid", "guid", "t", "base", "space")
     by_guid = starts.where("guid is not null").withColumn("key", _own())
     firsts = by_guid.where("pid is not null").groupBy("host", "pid", "key").agg(F.min_by(F.struct("t", "seq", "space", "base"), F.struct(_at(), "seq")).alias("f")).select("host", "pid", "key", "f.*")
-    earlier = (F.col("y.space") != F.col("x.space")) & (F.struct("y.t", "y.seq") < F.struct("x.t", "x.seq"))
-    twins = _near(firsts, firsts, True).where(earlier).groupBy("x.key", "x.space").agg(F.min_by(F.struct("y.key", "y.space"), F.struct("y.t", "y.seq")).alias("to"))
+    other = lambda marks, by, order, bucket: nearest_other(marks, by, order, bucket, F.col("__other"), "space", "__found", descending=True)
+    sourced = firsts.where("space is not null")
+    twins = _looked_up(sourced.where("t is not null").withColumn("__id", F.struct("key", "space", "t", "seq")), sourced, other, "to")
+    twins = twins.where("struct(to.t, to.seq) < struct(__id.t, __id.seq)").groupBy("__id.key", "__id.space").agg(F.min("to").alias("to")).select("key", "space", F.struct("to.key", "to.space").alias("to"))
     again = twins.select(F.col("key").alias("middle"), F.col("to").alias("first"))
     to = F.coalesce("first", "to")  # what is a twin's twin is one process too, but not for two GUIDs of one source
     twins = stored(twins.join(again, F.col("to.key") == F.col("middle"), "left").where(to["space"] != F.col("space")).select("key", to["key"].alias("to")))
     by_guid = by_guid.join(twins, "key", "left").withColumn("key", F.coalesce("to", "key"))
     plain = starts.where("guid is null")
     lives = firsts.join(twins, "key", "left_anti")
-    beside = _near(plain, lives, False).groupBy("x.seq").agg(F.min_by("y.key", F.struct("y.t", "y.seq")).alias("to"))
+    beside = _first_near(plain, lives, "found").select("__id.seq", F.col("found.key").alias("to"))
     alone = F.concat(F.lit("p:"), "host", F.lit(":"), F.coalesce(F.col("pid").cast("string"), F.lit("?")), F.lit(":"), F.coalesce("t", "seq").cast("string"))
     plain = plain.join(beside, "seq", "left").withColumn("key", F.coalesce("to", alone))
     columns = ["seq", "host", "pid", "guid", "t", "base", "space", "key"]
