@@ -8,6 +8,8 @@ is spread over as many tasks as it has buckets, and only summaries, at most one
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 WIDTH, IDS = 60_000_000, 65_536
 _UNTIMED = 2**45
 BUCKET = "__bucket"
+_NTH = "__nth"
 
 
 def bucket_of(t: Column, seq: Column | None = None) -> Column:
@@ -43,18 +46,26 @@ def carried(rows: DataFrame, key: Sequence[str], order: Sequence[Column], bucket
     ``bucket`` never falls along ``order``, or never rises if ``descending``. ``inclusive``: the row itself counts.
     """
     last, total = dict(last or {}), dict(total or {})
-    rows = rows.withColumn(BUCKET, bucket)
+    values = {f"__v_{n}": c for n, c in (last | total).items()}
+    rows = rows.withColumns({BUCKET: bucket, **values})
     within = Window.partitionBy(*key, BUCKET).orderBy(*order)
-    so_far, whole = within.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1), within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({f"__v_{n}": c for n, c in (last | total).items()})
-    local = {f"__l_{n}": F.last(f"__v_{n}", ignorenulls=True).over(so_far) for n in last} | {f"__l_{n}": F.sum(f"__v_{n}").over(so_far) for n in total}
-    ends = rows.withColumns({f"__v_{n}": F.last(f"__v_{n}", ignorenulls=True).over(whole) for n in last}) if last else rows
-    ends = ends.groupBy(*key, BUCKET).agg(*[F.first(f"__v_{n}").alias(n) for n in last], *[F.sum(f"__v_{n}").alias(n) for n in total])
-    before = Window.partitionBy(*key).orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    entries = ends.select(*key, BUCKET, *[F.last(n, ignorenulls=True).over(before).alias(f"__e_{n}") for n in last], *[F.sum(n).over(before).alias(f"__e_{n}") for n in total])
-    out = _handed(rows.withColumns(local), entries, key, [f"__e_{n}" for n in (*last, *total)])
-    out = out.withColumns({n: F.coalesce(f"__l_{n}", f"__e_{n}") for n in last} | {n: F.coalesce(f"__l_{n}", F.lit(0)) + F.coalesce(f"__e_{n}", F.lit(0)) for n in total})
-    return out.drop(BUCKET, *[f"__{x}_{n}" for n in (*last, *total) for x in "vle"])
+    # Only rows that have something to hand on are summed up.
+    ends = rows.where(reduce(or_, [F.col(f"__v_{n}").isNotNull() for n in last] + [F.coalesce(F.col(f"__v_{n}") != 0, F.lit(False)) for n in total]))
+    if last:
+        whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ends = ends.withColumns({f"__v_{n}": F.last(f"__v_{n}", ignorenulls=True).over(whole) for n in last})
+    ends = ends.groupBy(*key, BUCKET).agg(*[F.first(f"__v_{n}").alias(f"__v_{n}") for n in last], *[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in total])
+    # A mark that begins each bucket, then what the bucket hands on.
+    marks = rows.select(*key, BUCKET).distinct().withColumn(_NTH, F.lit(0)).unionByName(ends.withColumn(_NTH, F.lit(1)), allowMissingColumns=True)
+    before = Window.partitionBy(*key).orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET), _NTH).rowsBetween(Window.unboundedPreceding, -1)
+    entries = marks.withColumns({f"__v_{n}": F.last(f"__v_{n}", ignorenulls=True).over(before) for n in last} | {f"__v_{n}": F.sum(f"__v_{n}").over(before) for n in total})
+    entries = entries.where(f"{_NTH} = 0").where(reduce(or_, [F.col(v).isNotNull() for v in values]))
+    # What a bucket begins with stands before its rows, so these are shuffled and sorted once and joined with nothing.
+    out = rows.withColumn(_NTH, F.lit(1)).unionByName(entries, allowMissingColumns=True)
+    so_far = Window.partitionBy(*key, BUCKET).orderBy(_NTH, *order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = out.withColumns({f"__l_{n}": F.last(f"__v_{n}", ignorenulls=True).over(so_far) for n in last} | {f"__l_{n}": F.coalesce(F.sum(f"__v_{n}").over(so_far), F.lit(0)) for n in total})
+    out = out.where(f"{_NTH} = 1").withColumns({n: F.col(f"__l_{n}") for n in (*last, *total)})
+    return out.drop(BUCKET, _NTH, *values, *[f"__l_{n}" for n in (*last, *total)])
 
 
 def nearest_other(rows: DataFrame, key: Sequence[str], order: Sequence[Column], bucket: Column, value: Column, who: str, name: str, descending: bool = False) -> DataFrame:

@@ -62,10 +62,15 @@ def _fits(a: str, b: str) -> Column:
     return F.coalesce(F.col(a) == F.col(b), F.lit(True))
 
 
+def _on_pids(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """``rows`` on a host and PID that one of ``others`` has."""
+    return rows.join(others.select("host", "pid").distinct(), ["host", "pid"], "left_semi")
+
+
 def _first_near(rows: DataFrame, others: DataFrame, name: str) -> DataFrame:
     """__id (seq), ``name``: of ``others`` (key, space) on the host and PID of ``rows`` the first at most TWIN before or after, whose image agrees."""
     along = lambda marks, by, order, bucket: carried(marks, by, order, bucket, last={"__found": F.col("__other")}, inclusive=False, descending=True)
-    return _looked_up(rows.where("t is not null").withColumn("__id", F.struct("seq")), others, along, name)
+    return _looked_up(_on_pids(rows, others).where("t is not null").withColumn("__id", F.struct("seq")), others, along, name)
 
 
 def _looked_up(rows: DataFrame, others: DataFrame, carry, name: str) -> DataFrame:
@@ -114,11 +119,8 @@ def start_keys(refs: DataFrame) -> DataFrame:
     return by_guid.select(*columns).unionByName(plain.select(*columns))
 
 
-def _running(lives: DataFrame, points: DataFrame) -> DataFrame:
-    """``points`` with ``life``: of their host and PID the last to start before (or TWIN after), with the next one in ``life.next``.
-
-    Without any before, key and start of ``life`` are null. Lives: host, pid, start, key, known, base, space, end.
-    """
+def _with_next(lives: DataFrame) -> DataFrame:
+    """host, pid, ``life``: each of ``lives`` with the next one in ``life.next``, and for each PID what stands before the first."""
     told = [F.col(c) for c in ("key", "start", "known", "base", "space", "end")]
     by = ["host", "pid"]
     lives = carried(lives, by, [F.col("start").desc(), F.col("key").desc()], bucket_of(F.col("start")), last={"next": F.struct("key", "known")}, inclusive=False, descending=True)
@@ -126,7 +128,15 @@ def _running(lives: DataFrame, points: DataFrame) -> DataFrame:
     before = lives.groupBy(*by).agg(F.min(F.struct("life.start", "life.key", "life.known")).alias("f"))
     kind = lives.schema["life"].dataType
     empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[:-1]], F.struct("f.key", "f.known").alias("next")).cast(kind)
-    lives = lives.unionByName(before.select(*by, empty.alias("life")))
+    return lives.unionByName(before.select(*by, empty.alias("life")))
+
+
+def _running(lives: DataFrame, points: DataFrame) -> DataFrame:
+    """``points`` with the ``life`` of their host and PID that is the last to start before (or TWIN after) them.
+
+    Without any before, key and start of ``life`` are null. Lives: host, pid, life (key, start and what else is told of it).
+    """
+    by, kind = ["host", "pid"], lives.schema["life"].dataType
     marks = lives.select(*by, F.coalesce("life.start", F.lit(-FAR)).alias("at"), F.lit(0).alias("o"), "life", F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("p"))
     marks = marks.unionByName(points.select(*by, F.coalesce(F.col("t") + TWIN, F.lit(FAR)).alias("at"), F.lit(1).alias("o"), F.lit(None).cast(kind).alias("life"), F.struct(*points.columns).alias("p")))
     timed, nth = F.when(F.col("at") < FAR, F.col("at")), F.coalesce("p.seq", F.lit(0)) if "seq" in points.columns else F.lit(0)
@@ -140,7 +150,7 @@ _ALIVE = "life.key is not null and (t is null or life.end is null or life.end >=
 def _ended(lives: DataFrame, ends: DataFrame, alias: DataFrame) -> DataFrame:
     """``lives`` with the last recorded end of each: by its GUID, or of the life that a PID had then."""
     by_guid = ends.where("guid is not null").withColumn("own", _own()).join(alias, "own", "left").select(F.coalesce("to", "own").alias("key"), "t")
-    by_pid = _running(lives.withColumn("end", F.lit(None).cast("long")), ends.where("guid is null and pid is not null")).select("life.key", "t")
+    by_pid = _running(lives.select("host", "pid", F.struct("key", "start").alias("life")), ends.where("guid is null and pid is not null").select("host", "pid", "t")).select("life.key", "t")
     last = by_guid.unionByName(by_pid).groupBy("key").agg(F.max("t").alias("end"))
     return lives.drop("end").join(last, "key", "left")
 
@@ -178,7 +188,8 @@ def resolve_references(refs: DataFrame, starts: DataFrame) -> DataFrame:
     # GUIDs without a recorded start, where they are first seen
     sights = refs.where("guid is not null and pid is not null").withColumn("own", _own()).join(moved, "own", "left_anti")
     sights = sights.groupBy("host", "own").agg(F.min_by(F.struct("pid", "t", "seq", "space", "base"), F.struct(F.col("role") > 1, _at(), "seq")).alias("f")).select("host", "own", "f.*")
-    seen = _running(_ended(known, ends, alias), sights)
+    near = ends.where("guid is not null").unionByName(_on_pids(ends.where("guid is null"), sights))
+    seen = _running(stored(_with_next(stored(_ended(_on_pids(known, sights), near, alias)))), sights)
     other = F.col("life.key").startswith("p:") | (F.col("life.space") != F.col("space"))
     seen = stored(seen.withColumn("to", F.when(F.expr(_ALIVE % TWIN) & other & _fits("life.base", "base"), F.col("life.key"))).select("host", "pid", "own", "t", "seq", "space", "base", "to", F.col("life.key").alias("under")))
     order = Window.partitionBy("host", "pid", "under").orderBy(_at(), "seq")
@@ -191,9 +202,9 @@ def resolve_references(refs: DataFrame, starts: DataFrame) -> DataFrame:
     lives = stored(_ended(stored(known.unionByName(unknown)), ends, alias))
 
     columns = ["seq", "role", "key", "host", "guid", "t"]
-    rest = refs.join(starts.select("seq", F.lit(0).alias("role")), ["seq", "role"], "left_anti")
+    rest = refs.where("not coalesce(role = 0 and kind = 'process_start', false)")  # ``starts`` has the others
     by_guid = rest.where("guid is not null").withColumn("own", _own()).join(alias, "own", "left").withColumn("key", F.coalesce("to", "own"))
-    by_pid = stored(_running(lives, rest.where("guid is null and pid is not null").select("seq", "role", "host", "pid", "guid", "t", (F.col("kind") == "process_end").alias("ends"))))
+    by_pid = stored(_running(stored(_with_next(lives)), rest.where("guid is null and pid is not null").select("seq", "role", "host", "pid", "guid", "t", (F.col("kind") == "process_end").alias("ends"))))
     key = F.when(F.expr(_ALIVE % TWIN), F.col("life.key")).when(~F.col("life.next.known"), F.col("life.next.key"))
     by_pid = by_pid.withColumn("key", key)
     by_pid = by_pid.where("key is not null").unionByName(_first_seen(by_pid.where("key is null")))
