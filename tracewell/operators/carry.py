@@ -48,13 +48,13 @@ def carried(rows: DataFrame, key: Sequence[str], order: Sequence[Column], bucket
     last, total = dict(last or {}), dict(total or {})
     values = {f"__v_{n}": c for n, c in (last | total).items()}
     rows = rows.withColumns({BUCKET: bucket, **values})
-    within = Window.partitionBy(*key, BUCKET).orderBy(*order)
+    within = Window.partitionBy(BUCKET, *key).orderBy(*order)  # buckets differ where keys may be few: sorted by them first
     # Only rows that have something to hand on are summed up.
     ends = rows.where(reduce(or_, [F.col(f"__v_{n}").isNotNull() for n in last] + [F.coalesce(F.col(f"__v_{n}") != 0, F.lit(False)) for n in total]))
     if last:
         whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         ends = ends.withColumns({f"__v_{n}": F.last(f"__v_{n}", ignorenulls=True).over(whole) for n in last})
-    ends = ends.groupBy(*key, BUCKET).agg(*[F.first(f"__v_{n}").alias(f"__v_{n}") for n in last], *[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in total])
+    ends = ends.groupBy(BUCKET, *key).agg(*[F.first(f"__v_{n}").alias(f"__v_{n}") for n in last], *[F.sum(f"__v_{n}").alias(f"__v_{n}") for n in total])
     # A mark that begins each bucket, then what the bucket hands on.
     marks = rows.select(*key, BUCKET).distinct().withColumn(_NTH, F.lit(0)).unionByName(ends.withColumn(_NTH, F.lit(1)), allowMissingColumns=True)
     before = Window.partitionBy(*key).orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET), _NTH).rowsBetween(Window.unboundedPreceding, -1)
@@ -62,7 +62,7 @@ def carried(rows: DataFrame, key: Sequence[str], order: Sequence[Column], bucket
     entries = entries.where(f"{_NTH} = 0").where(reduce(or_, [F.col(v).isNotNull() for v in values]))
     # What a bucket begins with stands before its rows, so these are shuffled and sorted once and joined with nothing.
     out = rows.withColumn(_NTH, F.lit(1)).unionByName(entries, allowMissingColumns=True)
-    so_far = Window.partitionBy(*key, BUCKET).orderBy(_NTH, *order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    so_far = Window.partitionBy(BUCKET, *key).orderBy(_NTH, *order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = out.withColumns({f"__l_{n}": F.last(f"__v_{n}", ignorenulls=True).over(so_far) for n in last} | {f"__l_{n}": F.coalesce(F.sum(f"__v_{n}").over(so_far), F.lit(0)) for n in total})
     out = out.where(f"{_NTH} = 1").withColumns({n: F.col(f"__l_{n}") for n in (*last, *total)})
     return out.drop(BUCKET, _NTH, *values, *[f"__l_{n}" for n in (*last, *total)])

@@ -119,13 +119,13 @@ def start_keys(refs: DataFrame) -> DataFrame:
     return by_guid.select(*columns).unionByName(plain.select(*columns))
 
 
-def _with_next(lives: DataFrame) -> DataFrame:
-    """host, pid, ``life``: each of ``lives`` with the next one in ``life.next``, and for each PID what stands before the first."""
-    told = [F.col(c) for c in ("key", "start", "known", "base", "space", "end")]
+def _with_next(lives: DataFrame, *told: str) -> DataFrame:
+    """host, pid, ``life``: what is ``told`` of each of ``lives`` (key and start too) with the next one in ``life.next``, and for each PID what stands before the first."""
     by = ["host", "pid"]
     lives = carried(lives, by, [F.col("start").desc(), F.col("key").desc()], bucket_of(F.col("start")), last={"next": F.struct("key", "known")}, inclusive=False, descending=True)
-    lives = lives.select(*by, F.struct(*told, "next").alias("life"))
-    before = lives.groupBy(*by).agg(F.min(F.struct("life.start", "life.key", "life.known")).alias("f"))
+    lives = lives.select(*by, F.struct("key", "start", *told, "next").alias("life"), "known")
+    before = lives.groupBy(*by).agg(F.min(F.struct("life.start", "life.key", "known")).alias("f"))
+    lives = lives.drop("known")
     kind = lives.schema["life"].dataType
     empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields[:-1]], F.struct("f.key", "f.known").alias("next")).cast(kind)
     return lives.unionByName(before.select(*by, empty.alias("life")))
@@ -137,11 +137,12 @@ def _running(lives: DataFrame, points: DataFrame) -> DataFrame:
     Without any before, key and start of ``life`` are null. Lives: host, pid, life (key, start and what else is told of it).
     """
     by, kind = ["host", "pid"], lives.schema["life"].dataType
-    marks = lives.select(*by, F.coalesce("life.start", F.lit(-FAR)).alias("at"), F.lit(0).alias("o"), "life", F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("p"))
-    marks = marks.unionByName(points.select(*by, F.coalesce(F.col("t") + TWIN, F.lit(FAR)).alias("at"), F.lit(1).alias("o"), F.lit(None).cast(kind).alias("life"), F.struct(*points.columns).alias("p")))
+    point = F.struct(*[c for c in points.columns if c not in by])
+    marks = lives.select(*by, F.coalesce("life.start", F.lit(-FAR)).alias("at"), F.lit(0).alias("o"), "life", F.lit(None).cast(points.select(point).schema[0].dataType).alias("p"))
+    marks = marks.unionByName(points.select(*by, F.coalesce(F.col("t") + TWIN, F.lit(FAR)).alias("at"), F.lit(1).alias("o"), F.lit(None).cast(kind).alias("life"), point.alias("p")))
     timed, nth = F.when(F.col("at") < FAR, F.col("at")), F.coalesce("p.seq", F.lit(0)) if "seq" in points.columns else F.lit(0)
     marks = carried(marks, by, [F.col("at"), F.col("o"), F.col("life.key"), nth], bucket_of(timed, nth), last={"so_far": F.col("life")})
-    return marks.where("o = 1").select("p.*", F.col("so_far").alias("life"))
+    return marks.where("o = 1").select(*by, "p.*", F.col("so_far").alias("life"))
 
 
 _ALIVE = "life.key is not null and (t is null or life.end is null or life.end >= t - %d)"
@@ -150,15 +151,16 @@ _ALIVE = "life.key is not null and (t is null or life.end is null or life.end >=
 def _ended(lives: DataFrame, ends: DataFrame, alias: DataFrame) -> DataFrame:
     """``lives`` with the last recorded end of each: by its GUID, or of the life that a PID had then."""
     by_guid = ends.where("guid is not null").withColumn("own", _own()).join(alias, "own", "left").select(F.coalesce("to", "own").alias("key"), "t")
-    by_pid = _running(lives.select("host", "pid", F.struct("key", "start").alias("life")), ends.where("guid is null and pid is not null").select("host", "pid", "t")).select("life.key", "t")
+    by_pid = ends.where("guid is null and pid is not null").select("host", "pid", "t")
+    by_pid = _running(_on_pids(lives, by_pid).select("host", "pid", F.struct("key", "start").alias("life")), by_pid).select("life.key", "t")
     last = by_guid.unionByName(by_pid).groupBy("key").agg(F.max("t").alias("end"))
     return lives.drop("end").join(last, "key", "left")
 
 
 def _first_seen(rows: DataFrame) -> DataFrame:
-    """``rows``, which no life covers, with the ``key`` of a process that is first seen there: one for each gap between ends."""
-    kept = [c for c in rows.columns if c != "key"]
-    rows = rows.select(*kept, F.col("life.start").alias("__since"))
+    """``rows``, which no life covers (``since``: the start of the last one), with the ``key`` of a process that is first seen there: one for each gap between ends."""
+    kept = [c for c in rows.columns if c not in ("key", "since")]
+    rows = rows.select(*kept, F.col("since").alias("__since"))
     by = ["host", "pid", "__since"]
     # An end counts for what comes later than TWIN after it; untimed rows come before all ends.
     marks = rows.select(*by, F.coalesce("t", F.lit(-FAR)).alias("__at"), F.lit(1).alias("__o"), F.lit(0).alias("__one"), F.struct(*kept).alias("__row"))
@@ -189,7 +191,7 @@ def resolve_references(refs: DataFrame, starts: DataFrame) -> DataFrame:
     sights = refs.where("guid is not null and pid is not null").withColumn("own", _own()).join(moved, "own", "left_anti")
     sights = sights.groupBy("host", "own").agg(F.min_by(F.struct("pid", "t", "seq", "space", "base"), F.struct(F.col("role") > 1, _at(), "seq")).alias("f")).select("host", "own", "f.*")
     near = ends.where("guid is not null").unionByName(_on_pids(ends.where("guid is null"), sights))
-    seen = _running(stored(_with_next(stored(_ended(_on_pids(known, sights), near, alias)))), sights)
+    seen = _running(stored(_with_next(stored(_ended(_on_pids(known, sights), near, alias)), "base", "space", "end")), sights)
     other = F.col("life.key").startswith("p:") | (F.col("life.space") != F.col("space"))
     seen = stored(seen.withColumn("to", F.when(F.expr(_ALIVE % TWIN) & other & _fits("life.base", "base"), F.col("life.key"))).select("host", "pid", "own", "t", "seq", "space", "base", "to", F.col("life.key").alias("under")))
     order = Window.partitionBy("host", "pid", "under").orderBy(_at(), "seq")
@@ -204,11 +206,13 @@ def resolve_references(refs: DataFrame, starts: DataFrame) -> DataFrame:
     columns = ["seq", "role", "key", "host", "guid", "t"]
     rest = refs.where("not coalesce(role = 0 and kind = 'process_start', false)")  # ``starts`` has the others
     by_guid = rest.where("guid is not null").withColumn("own", _own()).join(alias, "own", "left").withColumn("key", F.coalesce("to", "own"))
-    by_pid = stored(_running(stored(_with_next(lives)), rest.where("guid is null and pid is not null").select("seq", "role", "host", "pid", "guid", "t", (F.col("kind") == "process_end").alias("ends"))))
+    # Rows without a GUID are read several times: for their buckets, for themselves and for those without a PID.
+    plain = stored(rest.where("guid is null").select("seq", "role", "host", "pid", "guid", "t", (F.col("kind") == "process_end").alias("ends"), F.when(F.col("pid").isNull(), F.col("image")).alias("image")))
+    by_pid = _running(stored(_with_next(lives, "end")), plain.where("pid is not null").drop("image"))
     key = F.when(F.expr(_ALIVE % TWIN), F.col("life.key")).when(~F.col("life.next.known"), F.col("life.next.key"))
-    by_pid = by_pid.withColumn("key", key)
-    by_pid = by_pid.where("key is not null").unionByName(_first_seen(by_pid.where("key is null")))
-    by_name = rest.where("guid is null and pid is null").withColumn("key", F.concat(F.lit("u:"), "host", F.lit(":"), F.coalesce("image", F.lit("?"))))
+    by_pid = stored(by_pid.withColumns({"key": key, "since": F.col("life.start")}).drop("life"))
+    by_pid = by_pid.where("key is not null").drop("since").unionByName(_first_seen(by_pid.where("key is null")))
+    by_name = plain.where("pid is null").withColumn("key", F.concat(F.lit("u:"), "host", F.lit(":"), F.coalesce("image", F.lit("?"))))
     done = starts.withColumn("role", F.lit(0)).select(*columns)
     for part in (by_guid, by_pid, by_name):
         done = done.unionByName(part.select(*columns))
